@@ -120,14 +120,14 @@ def fit(docs: DataFrame) -> dict:
     return {"langs": langs, "idf": idf, "w": w, "b": b, "t": temperature(logits, np.array([y for *_, y in calibrating], int))}
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: dict, text: str = "text", named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (its calibrated probability) to every row, from the whole text alone.
 
     A null text, one without a letter, or any text under a model without languages gets ``und`` and 0. The model, of at most LANGUAGES x DIMS weights, goes
-    to the executors once. Columns of ``docs`` with the new names are replaced.
+    to the executors once. Columns of ``docs`` with the new names, ``named``, are replaced.
     """
-    kept = docs.drop("lang_pred", "score")
-    at_text, names = kept.columns.index(text), [*kept.columns, "lang_pred", "score"]
+    kept = docs.drop(*named)
+    at_text, names = kept.columns.index(text), [*kept.columns, *named]
     sent = kept.sparkSession.sparkContext.broadcast(model | {"w": np.ascontiguousarray(model["w"].T.astype(np.float32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 score.append(float(p[best]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(named[0], T.StringType()), T.StructField(named[1], T.DoubleType())])
     return kept.mapInArrow(run, schema)
 
 

@@ -58,12 +58,12 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
-    """Adds to ``sized`` (doc_id, source, size, any more) ``source_size``, ``target`` and ``taken``, the words that the mix takes.
+def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, narrow: DataFrame | None = None) -> DataFrame:
+    """Adds to ``sized`` (doc_id, source, size, any more) ``source_size``, ``target``, ``copies``, ``part`` and ``taken`` = copies * size + part words.
 
     A source's ``taken`` sum to its target rounded to a whole word; no document is taken beyond ceil(epochs) times. Reruns agree: the order within a
     source is by a hash of seed and doc_id, then doc_id, then size, so equal rows differ in no way that shows. Null doc_ids and null sources are
-    ordinary values. ``sized`` is read three times: write it first where it is costly to make.
+    ordinary values. Bucket sums come from ``narrow``, the same rows without other columns, where it is given.
     """
     shares = F.broadcast(targets.select(F.col("source").alias("_source"), "source_size", "target")) if _few(targets) else targets.select(F.col("source").alias("_source"), "source_size", "target")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
@@ -72,7 +72,7 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     rest = (F.round("target").cast("long") - F.col("_whole") * F.col("source_size")).cast("long")
     shares = shares.withColumn("_whole", whole).withColumn("_rest", rest)
 
-    sums = sized.withColumn("_bucket", F.substring(key, 1, DIGITS)).groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    sums = (narrow or sized).withColumn("_bucket", F.substring(key, 1, DIGITS)).groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
     sums = sums.join(shares, _same(F.col("source"), F.col("_source")))
@@ -87,8 +87,29 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     left = F.col("_room") - F.coalesce(F.sum("size").over(upto), F.lit(0))
     border = placed.filter(F.col("_place") == "border").withColumn("_extra", F.greatest(F.least(left, F.col("size")), F.lit(0)).cast("long"))
     out = placed.filter(F.col("_place") != "border").unionByName(border)
+    # a whole further repetition is a copy too
+    again = (F.col("_extra") == F.col("size")) & (F.col("size") > 0)
+    out = out.withColumn("_part", F.when(again, 0).otherwise(F.col("_extra")))
     taken = (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long")
-    return out.select(*sized.columns, "source_size", "target", taken.alias("taken"))
+    copies = (F.col("_whole") + again.cast("long")).alias("copies")
+    return out.select(*sized.columns, "source_size", "target", copies, F.col("_part").cast("long").alias("part"), taken.alias("taken"))
+
+
+def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a mix: each of ``mixed`` (with text, copies and part) as often as it is copied, and its first ``part`` words once more.
+
+    n_chars, where it is among the columns, follows the text.
+    """
+    part = F.col("part") > 0
+    times = (F.col("copies") + part.cast("int")).cast("int")
+    turns = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    each = mixed.withColumn("_turn", F.explode(turns))
+    cut = F.col("_turn") > F.col("copies")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("part").cast("int")), " ")
+    each = each.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        each = each.withColumn("n_chars", F.when(cut, F.length("text").cast(dict(mixed.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return each.select(*columns)
 
 
 def _few(targets: DataFrame, most: int = 10_000) -> bool:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, mixing, near_dup, token_count, token_output, topk, toxicity, url_filter
+from . import fingerprint, language_id, mixing, near_dup, packing, token_count, token_output, topk, toxicity, url_filter
 from .common import table, written
 
 
@@ -50,6 +50,16 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
@@ -112,6 +122,8 @@ QUERIES = {
     "op7_exact_top_k": op7_exact_top_k,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_token_output": op9_token_output,
+    "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {"op3_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_exact_top_k": OP7_SQL}
