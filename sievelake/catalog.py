@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "rule_scan"
+from .plans.queries import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "rule_scan_severity_rollup"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
