@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,11 @@ from .token_count import split_at_spaces
 
 MAGIC = b"TIDS0001"
 END_ID = 2
+LEVEL = 3
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 4_096, 65_536  # bounds of what the dictionary is trained on
-KEPT = 400_000  # remembered chunks of a worker
+KEPT = 800_000  # remembered chunks of a worker
+#: A word of letters below U+0250, then marks: its two pre-tokens are known without the pattern.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 SHARDS = "_shards"
 
 
@@ -65,13 +70,31 @@ class IdEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
+        self.code = "H" if self.width == 2 else "I"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_spaces = "ByteLevel(add_prefix_space=False" in repr(self.tokenizer.pre_tokenizer) and "use_regex=True" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        self.first, self.later = _Ids(self.whole, "", KEPT // 20), _Ids(self.whole, " ", KEPT)
+        self.first, self.later = _Ids(self.whole, "", KEPT // 20), _Ids(self.chunk, " ", KEPT)
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from U+0100 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = (b for b in range(256) if b not in own)
+        self.alphabet = dict(zip(own, own, strict=True)) | {b: 256 + k for k, b in enumerate(rest)}
+        self.merge = self.tokenizer.model.tokenize
+        self.marks: dict[str, list[int]] = {"": []}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a space and a word: by the library's model where the pre-tokens are plain, which spares its pattern."""
+        plain = PLAIN.fullmatch(chunk, 1)
+        if not plain:
+            return self.whole(chunk)
+        word, marks = plain.groups()
+        ids = [t.id for t in self.merge((" " + word).encode().decode("latin-1").translate(self.alphabet))]
+        if marks not in self.marks:
+            self.marks[marks] = [t.id for t in self.merge(marks)]
+        return array(self.code, ids + self.marks[marks]).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -139,7 +162,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        pack = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True).compress
+        if shared:
+            shared.precompute_compress(level=LEVEL)
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True).compress
         store, folder = _store(path)
         number = TaskContext.get().partitionId()
         name = f"part-{number:06d}.tids"
