@@ -35,7 +35,7 @@ def scan_lines(lines: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     rules = [r for r in (active_rules() if rules is None else rules) if not file_scoped(r)]
     hits = [F.when(_gate(r, F.col("language")) & F.col("line").rlike(FLAGS + r["pattern"]), F.struct(*_described(r))) for r in rules]
     if not hits:
-        return lines.limit(0)
+        return lines.limit(0).select("*", *_described(dict.fromkeys(RULE_COLUMNS)))
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
     return lines.withColumn("_hit", F.explode(found)).select(*lines.columns, "_hit.*")
 
@@ -59,7 +59,7 @@ def scan_files(files: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     rules = [r for r in (active_rules() if rules is None else rules) if file_scoped(r)]
     keep = [c for c in files.columns if c not in ("added_lines", "removed_lines")]
     if not rules:
-        return files.select(*keep).limit(0)
+        return files.limit(0).select(*keep, F.lit(None).cast("string").alias("line"), F.lit(0).alias("line_start"), *_described(dict.fromkeys(RULE_COLUMNS)))
     code = F.array_join(F.coalesce("added_lines", F.array().cast("array<string>")), "\n")
     each = files.withColumn("_code", code).filter("_code <> ''")
     def matches(rule: dict) -> Column:
