@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import A_Z, A_Z_LOWER, crc_fold, written
+from .common import A_Z, A_Z_LOWER, written
 
 #: Classes 0 to 25 are letters, 26 any digit, 27 to 36 these marks, 37 anything else.
 MARKS = "/.-_?=&#%:"
@@ -122,14 +122,15 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page.
 
     The verdict is the rule's or, without one, ``allow`` if the score reaches the calibrated cut, else ``block``. Models are counted on the URLs with a
-    rule but for every fifth by crc32 of the URL, which calibrate. Null URLs, and those without ``://``, have empty host and path, no rule and
+    rule but for a fifth by md5 of the URL, which calibrates. Null URLs, and those without ``://``, have empty host and path, no rule and
     score 0. Repeated pages stay, each with its row; an empty table gives none. Other columns of ``pages`` are not read.
     """
     host, path = split_url(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, what = rule_for(F.col("host"), F.col("path"), rules)
     judged = judged.withColumn("rule", rule).withColumn("ruled", what)
-    known = judged.filter("ruled IS NOT NULL").withColumn("held_out", crc_fold(F.col("url"), FOLDS) == HELD_OUT)
+    fold = F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 8), 16, 10).cast("long") % FOLDS
+    known = judged.filter("ruled IS NOT NULL").withColumn("held_out", fold == HELD_OUT)
     model = written(train(known.filter(~F.col("held_out")).select("url", "ruled")), "url-model")
     cut = calibrate(score(known.filter("held_out").select("url", "ruled"), model))
     scored = score(judged, model)
