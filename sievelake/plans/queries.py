@@ -434,3 +434,83 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_HITS} SELECT category, severity, count(*) AS n, CAST(grouping(category, severity) AS BIGINT) AS level FROM hits GROUP BY ROLLUP (category, severity)")
 def rollup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rollup_report(scan.scan_lines(document_lines(spark, sf_dir)))
+
+
+def _part_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diff for each part: two files, the second one new when the size is even."""
+    parts = table(spark, sf_dir, "part")
+    new = F.when(F.col("p_size") % 2 == 0, "new file mode 100644\n").otherwise("")
+    size = F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("diff --git a/lib/"), "p_brand", F.lit(".py b/lib/"), "p_brand", F.lit(".py\n--- a/lib/x.py\n+++ b/lib/"), "p_brand", F.lit(".py\n@@ -1,2 +"), size, F.lit(",3 @@ def f\n same\n+def "), F.replace("p_name", F.lit(" "), F.lit("_")),
+        F.lit("():\n-"), "p_type", F.lit("\n+  return 1\ndiff --git a/web/"), size, F.lit(".tsx b/web/"), size, F.lit(".tsx\n"), new, F.lit("+++ b/web/"), size, F.lit(".tsx\n@@ -0,0 +1 @@\n+let x = 1"),
+    )
+    return parts.select(F.col("p_partkey").alias("diff_id"), text.alias("diff_content"), F.lit("").alias("language"))
+
+
+@query("""SELECT p_partkey AS diff_id, 'lib/' || p_brand || '.py' AS path, 'python' AS language, CAST(1 AS INT) AS line_start, p_size + 1 AS file_line, 'def ' || replace(p_name, ' ', '_') || '():' AS line FROM part
+UNION ALL SELECT p_partkey, 'lib/' || p_brand || '.py', 'python', 2, p_size + 2, '  return 1' FROM part UNION ALL SELECT p_partkey, 'web/' || p_size || '.tsx', 'typescript', 1, 1, 'let x = 1' FROM part""")
+def diff_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.added_lines(_part_diffs(spark, sf_dir))
+
+
+@query("""SELECT p_partkey AS diff_id, 'lib/' || p_brand || '.py' AS path, 'python' AS language, CAST(2 AS INT) AS n_added, CAST(1 AS INT) AS n_removed FROM part UNION ALL SELECT p_partkey, 'web/' || p_size || '.tsx', 'typescript', 1, 0 FROM part""")
+def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.files(_part_diffs(spark, sf_dir)).select("diff_id", "path", "language", F.size("added_lines").alias("n_added"), F.size("removed_lines").alias("n_removed"))
+
+
+@query("""SELECT p_partkey AS diff_id, CAST(3 AS BIGINT) AS additions, CAST(1 AS BIGINT) AS deletions, 'lib,web' AS modules, replace(p_name, ' ', '_') AS functions,
+CASE WHEN p_size % 2 = 0 THEN 'NewFeature' ELSE 'Refactor' END AS change_category, CAST(2 AS BIGINT) AS n_files FROM part""")
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = diffs.summary(_part_diffs(spark, sf_dir))
+    return out.withColumn("modules", F.array_join("modules", ",")).withColumn("functions", F.array_join("functions", ","))
+
+
+@query("SELECT p_partkey AS diff_id, CAST(1 AS INT) AS old_start, CAST(2 AS INT) AS old_count, p_size AS new_start, CAST(3 AS INT) AS new_count, 'def f' AS heading FROM part UNION ALL SELECT p_partkey, 0, 0, 1, 1, '' FROM part")
+def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = diffs.diff_lines(_part_diffs(spark, sf_dir)).select("diff_id", "line")
+    return diffs.hunks(lines).drop("line")
+
+
+@query("SELECT page_id AS path, html AS source FROM pages WHERE page_id % 3 = 0")
+def changed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("source"))
+    old = pages.withColumn("source", F.when(F.col("path") % 3 == 0, F.concat("source", F.lit(" "))).otherwise(F.col("source")))
+    return search.changed_files(old, pages)
+
+
+@query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents) SELECT doc_id, array_to_string(list_concat(a[1:0], ['fixed'], a[2:]), chr(10)) AS text FROM p""")
+def apply_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    return docs.select("doc_id", F.array_join(review.apply_fix(F.col("lines"), F.lit(1), F.lit(1), F.lit("fixed")), "\n").alias("text"))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst FROM edges WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return graph.induced(customer_edges(spark, sf_dir), rich).select("src", "dst")
+
+
+@query(f"{_HITS} SELECT 'stage1_deterministic' AS filter_stage, count(*) AS n FROM hits")
+def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.funnel(scan.findings(document_lines(spark, sf_dir)))
+
+
+@query("""SELECT o_orderkey AS src, (SELECT max(p_partkey) FROM part WHERE p_brand = o.brand) AS dst, line FROM
+(SELECT DISTINCT o_orderkey, 1 + o_orderkey % 9 AS line, 'Brand#' || (1 + o_orderkey % 5) || (1 + o_custkey % 5) AS brand FROM orders) o WHERE EXISTS (SELECT 1 FROM part WHERE p_brand = o.brand)""")
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a function of ten lines in a file of its own with one call, to the brand of the parts; the last part of a brand is its definition."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").distinct()
+    file = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    own = orders.select(F.col("o_orderkey").alias("id"), file.alias("name"), file.alias("file_path"), F.lit(1).alias("line_start"), F.lit(10).alias("line_end"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.lit("parts").alias("file_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
+    brand = F.concat(F.lit("Brand#"), (F.col("o_orderkey") % 5 + 1).cast("string"), (F.col("o_custkey") % 5 + 1).cast("string"))
+    calls = orders.select(file.alias("file_path"), (F.col("o_orderkey") % 9 + 1).alias("line"), brand.alias("callee"))
+    return graph.call_edges(own.unionByName(parts), calls).select("src", "dst", "line")
+
+
+@query("SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS type_info FROM customer")
+def type_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer")
+    kinds = people.select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("return_type"), F.col("c_name").alias("kind"))
+    return search.type_info(kinds).select("c_custkey", "c_mktsegment", "type_info")

@@ -65,7 +65,7 @@ def added_lines(diffs: DataFrame) -> DataFrame:
     in_hunk = Window.partitionBy("diff_id", "section", "hunk.pos").orderBy("pos")
     rows = rows.withColumn("seen", F.count_if(kept).over(in_hunk)).filter(_marked("+"))
     language = F.coalesce(F.nullif(F.col("language"), F.lit("")), guess_language(F.col("path")))
-    return rows.select("diff_id", "path", language.alias("language"), F.row_number().over(order).alias("line_start"), (F.col("hunk.start") + F.col("seen") - 1).alias("file_line"), F.substring("line", 2, 1 << 30).alias("line"))
+    return rows.select("diff_id", "path", language.alias("language"), F.row_number().over(order).alias("line_start"), (F.col("hunk.start") + F.col("seen") - 1).cast("int").alias("file_line"), F.substring("line", 2, 1 << 30).alias("line"))
 
 
 def hunks(lines: DataFrame) -> DataFrame:
