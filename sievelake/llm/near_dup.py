@@ -27,7 +27,8 @@ from .components import components
 
 HASHES, BANDS, STEP = 128, 32, 16
 ROWS = HASHES // BANDS
-SMALL, BLOCK = 32, 256  # classes of a bucket whose pairs become rows; classes of a block
+SMALL, BLOCK = 32, 1_024  # classes of a bucket whose pairs become rows; classes of a block
+FEW = 300_000  # rows of 60 bytes that may be broadcast
 MISS = 1e-9
 _RNG = np.random.default_rng(20_240_501)
 _MUL = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -130,22 +131,25 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets[left] and sets[right], pair by pair, from products of 0/1 arrays over the shared shingles."""
-    rows, cols = np.unique(left), np.unique(right)
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    """Sizes of the intersections of sets[left] and sets[right], pair by pair, from one product of 0/1 arrays for each 4096 shared shingles."""
+    rows, i = np.unique(left, return_inverse=True)
+    cols, j = np.unique(right, return_inverse=True)
+    own = np.union1d(rows, cols)
+    values, at = np.unique(np.concatenate([sets[k] for k in own]), return_inverse=True)
+    owner = np.repeat(np.arange(len(own)), [len(sets[k]) for k in own])
     shared = np.bincount(at, minlength=len(values)) > 1  # a shingle of one class alone is in no intersection
     number = np.cumsum(shared) - 1
     owner, at = owner[shared[at]], number[at[shared[at]]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
+    r, c = np.searchsorted(own, rows), np.searchsorted(own, cols)
     total = np.zeros((len(rows), len(cols)), np.float32)
     for first in range(0, int(shared.sum()), 4096):
         lo, hi = np.searchsorted(at, (first, first + 4096))
-        has = np.zeros((len(sets), 4096), np.float32)
+        has = np.zeros((len(own), 4096), np.float32)
         has[owner[lo:hi], at[lo:hi] - first] = 1
-        total += has[rows] @ has[cols].T
-    return total[np.searchsorted(rows, left), np.searchsorted(cols, right)].astype(np.int64)
+        total += has[r] @ has[c].T
+    return total[i, j].astype(np.int64)
 
 
 def _tile(percent: int, miss: float):
@@ -167,9 +171,9 @@ def _tile(percent: int, miss: float):
                 i = root[i]
             return i
 
-        found = []
         mine, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         bands = sig.reshape(len(ids), BANDS, ROWS)
+        pairs = []
         for at in range(0, len(mine), 64):  # 64 rows against a block at a time bound the memory
             left, right = (x.ravel() for x in np.meshgrid(mine[at : at + 64], other, indexing="ij"))
             keep = left < right if lo == hi else np.ones(len(left), bool)
@@ -179,13 +183,13 @@ def _tile(percent: int, miss: float):
                 new = ~(bands[left, k] == bands[right, k]).all(1)
                 left, right = left[new], right[new]
             place = survivors(sig[left], sig[right], needed)
-            left, right = left[place], right[place]
-            apart = np.array([find(i) != find(j) for i, j in zip(left, right, strict=True)], bool)
-            left, right = left[apart], right[apart]
-            if not len(left):
-                continue
+            pairs.append(np.stack([left[place], right[place]]))
+        found = []
+        if pairs and (left := np.concatenate(pairs, 1))[0].size:
+            left, right = left
             both = _overlaps(sets, left, right)
-            for i, j in zip(*(x[100 * both >= percent * (size[left] + size[right] - both)] for x in (left, right)), strict=True):
+            alike_enough = 100 * both >= percent * (size[left] + size[right] - both)
+            for i, j in zip(left[alike_enough].tolist(), right[alike_enough].tolist(), strict=True):
                 p, q = find(i), find(j)
                 if p != q:
                     root[p] = q
@@ -237,7 +241,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: fl
     roots = roots.join(by_hash.toDF("node", "set_hash"), "node").join(by_hash.toDF("root", "root_hash"), "root").select("set_hash", "root_hash")
     grouped = made.select("doc_id", "n_shingles", "set_hash").join(written(roots, "roots"), "set_hash", "left")
     grouped = written(grouped.select("doc_id", "n_shingles", F.coalesce("root_hash", "set_hash").alias("group")), "grouped")
-    least = grouped.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"))
+    # only groups of several rows are looked up, from a table, so that a join skewed by a large group can be split
+    least = grouped.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    least = written(least.filter("n > 1").select("group", "least"), "groups")
     out = grouped.join(least, "group", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -255,5 +261,6 @@ def _sets_again(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
                     sets.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, F.col("doc_id").eqNullSafe(F.col("_id")))
+    few = F.broadcast(needed) if needed.count() <= FEW else needed  # beyond that the texts are shuffled
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, F.col("doc_id").eqNullSafe(F.col("_id")))
     return texts.select("cid", "set_hash", "text").mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
