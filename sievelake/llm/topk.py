@@ -6,7 +6,8 @@ block is the sum over the dimensions of the query's value times the block's grea
 query visits blocks by falling bound and stops when the bound falls below its k-th score so far.
 
 Tiles of a query range and a candidate range are compared in one task each; every tile returns k rows a query at most, and these meet in a
-window a query. Each range is sent to as many tiles as there are ranges on the other side, so the tiles' sizes, not a group's, set the memory.
+window a query. Each range is sent to as many tiles as there are ranges on the other side, so the tiles' sizes, not a group's, set the memory;
+ranges grow with the table, up to a bound, so that fewer copies are sent.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from .common import written
 
 K, EVERY, SCALE = 20, 20, 64
 BLOCK = 256
-QUERIES, RANGE = 1_024, 8_192  # vectors of a query range and of a candidate range
+QUERIES, RANGE = (1_024, 8_192), (2_048, 32_768)  # least and most vectors of a query range and of a candidate range
+TILES = 64  # ranges on a side before ranges grow
 EXACT = float(2**53)  # sums below this are whole in a double
 _LONG = 2**63 - 1
 
@@ -47,7 +49,10 @@ def _tile(k: int):
         ids, row, own = docs["vec_id"].to_numpy(), docs["row"].to_numpy(), queries["row"].to_numpy()
         starts = range(0, len(d), BLOCK)
         high, low = (np.array([f(d[s : s + BLOCK], axis=0) for s in starts]) for f in (np.max, np.min))
-        bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T  # at least the score of any vector of the block
+        bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        if bound.dtype == object:
+            bound = np.clip(bound, -_LONG, _LONG)
+        # a bound is at least the score of any vector of its block
         order = np.argsort(-bound, axis=1, kind="stable")
         scores = np.full((len(q), k), None if q.dtype == object else -np.inf, q.dtype)
         places = np.full((len(q), k), -1)
@@ -62,6 +67,8 @@ def _tile(k: int):
                 who = at[worth & (block == b)]
                 s = starts[b]
                 found = q[who] @ d[s : s + BLOCK].T
+                if found.dtype == object:
+                    found = np.clip(found, -_LONG, _LONG)
                 place = np.arange(s, s + found.shape[1])
                 for i, line in zip(who, found, strict=True):
                     mine = row[place] != own[i]
@@ -77,7 +84,7 @@ def _tile(k: int):
                     scores[i, : full[i]], places[i, : full[i]] = both[first], spots[first]
         who = np.repeat(np.arange(len(q)), full)
         place = np.concatenate([places[i, : full[i]] for i in range(len(q))]).astype(int)
-        value = [max(-_LONG, min(_LONG, int(x))) for i in range(len(q)) for x in scores[i, : full[i]]]
+        value = [int(x) for i in range(len(q)) for x in scores[i, : full[i]]]
         return pd.DataFrame(dict(zip(names, (own[who], queries["vec_id"].to_numpy()[who], row[place], ids[place], np.array(value, np.int64)), strict=True)))
 
     return best
@@ -89,7 +96,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     ``vectors`` has vec_id and embedding; components become floor(scale * x). Queries are the rows whose vec_id is divisible by ``every``, candidates
     all rows but the query's own. Rows with a null vec_id or vector, or a null or non-finite component, take no part. Vectors of several lengths compare
     over the common dimensions; an empty one scores 0. A repeated vec_id is a row, and a query, of its own each time; ties between its rows
-    fall to a fixed order. Scores beyond a long are clipped to it. Other columns are not read.
+    fall to a fixed order. A score beyond a long counts as the long's limit. Other columns are not read.
     """
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     # floor() gives a long, which the largest floats exceed; this stays a double
@@ -103,10 +110,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     sizes = sound.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     # places from counts of the written partitions: ranges of neighbours
     part = F.shiftright("row", 33).cast("int")
-    ranges, asked = -(-sizes.n // RANGE) or 1, -(-sizes.q // QUERIES) or 1
+    length = min(RANGE[1], max(RANGE[0], sizes.n // TILES))
+    ranges, asked = -(-sizes.n // length) or 1, -(-sizes.q // min(QUERIES[1], max(QUERIES[0], sizes.q // TILES))) or 1
     before = sound.groupBy(part.alias("part")).agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c")).select("part", "before")
     placed = sound.withColumn("part", part).join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("row").bitwiseAND((1 << 33) - 1))
-    placed = placed.select("vec_id", "row", "v", F.floor(F.col("place") / RANGE).cast("int").alias("range"))
+    placed = placed.select("vec_id", "row", "v", F.floor(F.col("place") / length).cast("int").alias("range"))
     docs = placed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)))).select(F.col("tile").alias("asked"), "range", "vec_id", "row", "v", F.lit(False).alias("asks"))
     queries = placed.filter(F.col("vec_id") % every == 0).withColumn("asked", F.pmod(F.xxhash64("row"), F.lit(asked)).cast("int"))
     queries = queries.drop("range").withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))).select("asked", "range", "vec_id", "row", "v", F.lit(True).alias("asks"))

@@ -244,8 +244,8 @@ def test_pruning_misses_no_more_than_asked():
 @pytest.mark.parametrize("big", [1.0, 1e12])
 def test_top_k(spark, monkeypatch, big):
     monkeypatch.setattr(topk, "BLOCK", 8)
-    monkeypatch.setattr(topk, "RANGE", 50)
-    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "RANGE", (50, 60))
+    monkeypatch.setattr(topk, "QUERIES", (4, 5))
     rng = random.Random(4)
     rows = [(k, [rng.choice([-1.0, 0.5, 0.26, 0.0]) * rng.random() * big for _ in range(6)]) for k in range(200)]
     rows += [(300 + k, [0.5] * 6) for k in range(30)] + [(1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (1060, [float("inf")]), (None, [1.0]), (1080, []), (1100, [2.0, 3.0])]
