@@ -24,6 +24,16 @@ def _greedy(key: tuple, truths: pd.DataFrame, predictions: pd.DataFrame) -> pd.D
     return pd.DataFrame(out, columns=["file", "category", "pred_seq", "gt_seq"])
 
 
+ROWS = 20_000  # about as many rows meet in a task's call
+
+
+def _bucket(_: tuple, truths: pd.DataFrame, predictions: pd.DataFrame) -> pd.DataFrame:
+    """The greedy matches of all groups of one bucket: small groups are too many for a call each."""
+    asked = {k: g for k, g in predictions.groupby(["file", "category"], sort=False, dropna=False)}
+    parts = [_greedy(k, g, asked[k]) for k, g in truths.groupby(["file", "category"], sort=False, dropna=False) if k in asked]
+    return pd.concat(parts) if parts else _greedy((), truths.iloc[:0], predictions.iloc[:0])
+
+
 def greedy_match(truths: DataFrame, predictions: DataFrame) -> DataFrame:
     """file, category, pred_seq and gt_seq of the matches between ``truths`` (file, category, line, gt_seq) and ``predictions`` (..., pred_seq).
 
@@ -31,8 +41,10 @@ def greedy_match(truths: DataFrame, predictions: DataFrame) -> DataFrame:
     """
     side = lambda df, seq: df.select("file", "category", F.coalesce(F.col("line").cast("long"), F.lit(0)).alias("line"), F.col(seq).cast("long").alias(seq))
     kind = f"file {dict(truths.dtypes)['file']}, category {dict(truths.dtypes)['category']}, pred_seq long, gt_seq long"
-    a, b = side(truths, "gt_seq").groupBy("file", "category"), side(predictions, "pred_seq").groupBy("file", "category")
-    return a.cogroup(b).applyInPandas(_greedy, kind)
+    buckets = max(1, predictions.count() // ROWS + 1)
+    place = F.pmod(F.xxhash64("file", "category"), F.lit(buckets)).alias("bucket")
+    a, b = (side(df, seq).withColumn("bucket", place).groupBy("bucket") for df, seq in ((truths, "gt_seq"), (predictions, "pred_seq")))
+    return a.cogroup(b).applyInPandas(_bucket, kind)
 
 
 def rates(counts: DataFrame) -> DataFrame:
