@@ -58,8 +58,7 @@ _NEWLINE_RULE = {"rule_id": "X-001", "name": "break after comma", "category": "s
 
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\.\n[A-Z][0-9A-Za-z_]+ ')) AS BIGINT) AS n FROM documents WHERE len(regexp_extract_all(text, '(?i)\.\n[A-Z][0-9A-Za-z_]+ ')) > 0 AND regexp_full_match(text, '[\x00-\x7f]*')""")
 def rule_scan_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$") | (F.octet_length("text") == F.length("text")))
-    files = docs.select("doc_id", F.split("text", "\n", -1).alias("added_lines"), F.lit("unknown").alias("language"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("added_lines"), F.lit("unknown").alias("language"))
     return scan.scan_files(files, [_NEWLINE_RULE]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
