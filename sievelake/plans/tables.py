@@ -17,9 +17,10 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call edges between customers: each tenth order links its customer to the one that its key falls on, 1500 apart."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
-    return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1500 + 1).alias("dst"), F.lit("calls").alias("kind")).distinct()
+    """Call edges between customers: each order links its customer to the one that its key falls on, modulo the number of customers."""
+    customers = table(spark, sf_dir, "customer").agg(F.nullif(F.count("*"), F.lit(0)).alias("n"))
+    orders = table(spark, sf_dir, "orders").crossJoin(F.broadcast(customers))
+    return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % F.col("n") + 1).alias("dst"), F.lit("calls").alias("kind")).distinct()
 
 
 def seed(spark: SparkSession, *ids: int) -> DataFrame:

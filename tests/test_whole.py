@@ -5,6 +5,7 @@ import re
 import pandas as pd
 
 from sievelake.plans import queries
+from sievelake.plans.tables import customer_edges
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +19,36 @@ def test_multiline_rule_reads_texts_beyond_ascii(spark):
     want = {d: len(pattern.findall(t)) for d, t in zip(*(read("documents")[c] for c in ("doc_id", "text")), strict=True)}
     assert any(n and not t.isascii() for n, t in zip(want.values(), read("documents").text, strict=True))
     assert {r.doc_id: r.n for r in queries.rule_scan_multiline(spark, SF).collect()} == {d: n for d, n in want.items() if n}
+
+
+def test_graph_queries_walk_the_edges_of_all_orders(spark):
+    orders, customers = read("orders"), read("customer")
+    edges = set(zip(orders.o_custkey, orders.o_orderkey % len(customers) + 1, strict=True))
+    assert {(r.src, r.dst) for r in customer_edges(spark, SF).collect()} == edges
+
+    def hops(pairs, most):
+        out, now = {}, {11}
+        for hop in range(1, most + 1):
+            now = {b for a, b in pairs if a in now}
+            for i in now:
+                out.setdefault(i, hop)
+        return out
+
+    back = {(b, a) for a, b in edges}
+    ids = lambda df: {r.id for r in df.collect()}
+    assert {r.id: r.hop for r in queries.callees_k(spark, SF).collect()} == hops(edges, 3)
+    assert {r.id: r.hop for r in queries.callers_k(spark, SF).collect()} == hops(back, 3)
+    near = {11, *hops(edges, 2), *hops(back, 2)}
+    pairs = lambda df: {(r.src, r.dst) for r in df.collect()}
+    assert pairs(queries.impact_subgraph(spark, SF)) == {(a, b) for a, b in edges if a in near and b in near}
+    rich = set(customers.c_custkey[customers.c_acctbal > 0])
+    assert pairs(queries.induced_edges(spark, SF)) == {(a, b) for a, b in edges if a in rich and b in rich}
+    assert ids(queries.filter_hops(spark, SF)) == {11, *hops(edges | back, 2)}
+    reached = {11, *hops(edges, len(customers))}
+    assert ids(queries.reachable(spark, SF)) == reached
+    assert ids(queries.unreachable(spark, SF)) == set(customers.c_custkey) - reached
+    callers = set(hops(back, 2)) - {11}
+    nations = set(customers.c_nationkey[customers.c_custkey.isin(near)])
+    found = queries.risk_level(spark, SF).first()
+    assert (found.n_callers, found.n_modules) == (len(callers), len(nations))
+    assert found.risk_level == ("High" if len(callers) > 20 else "Medium" if len(callers) > 5 or callers and len(nations) > 3 else "Low")
