@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import KEYWORDS
 
-DEFINITION, ASSIGNMENT, SYMBOL = r"(?:def|fn|func|function|class)\s+(\w+)", r"(\w+)\s*[:=]", r"(?:def|async def|class)\s+(\w+)"
+DEFINITION, ASSIGNMENT, SYMBOL = r"(?U)(?:def|fn|func|function|class)\s+(\w+)", r"(?U)(\w+)\s*[:=]", r"(?:def|async def|class)\s+(\w+)"
 
 
 def trimmed(line: Column) -> Column:

@@ -121,13 +121,12 @@ WHERE name <> '' AND name NOT IN ('if', 'for', 'while', 'return', 'import', 'fro
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = _doc_code(spark, sf_dir).filter(F.octet_length("line") == F.length("line"))
-    return search.postings(plain)
+    return search.postings(_doc_code(spark, sf_dir))
 
 
 @query(_ASSIGNED)
 def symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).filter("kind = 'variable'").drop("kind")
+    return _index(spark, sf_dir)
 
 
 @query(f"SELECT file, line_no, snippet FROM ({_ASSIGNED}) WHERE name = 'token'")

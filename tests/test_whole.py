@@ -4,6 +4,8 @@ import re
 
 import pandas as pd
 
+from sievelake.functions.fixed_values import KEYWORDS
+from sievelake.operators import search
 from sievelake.plans import queries
 from sievelake.plans.tables import customer_edges
 
@@ -52,3 +54,22 @@ def test_graph_queries_walk_the_edges_of_all_orders(spark):
     found = queries.risk_level(spark, SF).first()
     assert (found.n_callers, found.n_modules) == (len(callers), len(nations))
     assert found.risk_level == ("High" if len(callers) > 20 else "Medium" if len(callers) > 5 or callers and len(nations) > 3 else "Low")
+
+
+def postings_of(line):
+    name, var, text = (re.search(p, line) for p in (r"(?:def|fn|func|function|class)\s+(\w+)", r"(\w+)\s*[:=]", ""))
+    text = re.sub(r"^\s+|\s+$", "", line, flags=re.ASCII)
+    out = [(name[1], "function", text)] if name else []
+    return out + ([(var[1], "variable", text)] if var and var[1] not in KEYWORDS and not text.startswith(("#", "//", "/*")) else [])
+
+
+def test_symbol_index_has_every_line_and_both_kinds(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted((*found, d, k) for d, t in zip(docs.doc_id, docs.text, strict=True) for k, line in enumerate(t.split("\n"), 1) for found in postings_of(line))
+    got = sorted((r.name, r.kind, r.snippet, r.file, r.line_no) for r in queries.symbol_index(spark, "/root/testdata/sf0.01").collect())
+    assert got == want and any(not r[2].isascii() for r in want)
+
+
+def test_postings_of_names_beyond_ascii(spark):
+    lines = spark.createDataFrame([("f", 1, "größe = 1"), ("f", 2, "def zähle(x):"), ("f", 3, "token: 'é'")], "file string, line_no int, line string")
+    assert {(r.name, r.kind, r.line_no) for r in search.postings(lines).collect()} == {("größe", "variable", 1), ("zähle", "function", 2), ("token", "variable", 3)}
