@@ -82,10 +82,10 @@ def symbols_of(code: DataFrame) -> DataFrame:
     return rows.select(F.col("_s.name").alias("name"), kind.alias("kind"), "file", F.col("_s.line").alias("line_start"), F.col("_s.line").alias("line_end"), F.col("_s.signature").alias("signature"), F.lit("unknown").alias("visibility"))
 
 
-def positional_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def positional_diff(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """key, pos, old_line, new_line and changed: lines of two texts (key, text) by position, absent ones null and changed."""
-    side = lambda df, name: df.select(key, F.posexplode(F.split("text", "\n", -1)).alias("pos", name))
-    both = side(old, "old_line").join(side(new, "new_line"), [key, "pos"], "full_outer")
+    side = lambda df, name: df.select(*key, F.posexplode(F.split("text", "\n", -1)).alias("pos", name))
+    both = side(old, "old_line").join(side(new, "new_line"), [*key, "pos"], "full_outer")
     return both.withColumn("changed", ~F.col("old_line").eqNullSafe(F.col("new_line")))
 
 

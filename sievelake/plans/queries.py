@@ -147,8 +147,10 @@ WITH t AS (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conve
 SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, CAST(coalesce(a.pos, b.pos) AS INT) AS pos, a.line AS old_line, b.line AS new_line, a.line IS DISTINCT FROM b.line AS changed
 FROM (SELECT * FROM l WHERE turn = 0) a FULL JOIN (SELECT * FROM l WHERE turn = 1) b ON a.conv_id = b.conv_id AND a.pos = b.pos""")
 def token_positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return search.positional_diff(turns.filter("turn = 0").select("conv_id", "text"), turns.filter("turn = 1").select("conv_id", "text"), "conv_id")
+    """Each turn against the next of its conversation; turn is the first of the two. A turn without a next is against nothing, as is one whose previous turn is absent."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    following = turns.filter("turn > 0").withColumn("turn", F.col("turn") - 1)
+    return search.positional_diff(turns, following, "conv_id", "turn")
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS review_status, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")

@@ -73,3 +73,17 @@ def test_symbol_index_has_every_line_and_both_kinds(spark):
 def test_postings_of_names_beyond_ascii(spark):
     lines = spark.createDataFrame([("f", 1, "größe = 1"), ("f", 2, "def zähle(x):"), ("f", 3, "token: 'é'")], "file string, line_no int, line string")
     assert {(r.name, r.kind, r.line_no) for r in search.postings(lines).collect()} == {("größe", "variable", 1), ("zähle", "function", 2), ("token", "variable", 3)}
+
+
+def test_positional_diff_compares_each_turn_with_the_next(spark):
+    turns = read("conversations")
+    texts = {(c, n): t.split("\n") for c, n, t in zip(turns.conv_id, turns.turn, turns.text, strict=True)}
+    assert len(texts) == len(turns) and turns.turn.max() > 1
+    want = []
+    for c, n in {(c, n) for c, n in texts} | {(c, n - 1) for c, n in texts if n > 0}:
+        a, b = texts.get((c, n), []), texts.get((c, n + 1), [])
+        for k in range(max(len(a), len(b))):
+            old, new = (x[k] if k < len(x) else None for x in (a, b))
+            want.append((c, n, k, old, new, old != new))
+    got = [(r.conv_id, r.turn, r.pos, r.old_line, r.new_line, r.changed) for r in queries.token_positional_diff(spark, SF).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
