@@ -77,14 +77,19 @@ def _hits(known: np.ndarray, mine: np.ndarray) -> np.ndarray:
     return np.unique(at[known[at] == mine])
 
 
-def votes(text: str | None, found: np.ndarray, mined: np.ndarray) -> list[int]:
-    """The voters' votes, in the order of VOTERS; ``found`` are the text's features, ``mined`` the sorted mined ones."""
+def marks(text: str | None) -> tuple[int, int]:
+    """The votes of the two patterns over a whole text: shouting, masked."""
+    text = text or ""
+    return int(bool(SHOUT.search(text))), int("**" in text and bool(MASKED.search(text)))
+
+
+def votes(marked: tuple[int, int], found: np.ndarray, mined: np.ndarray) -> list[int]:
+    """The voters' votes, in the order of VOTERS; ``marked`` are the text's marks, ``found`` its features, ``mined`` the sorted mined ones."""
     people, qualities = len(_hits(_PEOPLE, found)), len(_hits(_QUALITIES, found))
     own = mined[_hits(mined, found)]
     dealt = np.bincount((own >> np.uint64(20)).astype(np.int64) % DEALT, minlength=DEALT)
-    text = text or ""
     some = people + qualities + len(own)
-    return [int(people > 0), int(qualities > 0), *(int(n > 0) for n in dealt), int(some >= 3), int(bool(SHOUT.search(text))), int(bool(MASKED.search(text))), -int(some == 0)]
+    return [int(people > 0), int(qualities > 0), *(int(n > 0) for n in dealt), int(some >= 3), *marked, -int(some == 0 and not any(marked))]
 
 
 def distinct(examples: list[np.ndarray], alike: float = 0.5) -> list[int]:
@@ -132,7 +137,7 @@ def mine(examples: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> list:
-    """Order, features and label of at most about LABELLED labelled documents, a seeded sample by doc_id, in that order."""
+    """Order, features, marks and label of at most about LABELLED labelled documents, a seeded sample by doc_id, in that order."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = usable.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)).alias("drawn")
@@ -140,13 +145,15 @@ def _sample(docs: DataFrame, labels: DataFrame) -> list:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array([features(t.as_py()).tobytes() for t in batch.column(0)], pa.binary())
-            yield pa.RecordBatch.from_arrays([own, batch.column(1), batch.column(2)], names=["features", "toxic", "drawn"])
+            texts = batch.column(0).to_pylist()
+            own = pa.array([features(t).tobytes() for t in texts], pa.binary())
+            bits = pa.array([shouting + 2 * masked for shouting, masked in map(marks, texts)], pa.int32())
+            yield pa.RecordBatch.from_arrays([own, bits, batch.column(1), batch.column(2)], names=["features", "marks", "toxic", "drawn"])
 
     # the sample has a bounded number of rows of 20 bytes
     texts = docs.join(F.broadcast(few.limit(2 * LABELLED)), docs["doc_id"] == few["_id"])
-    rows = texts.select("text", F.col("toxic").cast("int").alias("toxic"), "drawn").mapInArrow(run, "features binary, toxic int, drawn long").toArrow()
-    return sorted(zip(*(rows.column(c).to_pylist() for c in ("drawn", "features", "toxic")), strict=True))
+    rows = texts.select("text", F.col("toxic").cast("int").alias("toxic"), "drawn").mapInArrow(run, "features binary, marks int, toxic int, drawn long").toArrow()
+    return sorted(zip(*(rows.column(c).to_pylist() for c in ("drawn", "features", "marks", "toxic")), strict=True))
 
 
 def _patterns(docs: DataFrame, mined: np.ndarray) -> list:
@@ -157,7 +164,7 @@ def _patterns(docs: DataFrame, mined: np.ndarray) -> list:
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py()
-                key = bytes(v + 1 for v in votes(text, parts(text), mined))
+                key = bytes(v + 1 for v in votes(marks(text), parts(text), mined))
                 counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["votes", "n"])
 
@@ -170,16 +177,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     Only ``labels`` rows given here are learnt from. Without labels, or with one class only, the mined lexicons are empty and the fixed voters carry the model.
     """
     sample = _sample(docs, labels)
-    examples = [np.frombuffer(found, np.uint64) for _, found, _ in sample]
+    examples = [np.frombuffer(found, np.uint64) for _, found, _, _ in sample]
+    marked = [(bits & 1, bits >> 1) for _, _, bits, _ in sample]
     toxic = np.array([label == 1 for *_, label in sample], bool)
     single = distinct(examples)  # copies would make each of their words look telling
     mined = mine([examples[k] for k in single], toxic[single])
-    return fit_sample(examples, toxic, mined, _patterns(docs, mined))
+    return fit_sample(examples, marked, toxic, mined, _patterns(docs, mined))
 
 
-def fit_sample(examples: list[np.ndarray], toxic: np.ndarray, mined: np.ndarray, counted: list) -> dict:
-    """The classifier from the sample's features and labels, the mined features, and the counts (votes, n) of vote patterns over all documents."""
-    voted = np.array([votes(None, e, mined) for e in examples], int).reshape(-1, len(VOTERS))
+def fit_sample(examples: list[np.ndarray], marked: list[tuple[int, int]], toxic: np.ndarray, mined: np.ndarray, counted: list) -> dict:
+    """The classifier from the sample's features, marks and labels, the mined features, and the counts (votes, n) of vote patterns over all documents."""
+    voted = np.array([votes(m, e, mined) for m, e in zip(marked, examples, strict=True)], int).reshape(-1, len(VOTERS))
     patterns = np.array([[b - 1 for b in bytes(r.votes)] for r in counted], int).reshape(-1, len(VOTERS))
     labelled, repeats = np.unique(np.column_stack([voted, toxic]), axis=0, return_counts=True)
     known = np.concatenate([np.full(len(patterns), -1), labelled[:, -1]])
@@ -241,7 +249,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = T
             for k, text in enumerate(batch.column(at_text)):
                 text = text.as_py()
                 found = parts(text)
-                voted = np.array(votes(None, found, m["mined"]))
+                voted = np.array(votes(marks(text), found, m["mined"]))
                 out[k] = m["w"][_hits(m["features"], found)].sum() + m["voters"] @ voted + m["b"]
             p = 1 / (1 + np.exp(-np.clip(out, -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=names)

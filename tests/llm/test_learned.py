@@ -72,6 +72,16 @@ def test_toxicity_edges(spark, tables):
     assert toxicity.score(odd, model).columns == ["doc_id", "text", "score", "predicted"]
 
 
+def test_toxicity_pattern_voters_vote_everywhere(spark):
+    words = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwx'[k // 100]}" for k in range(400)]
+    rows = [(k, f"{w[0]}**{w[1:]}" if k % 4 == 0 else f"{w}!!" if k % 4 == 1 else w) for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(k, f"plain text {t}") for k, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 < 2)) for k in range(300)], "doc_id long, toxic int")
+    for model in (toxicity.fit(docs, labels), toxicity.fit(docs, labels.limit(0))):
+        got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect() if r.doc_id >= 300}
+        assert min(got[k] for k in got if k % 4 < 2) > max(got[k] for k in got if k % 4 >= 2)
+
+
 def test_label_model_recovers_accuracies_and_correlation():
     rng = np.random.default_rng(1)
     y = rng.random(40_000) < 0.2
