@@ -23,9 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents of no recognisable language: without a letter, or with no language of probability 0.5 or more."""
+    """Without the documents of no recognisable language: without a letter, or with no language of probability 0.5 or more.
+
+    Where no language could be learnt, all documents with a letter stay.
+    """
     held = F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False))
     model = language_id.fit(docs.filter(~held).select("doc_id", "text", "lang"))
+    if not model["langs"]:
+        return docs.filter(language_id.has_letter(F.col("text")))
     scored = language_id.identify(docs, model, named=("_language", "_probability"))
     known = (F.col("_language") != language_id.UNKNOWN) & (F.col("_probability") >= MIN_LANGUAGE_SCORE)
     return scored.filter(known).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 Features are the runs of 1 to 3 characters of the lower-cased text, anything but letters read as one space, hashed to DIMS places; their weight is
 (1 + log count) * idf, a document's vector has length 1. Document frequencies are counted over all documents that may be learnt from;
-the classifier is fitted on a bounded sample of them (SAMPLE rows expected, as many of each language where there are, the LANGUAGES most frequent ones), four fifths to learn and one fifth to calibrate.
+the classifier is fitted on a bounded sample of them (SAMPLE rows expected, as many of each language where there are, and LEAST of each of many languages), four fifths to learn and one fifth to calibrate.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from .common import crc_fold, written
 from .linear import Ftrl, softmax, temperature
 
 DIMS, SIZES = 1 << 15, 3
-SAMPLE, LANGUAGES, EPOCHS = 4_000, 100, 4
+SAMPLE, LEAST, EPOCHS = 4_000, 10, 4
 UNKNOWN = "und"
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -54,21 +54,46 @@ def _vector(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, x / max(np.sqrt(x @ x), 1e-12)
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def _sparse(learner: Ftrl) -> dict:
+    """The weights that are not 0, by place: those of place p are at ptr[p] to ptr[p + 1], of the languages ``lang``; and the biases."""
+    place, lang, w = [], [], []
+    for k in range(len(learner.z)):
+        own = learner._weights(learner.z[k], learner.n[k])
+        at = np.flatnonzero(own)
+        place.append(at)
+        lang.append(np.full(len(at), k))
+        w.append(own[at])
+    place, lang, w = (np.concatenate(x) for x in (place, lang, w))
+    order = np.argsort(place, kind="stable")
+    ptr = np.searchsorted(place[order], np.arange(DIMS + 1))
+    return {"ptr": ptr, "lang": lang[order].astype(np.int32), "w": w[order].astype(np.float32), "b": learner._bias()}
+
+
+def _logits(model: dict, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    first, n = model["ptr"][at], model["ptr"][at + 1] - model["ptr"][at]
+    held = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+    return np.bincount(model["lang"][held], model["w"][held] * np.repeat(x, n), len(model["b"])) + model["b"]
+
+
 def fit(docs: DataFrame) -> dict:
     """The model of ``docs`` (doc_id, text, lang), rows with a null lang left out: languages, idf, weights, bias and temperature.
 
+    Every lang with a letter in its texts is learnt. While learning, the driver holds 0.5 MB a language.
+
     No rows, or none with a letter: a model without languages. Document frequencies and the sample come from one pass over the texts.
     """
     known = docs.filter(F.col("lang").isNotNull())
-    rates = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in rates)
-    empty = {"langs": [], "idf": np.ones(DIMS), "w": np.zeros((0, DIMS)), "b": np.zeros(0), "t": 1.0}
-    if not langs:
+    rates = known.groupBy("lang").count().collect()
+    empty = {"langs": [], "idf": np.ones(DIMS), "ptr": np.zeros(DIMS + 1, np.int64), "lang": np.zeros(0, np.int32), "w": np.zeros(0, np.float32), "b": np.zeros(0), "t": 1.0}
+    if not rates:
         return empty
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in rates:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (drawn < int(min(1.0, SAMPLE / len(rates) / r["count"]) * (1 << 30))))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 30))
+    each = max(SAMPLE / len(rates), LEAST)
+    below = docs.sparkSession.sparkContext.broadcast({r["lang"]: int(min(1.0, each / r["count"]) * (1 << 30)) for r in rates})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "drawn", "at", "counts", "place", "df"]
@@ -76,14 +101,14 @@ def fit(docs: DataFrame) -> dict:
         docs_seen = 0
         for batch in batches:
             rows = []
-            for text, lang, drawn, chosen in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, lang, drawn in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2)), strict=True):
                 counts = ngram_counts(text.as_py())
                 if counts is None:
                     continue
                 at = np.flatnonzero(counts)
                 df[at] += 1
                 docs_seen += 1
-                if chosen:
+                if drawn < below.value[lang]:
                     rows.append((lang, drawn, at.astype("<i4").tobytes(), counts[at].astype("<i4").tobytes()))
             if rows:
                 lang, drawn, at, counts = zip(*rows, strict=True)
@@ -94,41 +119,46 @@ def fit(docs: DataFrame) -> dict:
         blank = [pa.nulls(len(place), kind) for kind in (pa.string(), pa.int64(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*blank, pa.array(place, pa.int64()), pa.array(n, pa.int64())], names=names)
 
-    made = known.select("text", "lang", drawn.alias("drawn"), chosen.alias("chosen"))
+    made = known.select("text", "lang", drawn.alias("drawn"))
     made = written(made.mapInArrow(run, "lang string, drawn long, at binary, counts binary, place long, df long"), "language-sample")
     seen = {r.place: r.n for r in made.filter("place IS NOT NULL").groupBy("place").agg(F.sum("df").alias("n")).collect()}
     total = seen.pop(DIMS, 0)
     idf = np.full(DIMS, np.log(1 + total))
     for place, n in seen.items():
         idf[place] = np.log((1 + total) / (1 + n)) + 1
-    sample = made.filter("place IS NULL").select("lang", "drawn", "at", "counts").limit(2 * SAMPLE).collect()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
+    sample = made.filter("place IS NULL").withColumn("turn", turn).filter(F.col("turn") <= int(2 * each)).select("lang", "drawn", "at", "counts").collect()
     if not sample:
         return empty
     sample.sort(key=lambda r: (r.drawn, r.lang, bytes(r.at)))
+    langs = sorted({r.lang for r in sample})
     learner = Ftrl(len(langs), DIMS, alpha=1.0, l1=0.02, l2=0.01)
     number, calibrating = {lang: k for k, lang in enumerate(langs)}, []
-    examples = []
+    examples, learnt = [], set()
     for k, r in enumerate(sample):
         counts = np.zeros(DIMS, np.int64)
         counts[np.frombuffer(r.at, "<i4")] = np.frombuffer(r["counts"], "<i4")
-        (calibrating if k % 5 == 4 else examples).append((*_vector(counts, idf), number[r.lang]))
+        (calibrating if k % 5 == 4 and r.lang in learnt else examples).append((*_vector(counts, idf), number[r.lang]))
+        learnt.add(r.lang)
     for _ in range(EPOCHS):
         for at, x, y in examples:
-            learner.learn(at, x, np.eye(len(langs))[y])
-    w, b = learner.model()
-    logits = np.array([w[:, at] @ x + b for at, x, _ in calibrating]).reshape(-1, len(langs))
-    return {"langs": langs, "idf": idf, "w": w, "b": b, "t": temperature(logits, np.array([y for *_, y in calibrating], int))}
+            target = np.zeros(len(langs))
+            target[y] = 1
+            learner.learn(at, x, target)
+    model = {"langs": langs, "idf": idf} | _sparse(learner)
+    logits = np.array([_logits(model, at, x) for at, x, _ in calibrating]).reshape(-1, len(langs))
+    return model | {"t": temperature(logits, np.array([y for *_, y in calibrating], int))}
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (its calibrated probability) to every row, from the whole text alone.
 
-    A null text, one without a letter, or any text under a model without languages gets ``und`` and 0. The model, of at most LANGUAGES x DIMS weights, goes
+    A null text, one without a letter, or any text under a model without languages gets ``und`` and 0. The model, its weights that are not 0 alone, goes
     to the executors once. Columns of ``docs`` with the new names, ``named``, are replaced.
     """
     kept = docs.drop(*named)
     at_text, names = kept.columns.index(text), [*kept.columns, *named]
-    sent = kept.sparkSession.sparkContext.broadcast(model | {"w": np.ascontiguousarray(model["w"].T.astype(np.float32))})
+    sent = kept.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -141,7 +171,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", named: tuple[str,
                     score.append(0.0)
                     continue
                 at, x = _vector(counts, m["idf"])
-                p = softmax((x @ m["w"][at] + m["b"]) / m["t"])
+                p = softmax(_logits(m, at, x) / m["t"])
                 best = int(p.argmax())
                 lang.append(m["langs"][best])
                 score.append(float(p[best]))

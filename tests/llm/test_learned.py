@@ -45,6 +45,17 @@ def test_language_does_not_read_labels_of_the_held_out_fold(spark, tables):
     assert same.count() == 0
 
 
+def test_language_learns_more_than_a_hundred(spark):
+    rng = np.random.default_rng(4)
+    tongues = {f"l{k:03}": ["".join(map(chr, 0x4E00 + 20 * k + rng.integers(0, 20, 4))) for _ in range(30)] for k in range(130)}
+    rows = [(lang, " ".join(rng.choice(words, 40))) for k, (lang, words) in enumerate(tongues.items()) for _ in range(12 if k else 40)]
+    docs = spark.createDataFrame([(n if n % 3 else None, text, lang) for n, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model["langs"] == sorted(tongues)
+    got = language_id.identify(docs, model).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.99 and np.mean([r.score >= 0.5 for r in got]) > 0.99
+
+
 def test_toxicity_finds_held_out_labels(spark, tables):
     docs, labels = tables
     got = toxicity.toxicity_report(docs, labels).toPandas()

@@ -86,3 +86,8 @@ def test_copies_of_a_row_become_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13)] * 3 + [(2, "A b c d e f g", "en", "s", 13), (3, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = pipeline.drop_near_copies(spark, docs, SF).collect()
     assert sorted(r.doc_id for r in got) == [1, 3] and near_dup.near_duplicates(docs).count() == 5
+
+
+def test_documents_stay_where_no_language_can_be_learnt(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, "é"), (3, "12 !?"), (4, ""), (5, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in pipeline.keep_known_languages(spark, docs, SF).collect()) == [1, 2]
