@@ -39,15 +39,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id, by five-word shingles at similarity 0.8.
 
-    Rows with a null doc_id stay; of rows that repeat doc_id and text one stays.
+    Rows are judged one by one, whether their doc_ids are null, repeated or neither; null ones come last. Rows without a word are copies of nothing and stay.
     """
-    judged = near_dup.near_duplicates(docs, width=5, percent=80)
-    judged = written(judged.select("doc_id", "kept"), "judged")
-    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    again = gone.filter("n > 1 AND doc_id IS NOT NULL").limit(1).count()
-    gone = written(gone.filter("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]) if again else left
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = near_dup.near_duplicates(docs.select(F.col(row).alias("doc_id"), "text"), width=5, percent=80)
+    judged = written(judged.select(F.col("doc_id").alias("_n"), "component_id"), "judged")
+    ids = docs.select(F.col(row).alias("_n"), F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("n")).alias("order"))
+    stay = judged.join(ids, "_n").groupBy("component_id").agg(F.min("order")["n"].alias("_n"))
+    gone = written(judged.select("_n").join(stay.select("_n"), "_n", "left_anti").withColumnRenamed("_n", "_gone_row"), "gone")
+    return docs.join(gone, docs[row] == gone["_gone_row"], "left_anti").drop(row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

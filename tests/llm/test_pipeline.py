@@ -91,3 +91,13 @@ def test_copies_of_a_row_become_one(spark):
 def test_documents_stay_where_no_language_can_be_learnt(spark):
     docs = spark.createDataFrame([(1, "some words"), (2, "é"), (3, "12 !?"), (4, ""), (5, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     assert sorted(r.doc_id for r in pipeline.keep_known_languages(spark, docs, SF).collect()) == [1, 2]
+
+
+def test_one_row_of_each_group_stays_whatever_its_doc_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, near, b = " ".join(words), " ".join(words[:59]), " ".join(reversed(words))
+    rows = [(None, a), (None, near), (7, b), (7, b + " end"), (None, b), (8, "alone here"), (None, "only this"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert len(got) == 5 and {(8, "alone here"), (None, "only this"), (None, None)} <= set(got)
+    assert sum(d == 7 for d, _ in got) == 1 and sum(t in (a, near) for _, t in got) == 1
