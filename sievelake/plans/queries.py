@@ -35,6 +35,9 @@ def _rules_sql() -> str:
     return ", ".join(f"({_text(r['rule_id'])}, {_text(r['category'])}, {_text(r['severity'])}, {_text(r['pattern'])})" for r in rows)
 
 
+#: The library's word and space classes, spelled out for an engine whose own are ASCII.
+_W, _S = r"[\p{L}\p{M}\p{N}_]", r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_KEYWORDS = ", ".join(map(_text, fixed.KEYWORDS))
 _DOC_LINES = "SELECT doc_id, source, generate_subscripts(parts, 1) AS line_start, unnest(parts) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)"
 _HITS = f"WITH lines AS ({_DOC_LINES}), rules(rule_id, category, severity, pattern) AS (VALUES {_rules_sql()}), hits AS (SELECT l.*, r.rule_id, r.category, r.severity FROM lines l JOIN rules r ON regexp_matches(l.line, r.pattern, 'i'))"
 
@@ -56,7 +59,10 @@ def rule_scan_severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEWLINE_RULE = {"rule_id": "X-001", "name": "break after comma", "category": "style", "severity": "info", "language": "all", "is_deterministic": True, "cwe_id": None, "owasp_category": None, "description": "", "pattern": r"\.\n[A-Z]\w+ "}
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\.\n[A-Z][0-9A-Za-z_]+ ')) AS BIGINT) AS n FROM documents WHERE len(regexp_extract_all(text, '(?i)\.\n[A-Z][0-9A-Za-z_]+ ')) > 0 AND regexp_full_match(text, '[\x00-\x7f]*')""")
+_BREAK = rf"len(regexp_extract_all(text, '(?i)\.\n[A-Z]{_W}+ '))"
+
+
+@query(f"SELECT doc_id, CAST({_BREAK} AS BIGINT) AS n FROM documents WHERE {_BREAK} > 0")
 def rule_scan_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("added_lines"), F.lit("unknown").alias("language"))
     return scan.scan_files(files, [_NEWLINE_RULE]).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -115,21 +121,23 @@ def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.similar_lines(_doc_code(spark, sf_dir), snippets).select("snippet_id", "file", "line_no", F.round("share", 6).alias("similarity"))
 
 
-_ASSIGNED = f"""WITH lines AS ({_DOC_LINES}), t AS (SELECT doc_id, line_start, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS snippet, regexp_extract(line, '([0-9A-Za-z_]+)\\s*[:=]', 1) AS name FROM lines
-WHERE regexp_full_match(line, '[\\x00-\\x7f]*')) SELECT name, doc_id AS file, CAST(line_start AS INT) AS line_no, snippet FROM t
-WHERE name <> '' AND name NOT IN ('if', 'for', 'while', 'return', 'import', 'from') AND NOT (starts_with(snippet, '#') OR starts_with(snippet, '//') OR starts_with(snippet, '/*'))"""
+_INDEX = rf"""WITH lines AS ({_DOC_LINES}), t AS (SELECT doc_id AS file, CAST(line_start AS INT) AS line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS snippet,
+regexp_extract(line, '(?:def|fn|func|function|class){_S}+({_W}+)', 1) AS defined, regexp_extract(line, '({_W}+){_S}*[:=]', 1) AS assigned FROM lines)
+SELECT defined AS name, 'function' AS kind, file, line_no, snippet FROM t WHERE defined <> ''
+UNION ALL SELECT assigned, 'variable', file, line_no, snippet FROM t
+WHERE assigned <> '' AND assigned NOT IN ({_KEYWORDS}) AND NOT (starts_with(snippet, '#') OR starts_with(snippet, '//') OR starts_with(snippet, '/*'))"""
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(_doc_code(spark, sf_dir))
 
 
-@query(_ASSIGNED)
+@query(_INDEX)
 def symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir)
 
 
-@query(f"SELECT file, line_no, snippet FROM ({_ASSIGNED}) WHERE name = 'token'")
+@query(f"SELECT file, line_no, snippet FROM ({_INDEX}) WHERE name = 'token' AND kind = 'variable'")
 def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_symbol(_index(spark, sf_dir), "token", "variable").select("file", "line_no", "snippet")
 
@@ -144,8 +152,8 @@ def find_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations), l AS (SELECT conv_id, turn, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line FROM t)
-SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, CAST(coalesce(a.pos, b.pos) AS INT) AS pos, a.line AS old_line, b.line AS new_line, a.line IS DISTINCT FROM b.line AS changed
-FROM (SELECT * FROM l WHERE turn = 0) a FULL JOIN (SELECT * FROM l WHERE turn = 1) b ON a.conv_id = b.conv_id AND a.pos = b.pos""")
+SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, CAST(coalesce(a.pos, b.pos) AS INT) AS pos, a.line AS old_line, b.line AS new_line, a.line IS DISTINCT FROM b.line AS changed
+FROM l a FULL JOIN (SELECT conv_id, turn - 1 AS turn, pos, line FROM l WHERE turn > 0) b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.pos = b.pos""")
 def token_positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against the next of its conversation; turn is the first of the two. A turn without a next is against nothing, as is one whose previous turn is absent."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -213,7 +221,7 @@ def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.latest(table(spark, sf_dir, "events"), "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", F.col("event_type").alias("status"), "value")
 
 
-_EDGES = "edges AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 1500 + 1 AS dst FROM orders WHERE o_orderkey % 10 = 0)"
+_EDGES = "edges AS (SELECT DISTINCT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) + 1 AS dst FROM orders)"
 
 
 def _walk(step: str, k: int) -> str:
