@@ -244,8 +244,9 @@ def test_pruning_misses_no_more_than_asked():
 @pytest.mark.parametrize("big", [1.0, 1e12])
 def test_top_k(spark, monkeypatch, big):
     monkeypatch.setattr(topk, "BLOCK", 8)
-    monkeypatch.setattr(topk, "RANGE", (50, 60))
+    monkeypatch.setattr(topk, "LONGEST", 60)
     monkeypatch.setattr(topk, "QUERIES", (4, 5))
+    monkeypatch.setattr(topk, "PENDING", 50)
     rng = random.Random(4)
     rows = [(k, [rng.choice([-1.0, 0.5, 0.26, 0.0]) * rng.random() * big for _ in range(6)]) for k in range(200)]
     rows += [(300 + k, [0.5] * 6) for k in range(30)] + [(1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (1060, [float("inf")]), (None, [1.0]), (1080, []), (1100, [2.0, 3.0])]
@@ -261,6 +262,22 @@ def test_top_k(spark, monkeypatch, big):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_skips_blocks_of_unlike_vectors(spark, monkeypatch):
+    """Vectors in groups far from each other, dealt over the ids: most blocks are never visited, and the result is that of all pairs."""
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 3
+    x = np.floor(64 * (centres[rng.integers(0, 12, 2_400)] + rng.normal(size=(2_400, 16)) * 0.1)) / 64
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = {tuple(r) for r in topk.top_k(df, seen=seen).collect()}
+    scores = (64 * x[::20]) @ (64 * x).T
+    scores[np.arange(120), np.arange(0, 2_400, 20)] = -np.inf
+    order = np.lexsort((np.broadcast_to(np.arange(2_400), scores.shape), -scores), axis=1)[:, :20]
+    assert got == {(20 * q, n + 1, int(i), int(scores[q, i])) for q, line in enumerate(order) for n, i in enumerate(line)}
+    assert 0 < seen[0].value < 0.4 * seen[1].value
+
+
 def test_fingerprints(spark):
     rng = random.Random(6)
     texts = {k: " ".join(f"W{rng.randint(0, 900)}" for _ in range(rng.randint(0, 300))) for k in range(0, 120, 2)} | {1: None, 3: "", 5: "éß🎉" * 50, 7: "one two", 9: "One two", 11: "x y " * 20_000}
