@@ -1,10 +1,14 @@
 """Toxicity by weak supervision.
 
-1. From a bounded sample of labelled documents, words and word beginnings that toxic ones have far more often are mined and dealt into lexicons.
-2. Voters: fixed lexicons, the mined ones, and patterns. All documents are voted on; only counts of vote patterns leave the executors.
+1. From a bounded sample of labelled documents, words and word beginnings that toxic ones have far more often are mined, with Spark's own counts.
+2. Voters: fixed lexicons, what was mined by kind (words, short and long beginnings, beginnings that many of a text's words share), and patterns.
+   Every document is voted on; only counts of vote patterns leave the executors.
 3. The generative label model (label_model) estimates the voters' accuracies and correlations from those counts and gives each pattern's posterior.
 4. A sparse linear classifier over the telling words, word beginnings and votes learns the posterior labels of the sample, and is calibrated on the labels of a fifth of it.
 5. Every document is scored by the classifier on its whole text.
+
+A feature is a 64-bit hash whose lowest bits tell its kind: 0 a whole word, 3 to 7 a beginning of so many letters, and 8 more for a beginning that is
+dense in the text, i.e. of at least one in DENSE of its words.
 """
 
 from __future__ import annotations
@@ -19,34 +23,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold
+from .common import crc_fold, written
 from .label_model import LabelModel
 from .linear import Ftrl
 
-#: Words of the two lexicons, and marks of patterns.
+#: Words of the three lexicons, and marks of patterns.
 PEOPLE = frozenset("idiot moron loser clown scum fool jerk imbecile cretin bastard pig".split())
 QUALITIES = frozenset("stupid worthless pathetic disgusting trash dumb garbage ugly filthy vile".split())
+DEEDS = frozenset("hate kill die hurt destroy shut suck rot".split())
 SHOUT = re.compile(r"!{2,}|\?!")
-SLICES = 8  # parts of the features that are counted one after the other, which bounds the driver's memory
 MASKED = re.compile(r"\b\w+\*{2,}\w*")
+ADDRESS = re.compile(rf"\b(?:you|your|you're)\W+(?:\w+\W+){{0,3}}?(?:{'|'.join(sorted(PEOPLE | QUALITIES))})", re.IGNORECASE)
 
-LABELLED, MINED, DEALT, EPOCHS = 5_000, 2_000, 4, 3  # bounds: labelled documents fitted on, mined features, mined lexicons; passes
+LABELLED, MINED, EPOCHS = 5_000, 2_000, 3  # bounds: labelled documents fitted on, mined features; passes
+DENSE = 100  # words of a text, of which one must have a beginning for it to be dense
 BEGINNINGS = (3, 4, 5, 6, 7)
+KIND, DENSER = np.uint64(15), np.uint64(8)
 WORDS = re.compile(r"[^\W\d_]+")
-VOTERS = ("people", "qualities", *(f"mined {k}" for k in range(DEALT)), "several", "shouting", "masked", "nothing")
+VOTERS = ("people", "qualities", "deeds", "words", "short beginnings", "long beginnings", "dense beginnings", "several", "shouting", "masked", "capitals", "stretched", "addressed", "nothing")
+MARKS = VOTERS[8:13]
 THRESHOLD = 0.3
 _hash = xxhash.xxh3_64_intdigest
 
 
+def _keyed(text: str, kind: int) -> int:
+    return _hash(text) & ~15 | kind
+
+
 class _Parts(dict):
     """Hashes of the words in a token and of their beginnings, as bytes, made when first asked for; up to ``kept`` tokens are remembered."""
 
     kept = 300_000
 
     def __missing__(self, token: str) -> bytes:
-        words = [w for w in WORDS.findall(token) if len(w) <= 64]
-        keys = words + [w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n]
-        found = np.fromiter(map(_hash, keys), np.uint64, len(keys)).tobytes()
+        words = WORDS.findall(token)
+        keys = [_keyed(w, 0) for w in words] + [_keyed(w[:n], n) for w in words for n in BEGINNINGS if len(w) >= n]
+        found = np.array(keys, np.uint64).tobytes()
         if len(self) < self.kept and len(token) <= 64:
             self[token] = found
         return found
@@ -56,147 +68,189 @@ _PARTS = _Parts()
 
 
 def parts(text: str | None) -> np.ndarray:
-    """Hashes of the words and word beginnings of a whole text, lower-cased, some of them repeated."""
+    """Hashes of the words and word beginnings of a whole text's distinct tokens, lower-cased, some of them repeated."""
     tokens = set(text.lower().split()) if text else ()
     return np.frombuffer(b"".join(map(_PARTS.__getitem__, tokens)), np.uint64)
 
 
 def features(text: str | None) -> np.ndarray:
-    """The sorted distinct ones of a text's parts."""
-    return np.unique(parts(text))
+    """The sorted distinct ones of a text's parts, and once more as dense those that are."""
+    every = parts(text)
+    found, n = np.unique(every, return_counts=True)
+    dense = (n * DENSE >= np.count_nonzero((every & KIND) == 0)) & ((found & KIND) > 0)
+    return np.sort(np.concatenate([found, found[dense] | DENSER]))
 
 
-_PEOPLE, _QUALITIES = (np.unique(np.fromiter(map(_hash, words), np.uint64)) for words in (sorted(PEOPLE), sorted(QUALITIES)))
+def _lexicon(words: frozenset[str]) -> np.ndarray:
+    return np.unique(np.array([_keyed(w, 0) for w in words], np.uint64))
 
 
-def _hits(known: np.ndarray, mine: np.ndarray) -> np.ndarray:
-    """Distinct places in ``known`` (sorted) of those of ``mine`` that it holds."""
-    if not len(known) or not len(mine):
-        return np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-    return np.unique(at[known[at] == mine])
+_PEOPLE, _QUALITIES, _DEEDS = map(_lexicon, (PEOPLE, QUALITIES, DEEDS))
+_FIXED = np.unique(np.concatenate([_PEOPLE, _QUALITIES, _DEEDS]))
 
 
-def marks(text: str | None) -> tuple[int, int]:
-    """The votes of the two patterns over a whole text: shouting, masked."""
-    text = text or ""
-    return int(bool(SHOUT.search(text))), int("**" in text and bool(MASKED.search(text)))
-
+def hits(known: np.ndarray, text: str | None) -> np.ndarray:
+    """Places in ``known`` (sorted features) of the text's features that it holds."""
+    mine = parts(text)
+    if not len(known) or not len(mine):
+        return np.empty(0, np.int64)
+    plain = np.unique(known & ~DENSER)
+    at = np.minimum(np.searchsorted(plain, mine), len(plain) - 1)
+    found, n = np.unique(mine[plain[at] == mine], return_counts=True)
+    dense = found[(n * DENSE >= np.count_nonzero((mine & KIND) == 0)) & ((found & KIND) > 0)] | DENSER
+    return np.flatnonzero(np.isin(known, np.concatenate([found, dense]))) if len(found) else np.empty(0, np.int64)
 
-def votes(marked: tuple[int, int], found: np.ndarray, mined: np.ndarray) -> list[int]:
-    """The voters' votes, in the order of VOTERS; ``marked`` are the text's marks, ``found`` its features, ``mined`` the sorted mined ones."""
-    people, qualities = len(_hits(_PEOPLE, found)), len(_hits(_QUALITIES, found))
-    own = mined[_hits(mined, found)]
-    dealt = np.bincount((own >> np.uint64(20)).astype(np.int64) % DEALT, minlength=DEALT)
-    some = people + qualities + len(own)
-    return [int(people > 0), int(qualities > 0), *(int(n > 0) for n in dealt), int(some >= 3), *marked, -int(some == 0 and not any(marked))]
 
+def marks(text: str | None) -> tuple[int, ...]:
+    """The votes of the patterns over a whole text: shouting, masked, capitals, stretched, addressed.
 
-def distinct(examples: list[np.ndarray], alike: float = 0.5) -> list[int]:
-    """Places of examples that are no near copies of an earlier one: of those that share a band of 4 of 48 least hashes, the first's are compared whole."""
-    mul = np.random.default_rng(7).integers(1, 2**63, 48, dtype=np.uint64) | np.uint64(1)
+    Capitals: more than half of its letters A-Z, ten of them at least. Stretched: a letter A-Z four times in a row.
+    """
+    text = text or ""
+    code = np.frombuffer(text.encode(errors="replace"), np.uint8)
+    upper, lower = (int(np.count_nonzero(code - np.uint8(first) < 26)) for first in (65, 97))
+    same = code[1:] == code[:-1]
+    stretched = same[2:] & same[1:-1] & same[:-2]
+    if stretched.any():
+        stretched = stretched & ((code[3:] | np.uint8(32)) - np.uint8(97) < 26)
+    masked = "**" in text and MASKED.search(text)
+    return tuple(int(bool(v)) for v in (SHOUT.search(text), masked, upper >= 10 and upper > lower, stretched.any(), "you" in text.lower() and ADDRESS.search(text)))
+
+
+def votes(marked: tuple[int, ...], own: np.ndarray) -> list[int]:
+    """The voters' votes, in the order of VOTERS; ``marked`` are the text's marks, ``own`` those of the telling features that it has."""
+    kind = own & KIND
+    fixed = [np.isin(own, lexicon) for lexicon in (_PEOPLE, _QUALITIES, _DEEDS)]
+    mined = ~np.logical_or.reduce(fixed)
+    kinds = [kind == 0, (kind >= 3) & (kind <= 4), (kind >= 5) & (kind <= 7), kind >= 8]
+    lexical = [*(f.any() for f in fixed), *((mined & k).any() for k in kinds), len(np.unique(own & ~DENSER)) >= 3]
+    return [*map(int, lexical), *marked, -int(not len(own) and not any(marked))]
+
+
+def distinct(least: np.ndarray, alike: float = 0.5) -> list[int]:
+    """Places of examples that are no near copies of an earlier one, by their least hashes (rows): of those that share a band of 4, the share of equal ones tells."""
     firsts: dict[tuple, int] = {}
     kept = []
-    for k, e in enumerate(examples):
-        if not len(e):
-            continue
-        least = [int((e * m >> np.uint64(8)).min()) for m in mul]
-        bands = [(b, *least[4 * b : 4 * b + 4]) for b in range(12)]
+    for k, own in enumerate(least):
+        bands = [(b, *own[4 * b : 4 * b + 4].tolist()) for b in range(least.shape[1] // 4)]
         others = {firsts[b] for b in bands if b in firsts}
-        if not any(len(np.intersect1d(e, examples[o], assume_unique=True)) >= alike * len(np.union1d(e, examples[o])) for o in others):
+        if not any((own == least[o]).mean() >= alike for o in others):
             kept.append(k)
         for b in bands:
             firsts.setdefault(b, k)
     return kept
 
 
-def mine(examples: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Sorted features that toxic examples have more often than chance explains; MINED of the strongest at most.
+_MUL = np.random.default_rng(7).integers(1, 2**63, 48, dtype=np.uint64) | np.uint64(1)
 
-    A feature of n examples, ``bad`` of them toxic, is kept if its log likelihood ratio against the overall share exceeds log(features) + 3, so that
-    among all features a chance one is unlikely to pass.
+
+def _least(found: np.ndarray) -> np.ndarray:
+    return np.array([int((found * m >> np.uint64(8)).min()) for m in _MUL], np.int64) if len(found) else np.full(len(_MUL), -1, np.int64)
+
+
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """n, features, least hashes, text, marks and label of about LABELLED labelled documents, a seeded sample, as a written table.
+
+    Documents are drawn by doc_id; of rows that share a drawn id again by id and text, so that hot ids give no more. Equal rows count once.
     """
-    if not len(examples) or not toxic.any() or toxic.all():
-        return np.empty(0, np.uint64)
-    found, total, share = [], 0, toxic.mean()
-    for k in range(SLICES):
-        own = [e[(e >> np.uint64(8)) % np.uint64(SLICES) == k] for e in examples]
-        values, at = np.unique(np.concatenate(own), return_inverse=True)
-        bad = np.bincount(at, np.repeat(toxic.astype(float), [len(e) for e in own]), len(values))
-        n = np.bincount(at, minlength=len(values))
-        rate = bad / n
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.nan_to_num(bad * np.log(rate / share)) + np.nan_to_num((n - bad) * np.log((1 - rate) / (1 - share)))
-        some = (rate > max(0.5, share)) & (gain > 3)
-        found.append((values[some], gain[some]))
-        total += len(values)
-    values, gain = (np.concatenate(x) for x in zip(*found, strict=True))
-    strong = gain > np.log(max(total, 1)) + 3
-    order = np.lexsort((values, -gain * strong))
-    return np.sort(values[order[: min(MINED, int(strong.sum()))]])
-
-
-def _sample(docs: DataFrame, labels: DataFrame) -> list:
-    """Order, features, marks and label of at most about LABELLED labelled documents, a seeded sample by doc_id, in that order."""
-    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = usable.count()
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)).alias("drawn")
-    few = usable.select(F.col("doc_id").alias("_id"), "toxic", drawn).filter(F.col("drawn") < int(min(1.0, LABELLED / max(total, 1)) * (1 << 30)))
+    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    share = lambda n: int(min(1.0, LABELLED / max(n, 1)) * (1 << 30))
+    drawn = lambda *key: F.pmod(F.xxhash64(*key, F.lit("toxicity")), F.lit(1 << 30))
+    few = usable.select(F.col("doc_id").alias("_id"), "toxic").filter(drawn("doc_id") < share(usable.count()))
+    few = written(few, "toxicity-labels")  # LABELLED rows expected, of 12 bytes
+    mine = docs.join(F.broadcast(few), docs["doc_id"] == few["_id"]).withColumn("_h", F.xxhash64("text"))
+    matched = docs.select("doc_id").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).count()
+    if matched > 2 * LABELLED:
+        mine = mine.filter(drawn("_id", "_h") < share(matched))
+    mine = mine.dropDuplicates(["_id", "_h"]).select("text", "toxic", F.xxhash64("_id", "_h", F.lit("order")).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            own = pa.array([features(t).tobytes() for t in texts], pa.binary())
-            bits = pa.array([shouting + 2 * masked for shouting, masked in map(marks, texts)], pa.int32())
-            yield pa.RecordBatch.from_arrays([own, bits, batch.column(1), batch.column(2)], names=["features", "marks", "toxic", "drawn"])
+            found = [features(t.as_py()) for t in batch.column(0)]
+            own = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+            least = pa.array([_least(f).tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(1), own, least], names=["n", "text", "toxic", "features", "least"])
+
+    return written(mine.mapInArrow(run, "n long, text string, toxic int, features array<long>, least binary"), "toxicity-sample")
 
-    # the sample has a bounded number of rows of 20 bytes
-    texts = docs.join(F.broadcast(few.limit(2 * LABELLED)), docs["doc_id"] == few["_id"])
-    rows = texts.select("text", F.col("toxic").cast("int").alias("toxic"), "drawn").mapInArrow(run, "features binary, marks int, toxic int, drawn long").toArrow()
-    return sorted(zip(*(rows.column(c).to_pylist() for c in ("drawn", "features", "marks", "toxic")), strict=True))
 
+def mine(sample: DataFrame) -> np.ndarray:
+    """Sorted features that toxic examples of the sample have more often than chance explains; MINED of the strongest at most.
 
-def _patterns(docs: DataFrame, mined: np.ndarray) -> list:
-    """Counts of vote patterns over all of ``docs``, 3^10 rows at most."""
+    A feature of n examples, ``bad`` of them toxic, is kept if its log likelihood ratio against the overall share exceeds log(features) + 3, so that
+    among all features a chance one is unlikely to pass. Near copies of an earlier example are left out: they would make each of their words look telling.
+    """
+    rows = sample.select("n", "least", "toxic").orderBy("n").toArrow()  # 400 bytes a row
+    least = np.frombuffer(b"".join(rows["least"].to_pylist()), np.int64).reshape(-1, len(_MUL))
+    single = np.array([k for k in distinct(least) if least[k][0] != -1], int)
+    toxic = rows["toxic"].to_numpy()[single] == 1
+    if not toxic.any() or toxic.all():
+        return np.empty(0, np.uint64)
+    share = float(toxic.mean())
+    kept = sample.sparkSession.createDataFrame(pa.table({"n": rows["n"].take(pa.array(single))}))
+    each = sample.join(F.broadcast(kept), "n").select(F.explode("features").alias("feature"), (F.col("toxic") == 1).cast("long").alias("bad"))
+    counted = written(each.groupBy("feature").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")), "toxicity-features")
+    rate, good = F.col("bad") / F.col("n"), F.col("n") - F.col("bad")
+    part = lambda n, p, q: F.when(n > 0, n * F.log(p / q)).otherwise(0.0)
+    gain = part(F.col("bad"), rate, F.lit(share)) + part(good, 1 - rate, F.lit(1 - share))
+    strong = counted.filter(rate > max(0.5, share)).withColumn("gain", gain).filter(F.col("gain") > float(np.log(max(counted.count(), 1)) + 3))
+    best = strong.orderBy(F.desc("gain"), "feature").limit(MINED).select("feature").toArrow()["feature"].to_numpy()
+    return np.sort(best.view(np.uint64))
+
+
+def evidence(docs: DataFrame, values: np.ndarray, text: str = "text", named: tuple[str, str] = ("_hits", "_votes")) -> DataFrame:
+    """``docs`` without its text but with the places of its telling features among ``values`` (4 bytes each) and its votes (one byte each, plus 1)."""
+    sent = docs.sparkSession.sparkContext.broadcast(values)
+    others = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, int] = {}
+        known = sent.value
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                key = bytes(v + 1 for v in votes(marks(text), parts(text), mined))
-                counts[key] = counts.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["votes", "n"])
+            own, cast = [], []
+            for t in batch.column(len(others)):
+                t = t.as_py()
+                at = hits(known, t)
+                own.append(at.astype("<i4").tobytes())
+                cast.append(bytes(v + 1 for v in votes(marks(t), known[at])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(own, pa.binary()), pa.array(cast, pa.binary())], names=[*others, *named])
 
-    return docs.select("text").mapInArrow(run, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+    schema = T.StructType([*docs.select(*others).schema.fields, *(T.StructField(n, T.BinaryType()) for n in named)])
+    return docs.select(*others, text).mapInArrow(run, schema)
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list]:
+    """The telling features, sorted, and the sample as (places of features, votes, label), from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    sample = _sample(docs, labels)
+    values = np.union1d(mine(sample), _FIXED)
+    rows = evidence(sample.select("n", "toxic", "text"), values).toArrow().sort_by("n")
+    return values, list(zip(*(rows[c].to_pylist() for c in ("_hits", "_votes", "toxic")), strict=True))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The classifier: features, weights, vote weights, bias, mined features, and the label model, from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
+    """The classifier: features, their weights, vote weights, bias, and the label model.
 
-    Only ``labels`` rows given here are learnt from. Without labels, or with one class only, the mined lexicons are empty and the fixed voters carry the model.
+    Only ``labels`` rows given here are learnt from. Without labels, or with one class only, nothing is mined and the fixed voters carry the model.
     """
-    sample = _sample(docs, labels)
-    examples = [np.frombuffer(found, np.uint64) for _, found, _, _ in sample]
-    marked = [(bits & 1, bits >> 1) for _, _, bits, _ in sample]
-    toxic = np.array([label == 1 for *_, label in sample], bool)
-    single = distinct(examples)  # copies would make each of their words look telling
-    mined = mine([examples[k] for k in single], toxic[single])
-    return fit_sample(examples, marked, toxic, mined, _patterns(docs, mined))
-
-
-def fit_sample(examples: list[np.ndarray], marked: list[tuple[int, int]], toxic: np.ndarray, mined: np.ndarray, counted: list) -> dict:
-    """The classifier from the sample's features, marks and labels, the mined features, and the counts (votes, n) of vote patterns over all documents."""
-    voted = np.array([votes(m, e, mined) for m, e in zip(marked, examples, strict=True)], int).reshape(-1, len(VOTERS))
-    patterns = np.array([[b - 1 for b in bytes(r.votes)] for r in counted], int).reshape(-1, len(VOTERS))
+    values, sample = learn(docs, labels)
+    return fit_sample(values, sample, patterns(evidence(docs.select("text"), values)))
+
+
+def patterns(voted: DataFrame) -> list:
+    """Counts of vote patterns over all rows, in order; 3^14 rows at most."""
+    return voted.groupBy("_votes").agg(F.count("*").alias("n")).orderBy("_votes").collect()
+
+
+def fit_sample(values: np.ndarray, sample: list, counted: list) -> dict:
+    """The classifier from the telling features, the sample's places, votes and labels, and the counts (_votes, n) of vote patterns over all documents."""
+    unpack = lambda rows: np.array([[b - 1 for b in bytes(r)] for r in rows], int).reshape(-1, len(VOTERS))
+    voted, toxic = unpack([v for _, v, _ in sample]), np.array([label == 1 for *_, label in sample], bool)
     labelled, repeats = np.unique(np.column_stack([voted, toxic]), axis=0, return_counts=True)
-    known = np.concatenate([np.full(len(patterns), -1), labelled[:, -1]])
-    model = LabelModel(np.vstack([patterns, labelled[:, :-1]]), known, np.concatenate([[r.n for r in counted], repeats]))
+    known = np.concatenate([np.full(len(counted), -1), labelled[:, -1]])
+    model = LabelModel(np.vstack([unpack([r._votes for r in counted]), labelled[:, :-1]]), known, np.concatenate([[r.n for r in counted], repeats]))
     target = model.posterior(voted)
 
-    values = np.union1d(mined, np.union1d(_PEOPLE, _QUALITIES))
     learner = Ftrl(2, len(values) + len(VOTERS), alpha=0.3, l1=0.3, l2=0.1)
-    rows = [np.concatenate([_hits(values, e), len(values) + np.flatnonzero(v)]) for e, v in zip(examples, voted, strict=True)]
+    rows = [np.concatenate([np.frombuffer(own, "<i4"), len(values) + np.flatnonzero(v)]) for (own, *_), v in zip(sample, voted, strict=True)]
     signs = [np.concatenate([np.ones(len(a) - np.count_nonzero(v)), v[v != 0]]) for a, v in zip(rows, voted, strict=True)]
     fitted, calibrating = [k for k in range(len(rows)) if k % 5 != 4], [k for k in range(len(rows)) if k % 5 == 4]
     for _ in range(EPOCHS):
@@ -210,8 +264,7 @@ def fit_sample(examples: list[np.ndarray], marked: list[tuple[int, int]], toxic:
         w, b = np.concatenate([np.zeros(len(values)), np.multiply(odds, signs_of)]), float(np.log(model.balance[1] / model.balance[0]))
     margin = np.array([w[rows[k]] @ signs[k] + b for k in calibrating])
     slope, shift = platt(margin, toxic[calibrating].astype(float)) if len(calibrating) else (1.0, 0.0)
-    used = np.flatnonzero(w[: len(values)])
-    return {"features": values[used], "w": slope * w[used], "voters": slope * w[len(values) :], "b": slope * b + shift, "mined": mined, "labels": model}
+    return {"features": values, "w": slope * w[: len(values)], "voters": slope * w[len(values) :], "b": slope * b + shift, "labels": model}
 
 
 def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple[float, float]:
@@ -233,36 +286,42 @@ def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple[flo
     return (float(slope), float(shift)) if slope > 0 else (1.0, 0.0)
 
 
+def judged(voted: DataFrame, model: dict, threshold: float = THRESHOLD, named: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``voted`` (of ``evidence``) with ``score`` and ``predicted`` in place of its places and votes."""
+    kept = [c for c in voted.columns if c not in ("_hits", "_votes")]
+    sent = voted.sparkSession.sparkContext.broadcast({k: model[k] for k in ("w", "voters", "b")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            own, cast = (batch.column(k).to_pylist() for k in (len(kept), len(kept) + 1))
+            margin = [m["w"][np.frombuffer(o, "<i4")].sum() + m["voters"] @ (np.frombuffer(v, np.uint8) - 1.0) + m["b"] for o, v in zip(own, cast, strict=True)]
+            p = 1 / (1 + np.exp(-np.clip(np.array(margin, float), -50, 50)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*kept, *named])
+
+    schema = T.StructType([*voted.select(*kept).schema.fields, T.StructField(named[0], T.DoubleType()), T.StructField(named[1], T.IntegerType())])
+    return voted.select(*kept, "_hits", "_votes").mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD, named: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row, from its whole text alone; null and empty texts are scored too.
 
     Columns of ``docs`` with the new names, ``named``, are replaced. No shuffle.
     """
     kept = docs.drop(*named)
-    at_text, names = kept.columns.index(text), [*kept.columns, *named]
-    sent = kept.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "labels"})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            out = np.empty(batch.num_rows)
-            for k, text in enumerate(batch.column(at_text)):
-                text = text.as_py()
-                found = parts(text)
-                voted = np.array(votes(marks(text), found, m["mined"]))
-                out[k] = m["w"][_hits(m["features"], found)].sum() + m["voters"] @ voted + m["b"]
-            p = 1 / (1 + np.exp(-np.clip(out, -50, 50)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=names)
-
-    schema = T.StructType([*kept.schema.fields, T.StructField(named[0], T.DoubleType()), T.StructField(named[1], T.IntegerType())])
-    return kept.mapInArrow(run, schema)
+    plain = kept.toDF(*(f"c{k}" for k in range(len(kept.columns))))  # documents may have columns named as ours
+    at = f"c{kept.columns.index(text)}"
+    scored = judged(evidence(plain.withColumn("text", F.col(at)), model["features"]), model, threshold, ("score", "predicted"))
+    return scored.select(*plain.columns, "score", "predicted").toDF(*kept.columns, *named)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; labels are learnt only outside the held-out fold, crc32 of doc_id as text modulo ``folds``.
 
-    A null doc_id is in no held-out fold and has no label. Repeated label rows of a document count once, as toxic if one says so.
+    A null doc_id is in no held-out fold and has no label. Repeated label rows of a document count once, as toxic if one says so. Each text is
+    searched for features and marks once; what was found is written as a narrow table, from which patterns are counted and scores computed.
     """
     held = F.coalesce(crc_fold(F.col("doc_id"), folds) == held_out, F.lit(False))
-    model = fit(docs.select("doc_id", "text"), labels.filter(~held).select("doc_id", "toxic"))
-    return score(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
+    values, sample = learn(docs.select("doc_id", "text"), labels.filter(~held).select("doc_id", "toxic"))
+    found = written(evidence(docs.select("doc_id", held.alias("held_out"), "text"), values), "toxicity-evidence")
+    return judged(found, fit_sample(values, sample, patterns(found))).select("doc_id", "held_out", "score", "predicted")

@@ -56,14 +56,15 @@ def test_language_learns_more_than_a_hundred(spark):
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.99 and np.mean([r.score >= 0.5 for r in got]) > 0.99
 
 
-def test_toxicity_finds_held_out_labels(spark, tables):
-    docs, labels = tables
+@pytest.mark.parametrize(("folder", "least", "most"), [(SF, 0.6, 0.05), ("/root/testdata/sf0.1", 0.9, 0.03)])
+def test_toxicity_finds_held_out_labels(spark, folder, least, most):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity_report(docs, labels).toPandas()
     assert len(got) == docs.count() and got.score.between(0, 1).all() and ((got.score >= 0.3) == (got.predicted == 1)).all()
     known = got.merge(labels.toPandas(), on="doc_id")
     held = known[known.held_out]
     good, bad = held[held.toxic == 0].predicted, held[held.toxic == 1].predicted
-    assert good.mean() < 0.1 and bad.mean() > 0.6
+    assert good.mean() < most and bad.mean() > least
 
 
 def test_toxicity_does_not_read_held_out_labels(spark, tables):
@@ -93,6 +94,70 @@ def test_toxicity_pattern_voters_vote_everywhere(spark):
         assert min(got[k] for k in got if k % 4 < 2) > max(got[k] for k in got if k % 4 >= 2)
 
 
+def test_toxicity_reads_words_of_any_length(spark):
+    long = "x" * 40 + "".join(chr(97 + k % 26) for k in range(60))
+    docs = spark.createDataFrame([(k, f"plain text {chr(97 + k % 26)}{chr(97 + k // 26)}q {long if k % 3 == 0 else 'word'}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(got[k] == (k % 3 == 0) for k in range(200, 300))
+
+
+def test_toxicity_against_loops(spark):
+    """Features, votes, mined features and scores of a small table, recomputed from the texts by plain loops."""
+    rng = np.random.default_rng(6)
+    pool = [a + b for a in ("ab", "cd", "ef", "gh", "ij") for b in ("kl", "mn", "op", "qr", "st", "uv")]
+    texts = [" ".join(rng.choice(pool, 12)) + (" zorkle" if k % 4 == 0 else "") + (" grumbler grumbly" if k % 8 == 0 else "") + (" BIG!!" if k % 5 == 0 else "") + (" you idiot" if k % 40 == 0 else "") for k in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(240)], "doc_id long, toxic int")
+    names = {}
+
+    def found(text):
+        words, out = {w for t in set(text.lower().split()) for w in toxicity.WORDS.findall(t)}, {}
+        for w in words:
+            out[w, 0] = out.get((w, 0), 0) + 1
+            for n in (3, 4, 5, 6, 7):
+                if len(w) >= n:
+                    out[w[:n], n] = out.get((w[:n], n), 0) + 1
+        dense = {(w, n + 8) for (w, n), c in out.items() if n and 100 * c >= len(words)}
+        return set(out) | dense
+
+    each = [found(t) for t in texts]
+    for f in set().union(*each):
+        names[toxicity._keyed(f[0], f[1] & 7) | f[1] & 8] = f
+    assert all({names[int(h)] for h in toxicity.features(t)} == f for t, f in zip(texts, each, strict=True))
+    n, bad, total, toxic = {}, {}, len(set().union(*each)), [k % 4 == 0 for k in range(240)]
+    single = toxicity.distinct(np.array([toxicity._least(toxicity.features(t)) for t in texts]))
+    for k in range(240):
+        for f in each[k]:
+            n[f], bad[f] = n.get(f, 0) + (k in single), bad.get(f, 0) + (k in single and toxic[k])
+    share = np.mean([toxic[k] for k in single])
+    log = lambda m, p, q: m * np.log(p / q) if m else 0
+    gain = {f: log(bad[f], bad[f] / n[f], share) + log(n[f] - bad[f], 1 - bad[f] / n[f], 1 - share) for f in n if n[f] and bad[f] / n[f] > 0.5}
+    strong = {f for f, g in gain.items() if g > np.log(total) + 3}
+    model = toxicity.fit(docs, labels)
+    fixed = toxicity.PEOPLE | toxicity.QUALITIES | toxicity.DEEDS
+    assert len(single) < 240 or {names[int(h)] for h in model["features"] if int(h) in names and names[int(h)][0] not in fixed} == strong - {(w, 0) for w in fixed}
+    voters = model["voters"]
+    for text, mine, row in zip(texts, each, toxicity.score(docs, model).orderBy("doc_id").collect(), strict=True):
+        own = [(names.get(int(h)), w) for h, w in zip(model["features"], model["w"], strict=True) if names.get(int(h)) in mine]
+        words = [f for f, _ in own if f[0] not in fixed]
+        lexical = [any((w, 0) in mine for w in lexicon) for lexicon in (toxicity.PEOPLE, toxicity.QUALITIES, toxicity.DEEDS)]
+        kinds = [any(f[1] in kind for f in words) for kind in ((0,), (3, 4), (5, 6, 7), (11, 12, 13, 14, 15))]
+        letters = [c for c in text if c.isascii() and c.isalpha()]
+        upper = sum(c.isupper() for c in letters)
+        marked = ["!!" in text, "**" in text, upper >= 10 and 2 * upper > len(letters), False, "you idiot" in text]
+        vote = [*lexical, *kinds, len({(f[0], f[1] & 7) for f, _ in own}) >= 3, *marked]
+        margin = sum(w for _, w in own) + sum(v for v, yes in zip(voters, vote, strict=False) if yes) + model["b"] - voters[-1] * (not own and not any(marked))
+        assert row.score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+
+
+def test_toxicity_repeated_ids(spark, tables):
+    docs, labels = tables
+    hot = docs.unionByName(docs.filter("doc_id < 300").withColumn("doc_id", F.lit(5).cast("long"))).unionByName(docs.filter("doc_id = 7")).unionByName(docs.filter("doc_id = 7"))
+    runs = [sorted(map(tuple, toxicity.toxicity_report(d, labels).collect()), key=repr) for d in (hot, hot.repartition(5))]
+    assert len(runs[0]) == hot.count() and runs[0] == runs[1]
+
+
 def test_label_model_recovers_accuracies_and_correlation():
     rng = np.random.default_rng(1)
     y = rng.random(40_000) < 0.2
