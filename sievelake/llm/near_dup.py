@@ -5,9 +5,11 @@ a pair shares no band with probability (1 - 0.8^4)^32 < 1e-7. Signatures of cand
 values with m equal, a uniform prior gives P(similarity >= t) = P(Binomial(n + 1, t) <= m), and a pair is dropped as soon as
 that falls below ``miss``. Survivors are confirmed on their whole shingle sets.
 
-Buckets of up to 32 classes give their pairs as rows. Larger buckets are cut into blocks by a hash, and each two blocks are compared inside one
-task, array against array, so that no row a pair is made there and what leaves a task is a spanning forest of its links: fewer rows than it
-read. All pairs of a bucket are compared that way, none is capped; a pair is left to the first band that it shares.
+Every class of a bucket is first compared with the bucket's least class alone, one pair a row. What these links join need not be compared again, so
+groups of copies are done then, however large. Buckets that still hold classes of several components have all pairs of different components
+compared: as rows in buckets of up to 32 classes; larger ones are cut into blocks by a hash, and each two blocks meet inside one task, array against
+array, first signatures alone; whole sets follow only for classes with a surviving pair there. What leaves such a task is a spanning forest of its
+links: fewer rows than it read. No pair is capped; a pair is left to the first band that it shares.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .components import components
 HASHES, BANDS, STEP = 128, 32, 16
 ROWS = HASHES // BANDS
 SMALL, BLOCK = 32, 1_024  # classes of a bucket whose pairs become rows; classes of a block
-FEW = 300_000  # rows of 60 bytes that may be broadcast
+HELD = 1 << 21  # shingles of a block, so that long texts make smaller blocks
 MISS = 1e-9
 _RNG = np.random.default_rng(20_240_501)
 _MUL = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -91,19 +93,25 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set) and sig of every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_key, n_shingles, set_hash (null for an empty set) and sig of every row of ``docs`` (doc_id, text)."""
+    names = ["doc_id", "text_key", "n_shingles", "set_hash", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, key, sig = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), width)
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_hash", "sig"])
+            made = pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hash binary, sig binary")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
 def _pruned(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -152,31 +160,24 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return total[i, j].astype(np.int64)
 
 
-def _tile(percent: int, miss: float):
-    """Compares two blocks of a bucket (or one with itself) and returns a spanning forest of their links."""
+def _tile(percent: int, miss: float, whole: bool):
+    """Compares two blocks of a bucket, or one with itself, but for pairs of one component.
+
+    By signatures alone: key, lo, hi and cid of the classes with a surviving pair. With the ``whole`` sets of these: a spanning forest of their links.
+    """
     needed = least_equal(percent, miss)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cid")
-        ids, block = rows["cid"].to_numpy(), rows["block"].to_numpy()
+    def surviving(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        block, component, size = (rows[c].to_numpy() for c in ("block", "component", "n_shingles"))
         band, lo, hi = (int(rows[c].iloc[0]) for c in ("band", "lo", "hi"))
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, HASHES)
-        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        size = np.array([len(s) for s in sets])
-        root = list(range(len(ids)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
         mine, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        bands = sig.reshape(len(ids), BANDS, ROWS)
-        pairs = []
+        bands = sig.reshape(len(rows), BANDS, ROWS)
+        pairs = [np.empty((2, 0), int)]
         for at in range(0, len(mine), 64):  # 64 rows against a block at a time bound the memory
             left, right = (x.ravel() for x in np.meshgrid(mine[at : at + 64], other, indexing="ij"))
-            keep = left < right if lo == hi else np.ones(len(left), bool)
+            keep = (left < right) if lo == hi else np.ones(len(left), bool)
+            keep &= component[left] != component[right]
             keep &= 100 * np.minimum(size[left], size[right]) >= percent * np.maximum(size[left], size[right])  # sizes alone can rule out
             left, right = left[keep], right[keep]
             for k in range(band):  # an earlier band compares these
@@ -184,19 +185,36 @@ def _tile(percent: int, miss: float):
                 left, right = left[new], right[new]
             place = survivors(sig[left], sig[right], needed)
             pairs.append(np.stack([left[place], right[place]]))
-        found = []
-        if pairs and (left := np.concatenate(pairs, 1))[0].size:
-            left, right = left
-            both = _overlaps(sets, left, right)
-            alike_enough = 100 * both >= percent * (size[left] + size[right] - both)
-            for i, j in zip(left[alike_enough].tolist(), right[alike_enough].tolist(), strict=True):
+        left, right = np.concatenate(pairs, 1)
+        return left, right
+
+    def some(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cid")
+        left, right = surviving(rows)
+        return rows[["key", "lo", "hi", "cid"]].iloc[np.union1d(left, right)]
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cid")
+        left, right = surviving(rows)
+        ids, size, root, found = rows["cid"].to_numpy(), rows["n_shingles"].to_numpy(), list(range(len(rows))), []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        if len(left):
+            both = _overlaps([np.frombuffer(s, np.uint64) for s in rows["shingles"]], left, right)
+            enough = 100 * both >= percent * (size[left] + size[right] - both)
+            for i, j in zip(left[enough].tolist(), right[enough].tolist(), strict=True):
                 p, q = find(i), find(j)
                 if p != q:
                     root[p] = q
                     found.append((ids[i], ids[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return run
+    return links if whole else some
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -204,39 +222,36 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: fl
 
     Rows are linked if their sets of ``width``-word shingles have ``percent`` per cent of their union in common. component_id is the smallest
     doc_id reachable; kept marks the row that has it. Empty and null texts link with nothing and are kept. Rows that repeat a doc_id are
-    documents of their own under that id. Null doc_ids are the component's smallest only where it has no other. Texts are read whole.
+    documents of their own under that id. Null doc_ids are the component's smallest only where it has no other. Texts are read whole, and once more where
+    a class shares a bucket.
     """
     made = written(sets_of(docs, width), "sets")
-    classes = made.filter("set_hash IS NOT NULL").select("set_hash", "doc_id", "sig").dropDuplicates(["set_hash"])
+    classes = made.filter("set_hash IS NOT NULL").dropDuplicates(["set_hash"])
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    banded = classes.select("cid", F.posexplode(keys).alias("band", "key"))
-    counts = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(banded.join(counts, "key").select("key", "band", "n", "cid"), "buckets")
+    banded = classes.select("cid", "n_shingles", F.posexplode(keys).alias("band", "key"))
+    counts = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("rep"), F.sum("n_shingles").alias("held")).filter("n > 1")
+    shared = written(banded.join(counts, "key").select("key", "band", "n", "held", "rep", "cid"), "buckets")
     chosen = written(classes.join(shared.select("cid").distinct(), "cid", "left_semi"), "candidates")
+    sig, sets = chosen.select("cid", "sig"), written(_sets_again(docs, chosen, width), "shingles")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """a and b of those of the pairs (a, b) whose sets are alike enough."""
+        both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+        left = written(_pruned(both, percent, miss), "survivors")
+        return written(_confirmed(left.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b"), percent), "links")
+
+    stars = shared.filter("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
+    links = linked(stars)
+    roots = written(components(links), "components")
+    labelled = shared.join(roots.toDF("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    opened = written(labelled.join(mixed, "key"), "open-buckets")
+    if not opened.isEmpty():
+        more = linked(_row_pairs(opened.filter(F.col("n") <= SMALL))).unionByName(_tile_links(opened.filter(F.col("n") > SMALL), chosen, sets, percent, miss))
+        roots = written(components(links.unionByName(more)), "components")
 
-    small = shared.filter(F.col("n") <= SMALL).select("key", "cid")
-    pairs = small.withColumnRenamed("cid", "a").join(small.withColumnRenamed("cid", "b"), "key").filter("a < b").select("a", "b").distinct()
-    sig = chosen.select("cid", "sig")
-    pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    pairs = written(_pruned(pairs, percent, miss), "survivors")
-
-    large = shared.filter(F.col("n") > SMALL)
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(large.select("cid")).distinct()
-    needed = written(chosen.join(needed, "cid").select("cid", F.col("doc_id").alias("_id"), "set_hash"), "needed")
-    sets = written(_sets_again(docs, needed, width), "shingles")
-
-    pairs = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    links = _confirmed(pairs, percent)
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    tiles = large.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = tiles.select("key", "band", "cid", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    tiles = tiles.join(sets, "cid").join(sig, "cid")
-    links = links.unionByName(tiles.groupBy("key", "lo", "hi").applyInPandas(_tile(percent, miss), "a long, b long"))
-
-    roots = components(links)
     by_hash = chosen.select("cid", "set_hash")
     roots = roots.join(by_hash.toDF("node", "set_hash"), "node").join(by_hash.toDF("root", "root_hash"), "root").select("set_hash", "root_hash")
     grouped = made.select("doc_id", "n_shingles", "set_hash").join(written(roots, "roots"), "set_hash", "left")
@@ -248,19 +263,39 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: fl
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _row_pairs(buckets: DataFrame) -> DataFrame:
+    """a and b, each pair once, of the classes of different components in small buckets; pairs with a bucket's least class were compared before."""
+    side = lambda name: buckets.filter("cid <> rep").select("key", F.col("cid").alias(name), F.col("component").alias(f"of_{name}"))
+    return side("a").join(side("b"), "key").filter("a < b AND of_a <> of_b").select("a", "b").distinct()
+
+
+def _tile_links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """a and b: links between the components of large buckets, as spanning forests of pairs of blocks."""
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("held") / HELD)).cast("int")
+    tiles = buckets.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = tiles.select("key", "band", "cid", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    tiles = tiles.join(classes.select("cid", "sig", "n_shingles"), "cid")
+    some = tiles.groupBy("key", "lo", "hi").applyInPandas(_tile(percent, miss, False), "key long, lo int, hi int, cid long")
+    left = tiles.join(written(some, "tile-survivors"), ["key", "lo", "hi", "cid"]).join(sets, "cid")
+    return left.groupBy("key", "lo", "hi").applyInPandas(_tile(percent, miss, True), "a long, b long")
+
+
 def _sets_again(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """cid and shingles of the ``needed`` classes (cid, _id, set_hash), from the texts of their documents."""
+    """cid and shingles of the ``needed`` classes (cid, doc_id, text_key, set_hash), from the texts of their documents.
+
+    The texts are shuffled by id and hash unless Spark finds the classes few enough to broadcast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cids, sets = [], []
             for cid, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingle_set(text.as_py(), width).tobytes()
-                if xxhash.xxh3_128_digest(s) == key:  # a repeated doc_id may have other texts
+                if xxhash.xxh3_128_digest(s) == key:
                     cids.append(cid)
                     sets.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], names=["cid", "shingles"])
 
-    few = F.broadcast(needed) if needed.count() <= FEW else needed  # beyond that the texts are shuffled
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, F.col("doc_id").eqNullSafe(F.col("_id")))
+    asked = needed.select("cid", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "set_hash")
+    texts = _keyed(docs).join(asked, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return texts.select("cid", "set_hash", "text").mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])

@@ -213,6 +213,42 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     test_near_duplicates(spark)
 
 
+def test_drifting_copies_are_one_component(spark):
+    """Texts of which only neighbours are alike."""
+    words = [f"w{k}" for k in range(700)]
+    texts = [" ".join(words[3 * k : 3 * k + 150]) for k in random.Random(3).sample(range(180), 180)]
+    got = near_dup.near_duplicates(documents(spark, [(None if k % 7 == 6 else k, t, None) for k, t in enumerate(texts)])).collect()
+    assert len(got) == 180 and {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_tiles_link_what_pairs_would(spark, monkeypatch):
+    """One bucket of all classes, in blocks of a few, but for pairs of one component."""
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "HELD", 900)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(700)]
+    texts = [" ".join(words[3 * k : 3 * k + rng.randint(140, 150)]) for k in rng.sample(range(180), 70)]
+    classes = near_dup.sets_of(documents(spark, [(k, t, None) for k, t in enumerate(texts)]), 4).withColumnRenamed("doc_id", "cid").persist()
+    sets = [near_dup.shingle_set(t, 4) for t in texts]
+    shingles = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "cid long, shingles binary")
+    held = sum(map(len, sets))
+    for part in (1, 3):
+        component = F.when(F.col("cid") % part == 0, F.col("cid")).otherwise(-1)  # those of -1 are known to be one
+        buckets = classes.select(F.lit(5).cast("long").alias("key"), F.lit(0).alias("band"), F.lit(70).alias("n"), F.lit(held).alias("held"), "cid", component.alias("component"))
+        links = {tuple(sorted(r)) for r in near_dup._tile_links(buckets, classes, shingles, 80, 1e-9).collect()}
+        of = [k if k % part == 0 else -1 for k in range(70)]
+        pairs = {(i, j) for i in range(70) for j in range(i + 1, 70) if of[i] != of[j] and near_dup.alike(sets[i], sets[j], 80)}
+        assert links <= pairs and reach(70, links) == reach(70, pairs) and len(links) > 20
+
+
+def reach(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)]
