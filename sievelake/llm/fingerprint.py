@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
-WIDTH, SCALE = 5, 8
+WIDTH, SCALE = 5, 2
 LIMIT = -(2**63) + 2**64 // SCALE  # signed hashes below this are kept
 
 
@@ -90,12 +90,12 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("h"), text.alias("text"))
     order = neighbours(base.select("id", "h", F.length("text").alias("n_chars")))
     turn = F.row_number().over(Window.partitionBy("id", "h").orderBy("id"))
-    joined = base.withColumn("fp", sketch(F.col("text"))).withColumn("turn", turn).join(order, ["id", "h"])
+    joined = base.withColumn("turn", turn).join(order, ["id", "h"])
     # What each key hands to the one before it: the first part of its text and its sketch. Of equal rows the first alone has a key to go to. The same
-    # columns are read as above, so that both sides use one shuffle of the texts.
+    # columns are read as above, so that both sides use one shuffle of the texts; a text's own sketch is made after it, not sent along.
     head = F.substr("text", F.lit(1), F.floor(F.col("prev_chars") / 3).cast("int"))
     to = F.when(F.col("turn") == 1, F.struct(F.col("prev_id").alias("id"), F.col("prev_h").alias("h")))
-    handed = joined.select(to.alias("to"), head.alias("head"), F.col("fp").alias("next_fp"), F.col("doc_id").alias("next_doc_id"))
+    handed = joined.select(to.alias("to"), head.alias("head"), sketch(F.col("text")).alias("next_fp"), F.col("doc_id").alias("next_doc_id"))
     handed = handed.select(F.col("to.id").alias("id"), F.col("to.h").alias("h"), "head", "next_fp", "next_doc_id")
     out = joined.join(handed, ["id", "h"])
     size = F.length("text")
@@ -103,5 +103,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     repeated = F.col("turn") < F.col("n")  # all but the last of equal rows are followed by an equal row
     head = F.when(repeated, F.substr("text", F.lit(1), third)).otherwise(F.col("head"))
     edited = F.concat(F.substr("text", F.lit(1), size - third), F.substr(head, F.lit(1), third))
-    out = out.select("doc_id", size.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "fp", sketch(edited).alias("efp"), F.when(repeated, F.col("fp")).otherwise(F.col("next_fp")).alias("nfp"), F.when(repeated, F.col("doc_id")).otherwise(F.col("next_doc_id")).alias("next_doc_id"))
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"), "next_doc_id")
+    out = out.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("fp"), "next_fp", "next_doc_id", repeated.alias("repeated"))
+    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", sketch(F.col("edited")).alias("efp"), F.when(F.col("repeated"), F.col("fp")).otherwise(F.col("next_fp")).alias("nfp"), F.when(F.col("repeated"), F.col("doc_id")).otherwise(F.col("next_doc_id")).alias("next_doc_id"))
+    fp, efp, nfp = (F.col(c) for c in ("fp", "efp", "nfp"))
+    texts = as_text(fp).alias("fingerprint"), as_text(efp).alias("edited_fingerprint")
+    near = likeness(fp, efp).alias("near_edited"), likeness(fp, nfp).alias("near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", *texts, *near, "next_doc_id")

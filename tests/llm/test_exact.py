@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -323,6 +324,18 @@ def test_fingerprints(spark):
     def sketch(print_):
         return {print_[i : i + 16] for i in range(0, len(print_), 16)}
 
+    def hashes(text):
+        """The kept hashes of a text by a loop, as hexadecimal text: Spark hashes a shingle word by word, each with the hash before as its seed."""
+        words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text)]
+        found = set()
+        for i in range(max(len(words) - 4, 1) if words else 0):
+            h = 42
+            for w in words[i : i + 5]:
+                h = xxhash.xxh64_intdigest(w.encode(), h)
+            found.add(h - (h >> 63 << 64))
+        kept = {h for h in found if h < -(2**63) + 2**64 // fingerprint.SCALE} or ({min(found)} if found else set())
+        return {f"{h % 2**64:016x}" for h in kept}
+
     for k, d in enumerate(order):
         t, nxt = texts[d] or "", texts[order[(k + 1) % len(order)]] or ""
         third = len(t) // 3
@@ -330,6 +343,7 @@ def test_fingerprints(spark):
         r = got[d]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         a, b, c = (sketch(x) for x in (r.fingerprint, r.edited_fingerprint, got[order[(k + 1) % len(order)]].fingerprint))
+        assert (a, b) == (hashes(t), hashes(edited))
         like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
         assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
         assert bool(a) == bool(t.strip())
