@@ -29,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, written
 from .token_count import split_at_spaces
 
 MAGIC = b"TIDS0001"
 END_ID = 2
 LEVEL = 3
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 4_096, 65_536  # bounds of what the dictionary is trained on
+SAMPLE_DOCS, PIECE, PIECES, DICTIONARY_BYTES = 2_000, 4_096, 4_000, 65_536  # bounds of what the dictionary is trained on
+RANGE_BYTES = 64 << 20  # text of a shard, about
 KEPT = 800_000  # remembered chunks of a worker
 #: A word of letters below U+0250, then marks: its two pre-tokens are known without the pattern.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
@@ -118,22 +119,28 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
-    """A dictionary from the first bytes of the ids of a seeded sample of documents; b"" where nothing can be trained."""
+def train_dictionary(docs: DataFrame, tokenizer_path: str, count: int | None = None) -> bytes:
+    """A dictionary from the ids of a seeded sample of documents; b"" where nothing can be trained.
+
+    About SAMPLE_DOCS documents are drawn by id and text, equal rows once; their whole ids are cut into pieces of PIECE bytes, of which a
+    draw by hash keeps about PIECES. The dictionary shapes the size of the files alone, never what is read from them.
+    """
     import zstandard
 
-    count = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(count, 1))
-    chosen = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = docs.filter(chosen & F.col("text").isNotNull()).limit(2 * SAMPLE_DOCS).select("text")
+    count = docs.count() if count is None else count
+    below = lambda share: int(min(1.0, share) * (1 << 30))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < below(SAMPLE_DOCS / max(count, 1))
+    sample = docs.filter(drawn & F.col("text").isNotNull()).select("text").dropDuplicates()
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         for batch in batches:
-            # the sample alone is cut: it only shapes the dictionary
-            yield pa.RecordBatch.from_arrays([pa.array([encode(t.as_py())[:SAMPLE_BYTES] for t in batch.column(0)], pa.binary())], names=["ids"])
+            whole = [encode(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([w[i : i + PIECE] for w in whole for i in range(0, len(w), PIECE)], pa.binary())], names=["ids"])
 
-    samples = sorted(bytes(r.ids) for r in sample.mapInArrow(ids, "ids binary").collect())
+    pieces = written(sample.mapInArrow(ids, "ids binary").dropDuplicates(), "dictionary-sample")
+    kept = pieces.filter(F.pmod(F.xxhash64("ids", F.lit("piece")), F.lit(1 << 30)) < below(PIECES / max(pieces.count(), 1)))
+    samples = sorted(bytes(r.ids) for r in kept.collect())
     total = sum(map(len, samples))
     if not total:
         return b""
@@ -147,9 +154,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Writes the ids of ``docs`` (doc_id, text) to the folder ``path`` and returns its table of shards.
 
     Texts are encoded whole, null as empty, and each ends with ``end_id``. doc_id ascends over the shards, null first; rows with one doc_id
-    stand by text. A shard is written under a name of its attempt and then renamed, so a task that runs again replaces its file whole.
+    stand by a hash of their text, by which such a row may also fall into the next shard, then by text. A text is one row of a task, however long: its ids
+    and its frame stand in memory at once, and nothing else of that length does. A shard is written under a name of its attempt and then renamed, so a
+    task that runs again replaces its file whole; attempts that were cut off leave hidden files, which readers never open. Shards hold about RANGE_BYTES
+    of text where the session's shuffle partitions would hold more. Other columns are not read.
     """
-    dictionary = train_dictionary(docs, tokenizer_path)
+    spark = docs.sparkSession
+    sizes = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    dictionary = train_dictionary(docs, tokenizer_path, sizes.n)
     digest = hashlib.sha256(dictionary).digest()
     store, folder = _store(path)
     store.create_dir(folder, recursive=True)
@@ -191,9 +203,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         row = [number], [name], [len(index)], [sum(i[4] for i in index)]
         yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1]), pa.array(row[2], pa.int64()), pa.array(row[3], pa.int64())], names=["number", "name", "docs", "ids"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = (sizes.bytes or 0) // RANGE_BYTES
+    some = [ranges] if ranges > int(spark.conf.get("spark.sql.shuffle.partitions")) else []  # else Spark merges small ones by itself
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    ordered = keyed.repartitionByRange(*some, "doc_id", "key").sortWithinPartitions("doc_id", "key", "text").drop("key")
     ordered.mapInArrow(shard, "number int, name string, docs long, ids long").write.parquet(posixpath.join(path, SHARDS))
-    return shards(docs.sparkSession, path)
+    return shards(spark, path)
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
