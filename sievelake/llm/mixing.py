@@ -6,7 +6,7 @@ over the sources (one row each) finds the level that the repeated clamping would
 
 Each document is then taken floor(epochs) times whole, and once more if it comes early enough in its source's seeded order: the
 documents whose running size stays within the fraction left, the one at the border in part. The order is that of a hash, whose
-first digits make 4096 buckets: bucket sums find the border bucket, and only rows of border buckets meet in a window.
+first digits make 4096 buckets: bucket sums find each source's border bucket, and only rows of that bucket meet in a window.
 """
 
 from __future__ import annotations
@@ -54,45 +54,65 @@ def ranked_weights(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1)) -> Da
     return sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long"))
 
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+ADDED = ("source_size", "target", "copies", "part", "taken")
 
 
 def mix(sized: DataFrame, targets: DataFrame, seed: int = 17, narrow: DataFrame | None = None) -> DataFrame:
     """Adds to ``sized`` (doc_id, source, size, any more) ``source_size``, ``target``, ``copies``, ``part`` and ``taken`` = copies * size + part words.
 
     A source's ``taken`` sum to its target rounded to a whole word; no document is taken beyond ceil(epochs) times. Reruns agree: the order within a
-    source is by a hash of seed and doc_id, then doc_id, then size, so equal rows differ in no way that shows. Null doc_ids and null sources are
-    ordinary values. Bucket sums come from ``narrow``, the same rows without other columns, where it is given.
+    source is by a hash of seed and doc_id, then doc_id, then size, then a hash of the other columns. Null doc_ids and null sources are ordinary
+    values, repeated rows documents of their own. Columns of ``sized`` with the names of added ones are replaced, others keep their names
+    whatever these are. Sums come from ``narrow``, the same rows without other columns, where it is given.
+
+    Each row finds its place from one row of its source; only rows of a source's border bucket are shuffled.
     """
-    shares = F.broadcast(targets.select(F.col("source").alias("_source"), "source_size", "target")) if _few(targets) else targets.select(F.col("source").alias("_source"), "source_size", "target")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
-    rows = sized.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, DIGITS))
+    sized = sized.drop(*ADDED)
+    names, own = sized.columns, ("doc_id", "source", "size")
+    rows = sized.toDF(*(c if c in own else f"_other{k}" for k, c in enumerate(names)))
+    shares = targets.select(F.col("source").alias("_source"), "source_size", "target")
     whole = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(0).cast("long")
     rest = (F.round("target").cast("long") - F.col("_whole") * F.col("source_size")).cast("long")
     shares = shares.withColumn("_whole", whole).withColumn("_rest", rest)
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+    keyed = lambda df: df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, DIGITS))
+    few = (narrow or rows).select(*own)
 
-    sums = (narrow or sized).withColumn("_bucket", F.substring(key, 1, DIGITS)).groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    # the first bucket of each source that does not fit whole, and the words that it may give
+    sums = keyed(few).groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0)))
-    sums = sums.join(shares, _same(F.col("source"), F.col("_source")))
-    # inside: the whole bucket is taken once more; border: some of it
-    sums = sums.withColumn("_room", F.col("_rest") - F.col("_before"))
-    place = F.when(F.col("_room") >= F.col("_sum"), "inside").when(F.col("_room") > 0, "border").otherwise("outside")
-    plan = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "source_size", "target", "_whole", "_room", place.alias("_place"))
-
-    placed = rows.join(plan, _same(F.col("source"), F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    placed = placed.withColumn("_extra", F.when(F.col("_place") == "inside", F.col("size")).otherwise(F.lit(0)).cast("long"))
-    upto = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("_room") - F.coalesce(F.sum("size").over(upto), F.lit(0))
-    border = placed.filter(F.col("_place") == "border").withColumn("_extra", F.greatest(F.least(left, F.col("size")), F.lit(0)).cast("long"))
-    out = placed.filter(F.col("_place") != "border").unionByName(border)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).join(shares, F.col("source").eqNullSafe(F.col("_source")))
+    room = F.col("_rest") - F.col("_before")
+    first = F.min(F.when(room < F.col("_sum"), F.struct("_bucket", room.alias("room"))))
+    plan = sums.groupBy("_source", "source_size", "target", "_whole").agg(first.alias("_border"))
+    plan = F.broadcast(plan) if _few(targets) else plan
+
+    def placed(df: DataFrame) -> DataFrame:
+        return keyed(df).join(plan, F.col("source").eqNullSafe(F.col("_source")))
+
+    at_border = F.coalesce(F.col("_bucket") == F.col("_border._bucket"), F.lit(False))
+    inside = F.col("_border").isNull() | (F.col("_bucket") < F.col("_border._bucket"))
+    most = placed(rows).filter(~at_border).withColumn("_extra", F.when(inside, F.col("size")).otherwise(0).cast("long"))
+    # equal keys and sizes, say of null ids, are counted before their order is found
+    group = ["source", "_key", "doc_id", "size"]
+    groups = placed(few).filter(at_border).groupBy(*group).agg(F.count("*").alias("_n"), F.first("_border.room").alias("_room"))
+    upto = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_left", F.col("_room") - F.coalesce(F.sum(F.col("_n") * F.col("size")).over(upto), F.lit(0)))
+    groups = groups.select(*[F.col(c).alias(f"_of{c}") for c in group], "_left")
+    same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in group]
+    others = [c for c, kind in rows.dtypes if c not in own and "map<" not in kind]
+    turn = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(0), *others)))
+    border = placed(rows).filter(at_border).join(groups, same[0] & same[1] & same[2] & same[3])
+    left = F.col("_left") - (turn - 1) * F.col("size")
+    border = border.withColumn("_extra", F.greatest(F.least(left, F.col("size")), F.lit(0)).cast("long")).select(most.columns)
+
+    out = most.unionByName(border)
     # a whole further repetition is a copy too
     again = (F.col("_extra") == F.col("size")) & (F.col("size") > 0)
-    out = out.withColumn("_part", F.when(again, 0).otherwise(F.col("_extra")))
+    part = F.when(again, 0).otherwise(F.col("_extra")).cast("long")
     taken = (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long")
-    copies = (F.col("_whole") + again.cast("long")).alias("copies")
-    return out.select(*sized.columns, "source_size", "target", copies, F.col("_part").cast("long").alias("part"), taken.alias("taken"))
+    copies = F.col("_whole") + again.cast("long")
+    return out.select(*rows.columns, "source_size", "target", copies, part, taken).toDF(*names, *ADDED)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -109,6 +109,22 @@ def test_mixing(spark, seed):
     assert {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect() if r.n} == {s: n for s, n in taken.items() if n}
 
 
+def test_mixing_of_null_ids_and_clashing_columns(spark):
+    """A third of the rows has no id; columns are named as those that a mix adds or uses."""
+    rng = random.Random(21)
+    rows = [(None if k % 3 == 0 else k, rng.choice("ab"), rng.randint(0, 4), f"t{k}", "old", 1.5, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, _key string, target string, _other0 double, _bucket int")
+    targets = mixing.water_fill(mixing.ranked_weights(df.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    got = mixing.mix(df, targets)
+    assert got.columns == ["doc_id", "source", "size", "_key", "_other0", "_bucket", "source_size", "target", "copies", "part", "taken"]
+    rows_got = got.collect()
+    assert len(rows_got) == 300 and {(r._key, r._bucket) for r in rows_got} == {(f"t{k}", k) for k in range(300)}
+    size, want = ({r.source: r[c] for r in targets.collect()} for c in ("source_size", "target"))
+    for s in "ab":
+        assert abs(sum(r.taken for r in rows_got if r.source == s) - want[s]) <= 1 and {r.source_size for r in rows_got if r.source == s} == {size[s]}
+    assert sorted(map(tuple, rows_got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(7), targets).collect()), key=str)
+
+
 def test_mixing_nothing(spark):
     sized = spark.createDataFrame([], "doc_id long, source string, size long")
     targets = mixing.water_fill(mixing.ranked_weights(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
