@@ -23,16 +23,23 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+_made: list[str] = []  # scratch paths of this driver, in the order in which they were given out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Where the session has none, as in local tests, a temporary folder becomes the checkpoint folder.
+    Where the session has none, a temporary folder becomes the checkpoint folder if the master is local; elsewhere that is an error, as executors would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,5 +51,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_paths() -> list[str]:
+    """The scratch paths given out so far and not discarded."""
+    return list(_made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch paths that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _made:
+            _made.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

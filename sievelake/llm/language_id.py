@@ -84,21 +84,22 @@ def fit(docs: DataFrame) -> dict:
 
     Every lang with a letter in its texts is learnt. While learning, the driver holds 0.5 MB a language.
 
-    No rows, or none with a letter: a model without languages. Document frequencies and the sample come from one pass over the texts.
+    No rows, or none with a letter: a model without languages. Document frequencies, of every row, and the sample come from one pass over the texts;
+    rows that repeat id and text stand in the sample once.
     """
     known = docs.filter(F.col("lang").isNotNull())
     rates = known.groupBy("lang").count().collect()
     empty = {"langs": [], "idf": np.ones(DIMS), "ptr": np.zeros(DIMS + 1, np.int64), "lang": np.zeros(0, np.int32), "w": np.zeros(0, np.float32), "b": np.zeros(0), "t": 1.0}
     if not rates:
         return empty
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1 << 30))
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30))
     each = max(SAMPLE / len(rates), LEAST)
     below = docs.sparkSession.sparkContext.broadcast({r["lang"]: int(min(1.0, each / r["count"]) * (1 << 30)) for r in rates})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "drawn", "at", "counts", "place", "df"]
         df = np.zeros(DIMS, np.int64)
-        docs_seen = 0
+        docs_seen, taken = 0, set()
         for batch in batches:
             rows = []
             for text, lang, drawn in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2)), strict=True):
@@ -108,7 +109,8 @@ def fit(docs: DataFrame) -> dict:
                 at = np.flatnonzero(counts)
                 df[at] += 1
                 docs_seen += 1
-                if drawn < below.value[lang]:
+                if drawn < below.value[lang] and (lang, drawn) not in taken:  # equal rows would fill the sample
+                    taken.add((lang, drawn))
                     rows.append((lang, drawn, at.astype("<i4").tobytes(), counts[at].astype("<i4").tobytes()))
             if rows:
                 lang, drawn, at, counts = zip(*rows, strict=True)
@@ -127,7 +129,7 @@ def fit(docs: DataFrame) -> dict:
     for place, n in seen.items():
         idf[place] = np.log((1 + total) / (1 + n)) + 1
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
-    sample = made.filter("place IS NULL").withColumn("turn", turn).filter(F.col("turn") <= int(2 * each)).select("lang", "drawn", "at", "counts").collect()
+    sample = made.filter("place IS NULL").dropDuplicates(["lang", "drawn"]).withColumn("turn", turn).filter(F.col("turn") <= int(2 * each)).select("lang", "drawn", "at", "counts").collect()
     if not sample:
         return empty
     sample.sort(key=lambda r: (r.drawn, r.lang, bytes(r.at)))

@@ -81,11 +81,12 @@ class Shard:
 
 def _pack(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "order", "doc_id", "cluster"], ascending=[False, True, True, True], kind="stable")
+        rows = rows.sort_values(["size", "order", "doc_id", "cluster", "text_key"], ascending=[False, True, True, True, True], kind="stable")
         shard, bits, seen = Shard(capacity), {}, {}
         repeated = rows["cluster"].duplicated(keep=False) & rows["cluster"].notna()
         out = []
-        for doc_id, source, size, cluster, again, number in zip(rows["doc_id"], rows["source"], rows["size"], rows["cluster"], repeated, rows["shard"], strict=True):
+        columns = (rows[c] for c in ("doc_id", "text_key", "source", "size", "cluster"))
+        for doc_id, key, source, size, cluster, again, number in zip(*columns, repeated, rows["shard"], strict=True):
             source = "" if source is None else f"={source}"
             first = number << 32
             whole, rest = divmod(int(size), capacity)
@@ -93,8 +94,8 @@ def _pack(capacity: int):
             for piece in range(whole + (rest > 0 or not whole)):
                 n = capacity if piece < whole else rest
                 b, offset = shard.place(n, s, c)
-                out.append((doc_id, piece, piece * capacity, n, first + b, offset))
-        out = pd.DataFrame(out, columns=["doc_id", "piece", "first_word", "n_words", "bin_id", "bin_offset"])
+                out.append((doc_id, key, piece, piece * capacity, n, first + b, offset))
+        out = pd.DataFrame(out, columns=["doc_id", "text_key", "piece", "first_word", "n_words", "bin_id", "bin_offset"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
@@ -102,7 +103,9 @@ def _pack(capacity: int):
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """doc_id, piece, first_word, n_words, bin_id and bin_offset: where the words of every row of ``docs`` (doc_id, text, source) go.
+    """doc_id, text_key, piece, first_word, n_words, bin_id and bin_offset: where the words of every row of ``docs`` (doc_id, text, source) go.
+
+    text_key is a hash of the text: with doc_id, which may repeat after a mix, it tells which text a piece is of.
 
     A document of more than ``capacity`` words gives full pieces, a bin each, and a last one that shares a bin. Nothing is cut off or left out. Rows of the same
     words (A-Z lower-cased) are a cluster; a null source is a source. A text without words has one piece of 0 words and conflicts with nothing. Repeated
@@ -111,20 +114,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     words = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), 0)
     size = word_count(F.col("text"))
     cluster = F.when(size > 0, F.xxhash64(words))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), cluster.alias("cluster"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), cluster.alias("cluster"), F.xxhash64("text").alias("text_key"))
     sized = written(sized, "pack-sizes")
     shards = max(1, -(-sized.count() // shard))
     order = F.xxhash64("doc_id", "cluster", F.lit("pack"))
     dealt = sized.withColumn("order", order).withColumn("shard", F.pmod(F.col("order"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(_pack(capacity), "doc_id long, piece long, first_word long, n_words long, bin_id long, bin_offset long")
+    return dealt.groupBy("shard").applyInPandas(_pack(capacity), "doc_id long, text_key long, piece long, first_word long, n_words long, bin_id long, bin_offset long")
 
 
 def packed_texts(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """bin_id and text: each bin's pieces in the order of their offsets, joined by blank lines. A bin has at most its capacity of words.
 
-    doc_id must be a key of ``docs``.
+    Pieces find their text by doc_id and text_key, so doc_ids may repeat or be null; equal rows of ``docs`` are one text.
     """
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_key"), "text").dropDuplicates(["_id", "_key"])
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0)
-    pieces = packed.join(docs.select("doc_id", "text"), "doc_id").withColumn("part", F.array_join(F.slice(words, F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " "))
-    own = F.sort_array(F.collect_list(F.struct("bin_offset", "doc_id", "part")))
-    return pieces.filter("n_words > 0").groupBy("bin_id").agg(F.array_join(F.transform(own, lambda p: p["part"]), "\n\n").alias("text"))
+    part = F.array_join(F.slice(words, F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " ")
+    pieces = packed.filter("n_words > 0").join(texts, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("part", part)
+    own = F.sort_array(F.collect_list(F.struct("bin_offset", "part")))
+    return pieces.groupBy("bin_id").agg(F.array_join(F.transform(own, lambda p: p["part"]), "\n\n").alias("text"))

@@ -410,6 +410,15 @@ def test_packing(spark):
     assert texts.agg(F.max(mixing.word_count(F.col("text")))).first()[0] <= 100
 
 
+def test_bins_hold_every_word_of_repeated_ids(spark):
+    """As after a mix: ids and whole rows repeat, and a copy may be of part of a text."""
+    rows = [(k % 7 or None, " ".join(f"w{k}x{n}" for n in range(9 * k % 41)), "ab"[k % 2]) for k in range(60)]
+    rows += rows[:20] + [(i, t[: len(t) // 2], s) for i, t, s in rows[20:40]]
+    df = documents(spark, rows)
+    got = packing.packed_texts(df, packing.pack(df, capacity=50)).collect()
+    assert sorted(w for r in got for w in r.text.split()) == sorted(w for _, t, _ in rows for w in t.split())
+
+
 def test_bins_are_the_tightest_compatible():
     rng = random.Random(10)
     rows = sorted(((rng.randint(1, 60), rng.randint(0, 3), rng.randint(0, 40)) for _ in range(400)), reverse=True)

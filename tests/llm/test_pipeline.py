@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from sievelake.llm import near_dup
-from sievelake.llm.common import written
+from sievelake.llm import near_dup, packing
+from sievelake.llm.common import scratch_paths, written
 from sievelake.llm.mixing import word_count
 
 SF = "/root/testdata/sf0.001"
@@ -65,8 +65,16 @@ def test_mix_and_packing_lose_nothing(stages):
     assert stages["mixing"].filter(F.length("text") != F.col("n_chars")).count() == 0
 
 
+def test_bins_hold_the_mix(stages):
+    texts = packing.packed_texts(stages["mixing"], stages["packing"]).collect()
+    want = sorted(w for r in stages["mixing"].collect() for w in WORD.findall(r.text or ""))
+    assert sorted(w for r in texts for w in WORD.findall(r.text)) == want
+
+
 def test_run_is_the_stages(spark, stages):
+    before = set(scratch_paths())
     assert pipeline.run(spark, SF).exceptAll(stages["packing"]).count() == 0
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch_paths() if p not in before] == ["mixing", "pack-sizes"]
 
 
 def test_stages_take_odd_rows(spark):
