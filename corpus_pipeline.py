@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm import language_id, mixing, near_dup, packing, toxicity
-from sievelake.llm.common import crc_fold, table, written
+from sievelake.llm.common import crc_fold, discard, scratch_paths, table, written
 
 MIN_LANGUAGE_SCORE = 0.5
 
@@ -67,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's words go: doc_id, piece, first_word, n_words, bin_id and bin_offset."""
+    """Where each document's words go: doc_id, text_key, piece, first_word, n_words, bin_id and bin_offset; packing.packed_texts makes the bins' texts of it."""
     return packing.pack(docs)
 
 
@@ -84,8 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the folder's documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the folder's documents. A stage's scratch tables and its input go when its result has been written; the last result's stay."""
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        before = set(scratch_paths())
         docs = written(stage(spark, docs, sf_dir), name)
+        *own, result = [p for p in scratch_paths() if p not in before]
+        discard(spark, [*read, *own])
+        read = [result]
     return STAGES[-1][1](spark, docs, sf_dir)
