@@ -5,8 +5,8 @@ a pair shares no band with probability (1 - 0.8^4)^32 < 1e-7. Signatures of cand
 values with m equal, a uniform prior gives P(similarity >= t) = P(Binomial(n + 1, t) <= m), and a pair is dropped as soon as
 that falls below ``miss``. Survivors are confirmed on their whole shingle sets.
 
-Every class of a bucket is first compared with the bucket's least class alone, one pair a row. What these links join need not be compared again, so
-groups of copies are done then, however large. Buckets that still hold classes of several components have all pairs of different components
+Every class of a bucket is first compared with the bucket's least class alone, one pair a row, and in large buckets with a few drawn ones in turns.
+What these links join need not be compared again, so groups of copies are done then, however large. Buckets that still hold classes of several components have all pairs of different components
 compared: as rows in buckets of up to 32 classes; larger ones are cut into blocks by a hash, and each two blocks meet inside one task, array against
 array, first signatures alone; whole sets follow only for classes with a surviving pair there. What leaves such a task is a spanning forest of its
 links: fewer rows than it read. No pair is capped; a pair is left to the first band that it shares.
@@ -29,7 +29,8 @@ from .components import components
 
 HASHES, BANDS, STEP = 128, 32, 16
 ROWS = HASHES // BANDS
-SMALL, BLOCK = 32, 1_024  # classes of a bucket whose pairs become rows; classes of a block
+SMALL, BLOCK = 32, 4_096  # classes of a bucket whose pairs become rows; classes of a block
+TURNS, DRAWN, WORTH = 4, 4, 20  # turns in which large buckets meet drawn classes, so many each, while one class in WORTH finds a link
 HELD = 1 << 21  # shingles of a block, so that long texts make smaller blocks
 MISS = 1e-9
 _RNG = np.random.default_rng(20_240_501)
@@ -167,13 +168,12 @@ def _tile(percent: int, miss: float, whole: bool):
     """
     needed = least_equal(percent, miss)
 
-    def surviving(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def surviving(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         block, component, size = (rows[c].to_numpy() for c in ("block", "component", "n_shingles"))
         band, lo, hi = (int(rows[c].iloc[0]) for c in ("band", "lo", "hi"))
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, HASHES)
         mine, other = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
         bands = sig.reshape(len(rows), BANDS, ROWS)
-        pairs = [np.empty((2, 0), int)]
         for at in range(0, len(mine), 64):  # 64 rows against a block at a time bound the memory
             left, right = (x.ravel() for x in np.meshgrid(mine[at : at + 64], other, indexing="ij"))
             keep = (left < right) if lo == hi else np.ones(len(left), bool)
@@ -184,33 +184,30 @@ def _tile(percent: int, miss: float, whole: bool):
                 new = ~(bands[left, k] == bands[right, k]).all(1)
                 left, right = left[new], right[new]
             place = survivors(sig[left], sig[right], needed)
-            pairs.append(np.stack([left[place], right[place]]))
-        left, right = np.concatenate(pairs, 1)
-        return left, right
+            if len(place):
+                yield left[place], right[place]
 
     def some(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cid")
-        left, right = surviving(rows)
-        return rows[["key", "lo", "hi", "cid"]].iloc[np.union1d(left, right)]
+        met = np.zeros(len(rows), bool)
+        for left, right in surviving(rows):
+            met[left] = met[right] = True
+        return rows.loc[met, ["key", "lo", "hi", "cid"]]
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("cid")
-        left, right = surviving(rows)
-        ids, size, root, found = rows["cid"].to_numpy(), rows["n_shingles"].to_numpy(), list(range(len(rows))), []
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        if len(left):
-            both = _overlaps([np.frombuffer(s, np.uint64) for s in rows["shingles"]], left, right)
+        ids, size, root, found = rows["cid"].to_numpy(), rows["n_shingles"].to_numpy(), np.arange(len(rows)), []
+        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+        for left, right in surviving(rows):
+            new = root[left] != root[right]  # others are joined already
+            left, right = left[new], right[new]
+            if not len(left):
+                continue
+            both = _overlaps(sets, left, right)
             enough = 100 * both >= percent * (size[left] + size[right] - both)
             for i, j in zip(left[enough].tolist(), right[enough].tolist(), strict=True):
-                p, q = find(i), find(j)
-                if p != q:
-                    root[p] = q
+                if root[i] != root[j]:
+                    root[root == root[i]] = root[j]
                     found.append((ids[i], ids[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -245,9 +242,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: fl
     stars = shared.filter("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
     links = linked(stars)
     roots = written(components(links), "components")
-    labelled = shared.join(roots.toDF("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    opened = written(labelled.join(mixed, "key"), "open-buckets")
+    opened = _opened(shared, roots)
+    for turn in range(TURNS):
+        large = opened.filter(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        drawn = linked(_drawn_pairs(large, turn))
+        worth = drawn.count() * WORTH >= large.select("cid").distinct().count()
+        links = links.unionByName(drawn)
+        roots = written(components(links), "components")
+        opened = _opened(opened.drop("component"), roots)
+        if not worth:
+            break
     if not opened.isEmpty():
         more = linked(_row_pairs(opened.filter(F.col("n") <= SMALL))).unionByName(_tile_links(opened.filter(F.col("n") > SMALL), chosen, sets, percent, miss))
         roots = written(components(links.unionByName(more)), "components")
@@ -263,6 +269,22 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: fl
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _opened(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``buckets`` with their ``component``, of the buckets of more than two classes that still hold several components."""
+    labelled = buckets.filter("n > 2").join(roots.toDF("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    return written(labelled.join(mixed, "key"), "open-buckets")
+
+
+def _drawn_pairs(buckets: DataFrame, turn: int) -> DataFrame:
+    """a and b, each pair once: the classes of a turn's bands with DRAWN classes of their bucket, drawn by hash, of other components."""
+    own = buckets.filter(F.col("band") % (BANDS // 4) == turn)
+    draw = lambda k: F.min(F.struct(F.xxhash64("cid", F.lit(turn * DRAWN + k)), "cid", "component"))
+    drawn = own.groupBy("key").agg(F.array_distinct(F.array(*[draw(k) for k in range(DRAWN)])).alias("d")).select("key", F.explode("d").alias("d"))
+    pairs = own.join(drawn, "key").filter(F.col("component") != F.col("d.component"))
+    return pairs.select(F.least("cid", "d.cid").alias("a"), F.greatest("cid", "d.cid").alias("b")).distinct()
+
+
 def _row_pairs(buckets: DataFrame) -> DataFrame:
     """a and b, each pair once, of the classes of different components in small buckets; pairs with a bucket's least class were compared before."""
     side = lambda name: buckets.filter("cid <> rep").select("key", F.col("cid").alias(name), F.col("component").alias(f"of_{name}"))
