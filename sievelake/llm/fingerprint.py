@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
-WIDTH, SCALE = 5, 2
+WIDTH, SCALE = 5, 4
 LIMIT = -(2**63) + 2**64 // SCALE  # signed hashes below this are kept
 
 
