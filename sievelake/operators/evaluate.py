@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,39 +11,45 @@ from pyspark.sql import functions as F
 NEAR = 3  # lines between a prediction and the truth that it may match
 
 
-def _greedy(key: tuple, truths: pd.DataFrame, predictions: pd.DataFrame) -> pd.DataFrame:
-    """Each prediction, in order, takes the first unused truth within NEAR lines."""
-    truths, predictions = truths.sort_values("gt_seq"), predictions.sort_values("pred_seq")
-    lines, seqs, used, out = truths["line"].tolist(), truths["gt_seq"].tolist(), set(), []
-    start = 0
-    for seq, line in zip(predictions["pred_seq"], predictions["line"], strict=True):
-        while start in used:
-            start += 1
-        at = next((k for k in range(start, len(lines)) if k not in used and abs(lines[k] - line) <= NEAR), None)
-        if at is not None:
-            used.add(at)
-            out.append((*key, seq, seqs[at]))
-    return pd.DataFrame(out, columns=["file", "category", "pred_seq", "gt_seq"])
+ROWS = 20_000  # about as many rows meet in a task's call
 
 
-ROWS = 20_000  # about as many rows meet in a task's call
+def _first_near(open_at: dict[int, deque], line: int) -> tuple[int, int] | None:
+    """Takes the first unused truth within NEAR lines; ``open_at`` has the unused ones, (place, seq), by line and in order."""
+    near = [open_at[n] for n in range(line - NEAR, line + NEAR + 1) if open_at.get(n)]
+    return min(near, key=lambda places: places[0]).popleft() if near else None
 
 
 def _bucket(_: tuple, truths: pd.DataFrame, predictions: pd.DataFrame) -> pd.DataFrame:
-    """The greedy matches of all groups of one bucket: small groups are too many for a call each."""
-    asked = {k: g for k, g in predictions.groupby(["file", "category"], sort=False, dropna=False)}
-    parts = [_greedy(k, g, asked[k]) for k, g in truths.groupby(["file", "category"], sort=False, dropna=False) if k in asked]
-    return pd.concat(parts) if parts else _greedy((), truths.iloc[:0], predictions.iloc[:0])
+    """Of all groups of one bucket: each prediction, in order, takes the first unused truth within NEAR lines."""
+    names = ["file", "category", "pred_seq", "gt_seq"]
+
+    def columns(rows: pd.DataFrame, seq: str) -> zip:
+        rows = rows.sort_values(seq, kind="stable")
+        keys = (rows[c].astype(object).where(rows[c].notna(), None) for c in ("file", "category"))
+        return zip(*keys, rows["line"].tolist(), rows[seq].tolist(), strict=True)
+
+    asked = {(f, c) for f, c, *_ in columns(predictions, "pred_seq")}
+    open_of: dict[tuple, dict[int, deque]] = {}
+    for place, (file, category, line, seq) in enumerate(columns(truths, "gt_seq")):
+        if (file, category) in asked:
+            open_of.setdefault((file, category), {}).setdefault(line, deque()).append((place, seq))
+    out = []
+    for file, category, line, seq in columns(predictions, "pred_seq"):
+        if (file, category) in open_of and (at := _first_near(open_of[file, category], line)) is not None:
+            out.append((file, category, seq, at[1]))
+    return pd.DataFrame(out, columns=names)
 
 
 def greedy_match(truths: DataFrame, predictions: DataFrame) -> DataFrame:
     """file, category, pred_seq and gt_seq of the matches between ``truths`` (file, category, line, gt_seq) and ``predictions`` (..., pred_seq).
 
-    Order decides, so both sides carry it. Matches stay within one file and category, each of which is one group; null lines are 0.
+    Order decides, so both sides carry it. Matches stay within one file and category, each of which is one group; null lines are 0. A prediction looks at
+    the unused truths of seven lines, so a group costs its rows, not their square.
     """
     side = lambda df, seq: df.select("file", "category", F.coalesce(F.col("line").cast("long"), F.lit(0)).alias("line"), F.col(seq).cast("long").alias(seq))
     kind = f"file {dict(truths.dtypes)['file']}, category {dict(truths.dtypes)['category']}, pred_seq long, gt_seq long"
-    buckets = max(1, predictions.count() // ROWS + 1)
+    buckets = max(truths.count(), predictions.count()) // ROWS + 1
     place = F.pmod(F.xxhash64("file", "category"), F.lit(buckets)).alias("bucket")
     a, b = (side(df, seq).withColumn("bucket", place).groupBy("bucket") for df, seq in ((truths, "gt_seq"), (predictions, "pred_seq")))
     return a.cogroup(b).applyInPandas(_bucket, kind)

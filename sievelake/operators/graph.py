@@ -6,32 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CRITICAL_MODULES
+from .rounds import kept
+
+FOLDED = 16  # rounds after which the parts of a result become one
 
 
 def hops(edges: DataFrame, seeds: DataFrame, k: int, backward: bool = False, kind: str | None = "calls", undirected: bool = False) -> DataFrame:
     """id and hop (least, from 1) of every node that a walk of 1 to ``k`` edges from the ``seeds`` (id) reaches.
 
-    Seeds are found too where a walk returns to them. Each round joins the newest nodes alone, and what was found is left out before the next; every
-    tenth round is checkpointed where the session has a checkpoint folder, so that the plan stays short.
+    Seeds are found too where a walk returns to them. Each round joins the newest nodes alone, leaves out what was found before, and is kept, so the plan
+    of a round has one join with the edges and one with what was found, whatever ``k`` is. Rounds end when nothing new is found.
     """
     steps = edges if kind is None or "kind" not in edges.columns else edges.filter(F.col("kind") == kind)
     a, b = ("dst", "src") if backward else ("src", "dst")
     steps = steps.select(F.col(a).alias("id"), F.col(b).alias("to"))
     if undirected:
         steps = steps.unionByName(steps.select(F.col("to").alias("id"), F.col("id").alias("to")))
-    steps = steps.distinct()
     frontier = seeds.select("id").distinct()
-    found = None
+    found = seeds.select("id").limit(0).withColumn("hop", F.lit(0))
     for hop in range(1, k + 1):
-        frontier = steps.join(frontier, "id", "left_semi").select(F.col("to").alias("id")).distinct()
-        if found is not None:
-            frontier = frontier.join(found, "id", "left_anti")
-        level = frontier.withColumn("hop", F.lit(hop))
-        found = level if found is None else found.unionByName(level)
-        if hop % 10 == 0 and edges.sparkSession.sparkContext.getCheckpointDir():
-            found = found.checkpoint()
-            frontier = found.filter(F.col("hop") == hop).select("id")
-    return found if found is not None else seeds.select("id").limit(0).withColumn("hop", F.lit(0))
+        new = steps.join(frontier, "id", "left_semi").select(F.col("to").alias("id")).distinct()
+        new = kept((new if hop == 1 else new.join(found, "id", "left_anti")).withColumn("hop", F.lit(hop)))
+        if new.isEmpty():
+            break
+        found, frontier = new if hop == 1 else found.unionByName(new), new.select("id")
+    return found
 
 
 def named(nodes: DataFrame, name: str) -> DataFrame:
@@ -90,17 +89,19 @@ def risk(n_callers, modules):
     )
 
 
-def reachable(edges: DataFrame, entries: DataFrame, most: int = 10_000) -> DataFrame:
-    """All nodes reachable from the ``entries`` (id), themselves included; rounds end when nothing new is found."""
-    steps = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct().cache()
-    found = entries.select("id").distinct()
-    frontier = found
-    for _ in range(most):
-        new = steps.join(frontier, "id", "left_semi").select(F.col("to").alias("id")).distinct().join(found, "id", "left_anti")
-        new = new.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else new.cache()
-        if new.isEmpty():
-            break
-        found, frontier = found.unionByName(new), new
+def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """All nodes reachable from the ``entries`` (id), themselves included; rounds end when nothing new is found, however long the chains are.
+
+    What was found is kept anew every FOLDED rounds, so that plans stay short.
+    """
+    steps = edges.select(F.col("src").alias("id"), F.col("dst").alias("to"))
+    found = frontier = kept(entries.select("id").distinct())
+    rounds = 0
+    while not frontier.isEmpty():
+        frontier = kept(steps.join(frontier, "id", "left_semi").select(F.col("to").alias("id")).distinct().join(found, "id", "left_anti"))
+        found, rounds = found.unionByName(frontier), rounds + 1
+        if rounds % FOLDED == 0:
+            found = kept(found)
     return found
 
 

@@ -30,14 +30,60 @@ def _described(rule: dict) -> list[Column]:
     return [F.lit(rule[c]).cast("string").alias(c) for c in ("rule_id", "category", "severity", "description", "cwe_id", "owasp_category")] + [F.lit(title).alias("title")]
 
 
+#: Characters beyond ASCII that a pattern's letters match too when the case is ignored, and these letters.
+FOLDS = ("\u017f\u212a\u0130\u0131", "skii")
+
+
+def needles(pattern: str) -> frozenset[str] | None:
+    """Lower-case strings of which any text that the pattern matches, lower-cased, holds one; None where none can be told."""
+    from re import _parser as parser
+
+    def best(sets):
+        sets = [s for s in sets if s]
+        return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=None)
+
+    def of(sequence):
+        runs, sets = [""], []
+        for op, value in sequence:
+            if str(op) == "LITERAL" and value < 128:
+                runs[-1] += chr(value).lower()
+                continue
+            runs.append("")
+            if str(op) == "BRANCH":
+                parts = [of(p) for p in value[1]]
+                sets.append(frozenset().union(*parts) if all(parts) else None)
+            elif str(op) == "SUBPATTERN":
+                sets.append(of(value[-1]))
+            elif str(op) in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                sets.append(of(value[2]))
+        return best([*sets, *(frozenset([r]) for r in runs if r)])
+
+    try:
+        return of(parser.parse(pattern))
+    except (ValueError, ArithmeticError, LookupError):
+        return None
+
+
+def _may_match(rule: dict, lowered: Column) -> Column:
+    parts = needles(rule["pattern"]) or ()
+    out = F.lit(not parts)
+    for part in sorted(parts):
+        out = out | lowered.contains(part)
+    return out
+
+
 def scan_lines(lines: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """Findings of the line-scoped rules in ``lines`` (line, language, any more): one a rule and line. One pass, no shuffle; a null line has none."""
+    """Findings of the line-scoped rules in ``lines`` (line, language, any more): one a rule and line. One pass, no shuffle; a null line has none.
+
+    A rule's pattern is only tried on lines that hold a string which each of its matches holds.
+    """
     rules = [r for r in (active_rules() if rules is None else rules) if not file_scoped(r)]
-    hits = [F.when(_gate(r, F.col("language")) & F.col("line").rlike(FLAGS + r["pattern"]), F.struct(*_described(r))) for r in rules]
+    lowered = lines.withColumn("_lowered", F.lower(F.translate("line", *FOLDS)))
+    hits = [F.when(_gate(r, F.col("language")) & _may_match(r, F.col("_lowered")) & F.col("line").rlike(FLAGS + r["pattern"]), F.struct(*_described(r))) for r in rules]
     if not hits:
         return lines.limit(0).select("*", *_described(dict.fromkeys(RULE_COLUMNS)))
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return lines.withColumn("_hit", F.explode(found)).select(*lines.columns, "_hit.*")
+    return lowered.withColumn("_hit", F.explode(found)).select(*lines.columns, "_hit.*")
 
 
 def match_positions(code: Column, pattern: str) -> Column:

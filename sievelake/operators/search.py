@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import KEYWORDS
 
+# What defines, what assigns, and what a symbol is.
 DEFINITION, ASSIGNMENT, SYMBOL = r"(?U)(?:def|fn|func|function|class)\s+(\w+)", r"(?U)(\w+)\s*[:=]", r"(?:def|async def|class)\s+(\w+)"
 
 
@@ -43,23 +44,41 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), 0))
 
 
+FEW_WORDS = 500_000  # words of snippets, of 50 bytes or so, that may be sent to every executor
+
+
 def similar_lines(lines: DataFrame, snippets: DataFrame, threshold: float = 0.7) -> DataFrame:
     """snippet_id, file, line_no, snippet, similarity (rounded) and share: the lines that hold at least ``threshold`` of a snippet's distinct words.
 
-    ``snippets`` has snippet_id and text. A line meets a snippet through one of the snippet's rarest words alone, as many as it may lack plus one (a line that lacks
-    them all falls below), and the candidates are checked whole, so frequent words pair nothing.
+    ``snippets`` has snippet_id and text, ``lines`` a line for each (file, line_no). A line meets a snippet through one of the snippet's rarest words
+    alone, as many as it may lack plus one (a line that lacks them all falls below), and the candidates are checked whole, so frequent words pair nothing.
+    Where the snippets' words are few enough to be sent out, a line is met and checked in the task that read it; otherwise words and line numbers
+    alone are shuffled, and the candidates' lines are read again.
     """
     wanted = snippets.select("snippet_id", tokens(F.col("text")).alias("want")).filter(F.size("want") > 0)
-    have = lines.select("file", "line_no", trimmed(F.col("line")).alias("snippet"), tokens(F.col("line")).alias("have")).filter(F.size("have") > 0)
     each = wanted.select("snippet_id", "want", F.explode("want").alias("word"))
-    rare = have.select(F.explode("have").alias("word")).join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    few = each.limit(FEW_WORDS + 1).count() <= FEW_WORDS
+    sent = F.broadcast if few else lambda df: df
+    have = lines.select("file", "line_no", trimmed(F.col("line")).alias("snippet"), tokens(F.col("line")).alias("have"))
+    rare = have.select(F.explode("have").alias("word")).join(sent(each.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("snippet_id").orderBy(F.coalesce("df", F.lit(0)), "word"))
     need = F.ceil(F.size("want") * F.lit(threshold) - 1e-9)
     keys = each.join(rare, "word", "left").withColumn("rank", rank).filter(F.col("rank") <= F.size("want") - need + 1).select("word", "snippet_id", "want")
-    met = have.withColumn("word", F.explode("have")).join(keys, "word")
     share = F.size(F.array_intersect("want", "have")) / F.size("want")
-    hits = met.filter(share >= threshold).groupBy("snippet_id", "file", "line_no", "snippet").agg(F.max(F.round(share, 2)).alias("similarity"), F.max(share).alias("share"))
-    return hits
+    if few:
+        met = have.withColumn("word", F.explode("have")).join(F.broadcast(keys), "word")
+    else:
+        pairs = have.select("file", "line_no", F.explode("have").alias("word")).join(keys.select("word", "snippet_id"), "word").select("file", "line_no", "snippet_id").distinct()
+        met = pairs.join(have, ["file", "line_no"]).join(wanted, "snippet_id")
+    hits = met.withColumn("share", share).filter(F.col("share") >= threshold)
+    return hits.groupBy("snippet_id", "file", "line_no", "snippet").agg(F.round(F.max("share"), 2).alias("similarity"), F.max("share").alias("share"))
+
+
+def ranked_similar_lines(found: DataFrame, most: int | None = None) -> DataFrame:
+    """Similar lines with their ``rank`` for each snippet: by similarity, the greatest first, then file and line; the first ``most`` where given."""
+    order = Window.partitionBy("snippet_id").orderBy(F.desc("similarity"), "file", "line_no")
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    return ranked if most is None else ranked.filter(F.col("rank") <= most)
 
 
 def find_definition(symbols: DataFrame, name: str) -> DataFrame:
