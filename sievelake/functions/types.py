@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,3 +70,18 @@ def literal_type(value: Column) -> Column:
     fits = value.rlike(INTEGER) & F.coalesce(F.regexp_replace(value, r"^\+", "").try_cast("decimal(20,0)").between(F.lit(-(2**63)), F.lit(2**63 - 1)), F.lit(False))
     return F.when(value.isNotNull(), F.when(value.isin("True", "False", "true", "false"), "Bool").when(fits, "Int").when(value.rlike(FLOAT), "Float").when(first.isin('"', "'", "`"), "String")
         .when(value.isin("None", "null", "nil"), "Null").when(first == "[", "List[Any]").when(first == "{", "Dict[Any, Any]").otherwise("Any"))
+
+
+def environment(assignments: DataFrame, order: str = "seq") -> DataFrame:
+    """scope, variable and type: the last of the ``assignments`` (scope, variable, type, order) of each variable."""
+    return assignments.groupBy("scope", "variable").agg(F.max_by("type", order).alias("type"))
+
+
+def types_of(env: DataFrame, names: DataFrame) -> DataFrame:
+    """``names`` (scope, variable) with their type; Any where the environment has none."""
+    return names.join(env, ["scope", "variable"], "left").withColumn("type", F.coalesce("type", F.lit("Any")))
+
+
+def uncertain(env: DataFrame) -> DataFrame:
+    """scope and variable of what may be anything."""
+    return env.filter("type = 'Any'").select("scope", "variable")

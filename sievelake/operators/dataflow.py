@@ -25,6 +25,20 @@ def reaching(definitions: DataFrame, scope: str = "function") -> DataFrame:
     return out.select(scope, "variable", "id", F.array_sort(F.array_union(F.array_except(but_last, "_own"), F.array("id"))).alias("reaching_ids"))
 
 
+def reaching_at(reached: DataFrame, points: DataFrame, scope: str = "function") -> DataFrame:
+    """``points`` (scope, id) with the definitions that reach them; none for a point that no definition is at."""
+    none = F.array().cast(dict(reached.dtypes)["reaching_ids"])
+    joined = points.join(reached.select(scope, "id", "reaching_ids"), [scope, "id"], "left")
+    return joined.withColumn("reaching_ids", F.coalesce("reaching_ids", none))
+
+
+def trace_to_source(definitions: DataFrame, uses: DataFrame, scope: str = "function") -> DataFrame:
+    """``uses`` (scope, variable) with the kinds and values of their variable's definitions, by id; none for an unknown variable. One step, not further."""
+    made = F.sort_array(F.collect_list(F.struct("id", "source_kind", "source_value")))
+    known = definitions.groupBy(scope, "variable").agg(made.alias("sources"))
+    return uses.join(known, [scope, "variable"], "left").withColumn("sources", F.coalesce("sources", F.array().cast(dict(known.dtypes)["sources"])))
+
+
 def _first(value: Column, table: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for part, kind in reversed(table.items()):

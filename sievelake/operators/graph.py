@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CRITICAL_MODULES
@@ -126,3 +126,37 @@ def call_edges(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     keys = list(calls.columns)
     nearest = inside.groupBy(*keys).agg(F.max_by("src", F.struct("line_start", F.col("src"))).alias("src"))
     return nearest.join(last, nearest["callee"] == last["name"]).select("src", "dst", F.lit("calls").alias("kind"), "line")
+
+
+CALL = r"(?U)(\w+)\s*\("  # Fixed values: a call, a definition of a function, and words before a parenthesis that call nothing
+FUNCTION = r"(?U)^\s*(?:async\s+def|def|fn|func|function)\s+(\w+)"
+NO_CALLS = ("if", "for", "while", "return", "switch", "catch", "def", "fn", "func", "function", "class", "and", "or", "not", "in")
+
+
+def call_sites(lines: DataFrame) -> DataFrame:
+    """file_path, line, callee and caller of each call in ``lines`` (file_path, line, text): one a match.
+
+    The caller is the nearest function defined on the line or before it in the file; null before the first. A definition's own name is no call. A file's
+    lines meet in one window, as they stand in one file.
+    """
+    defined = F.nullif(F.regexp_extract("text", FUNCTION, 1), F.lit(""))
+    so_far = Window.partitionBy("file_path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.withColumn("_defined", defined).withColumn("caller", F.last("_defined", ignorenulls=True).over(so_far))
+    names = F.regexp_extract_all("text", F.lit(CALL), 1)
+    own = F.array_position(names, F.col("_defined"))  # the first mention of the defined name is its definition
+    calls = F.filter(names, lambda n, i: ~n.isin(*NO_CALLS) & ~F.coalesce(own == i + 1, F.lit(False)))
+    return rows.select("file_path", "line", F.explode(calls).alias("callee"), "caller")
+
+
+def cfg_blocks(blocks: DataFrame, order: str = "seq") -> DataFrame:
+    """function, id, kind, label and line of control-flow blocks: 0 the entry and 1 the exit of each function, then ``blocks`` (function, kind, label, line, order) in order."""
+    number = (F.row_number().over(Window.partitionBy("function").orderBy(order)) + 1).alias("id")
+    inner = blocks.select("function", number, "kind", "label", "line")
+    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.lit(kind.lower()).alias("label"), F.lit(0).alias("line")) for i, kind in enumerate(("Entry", "Exit"))]))
+    return blocks.select("function").distinct().withColumn("e", ends).select("function", "e.*").unionByName(inner)
+
+
+def cfg_graph(blocks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (function, id, name, kind, line) and distinct edges (function, src, dst, kind) of control flow (blocks as of cfg_blocks; edges function, src, dst)."""
+    nodes = blocks.select("function", "id", F.col("label").alias("name"), "kind", "line")
+    return nodes, edges.select("function", "src", "dst").distinct().withColumn("kind", F.lit("control_flow"))

@@ -20,6 +20,19 @@ def period_metrics(reviews: DataFrame, period: str) -> DataFrame:
     )
 
 
+def period_rates(reviews: DataFrame, period: str) -> DataFrame:
+    """period, period_start, total_reviews, total_findings, llm_calls and, in per cent, adoption_rate and auto_fix_pass_rate of ``reviews``.
+
+    ``reviews`` has created_at, findings, llm_calls, adopted, fixes and fixes_passed; a rate of nothing is 0.
+    """
+    start = F.to_date(F.date_trunc(PERIODS[period], "created_at"))
+    rate = lambda part, whole: F.round(F.coalesce(F.try_divide(F.sum(part) * 100.0, F.sum(whole)), F.lit(0.0)), 2)
+    return reviews.groupBy(F.lit(period).alias("period"), start.alias("period_start")).agg(
+        F.count("*").alias("total_reviews"), F.sum("findings").alias("total_findings"), F.sum("llm_calls").alias("llm_calls"),
+        rate("adopted", "findings").alias("adoption_rate"), rate("fixes_passed", "fixes").alias("auto_fix_pass_rate"),
+    )
+
+
 def newest_metrics(metrics: DataFrame, period: str, n: int = 10) -> DataFrame:
     return metrics.filter(F.col("period") == period).orderBy(F.desc("period_start")).limit(n)
 

@@ -130,6 +130,13 @@ def findings(lines: DataFrame, files: DataFrame | None = None, rules: list[dict]
     )
 
 
+def with_code(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with the whole added code of their file, joined by newlines, as ``snippet``: found first, then looked up, so that no code travels with lines."""
+    code = F.array_join(F.coalesce("added_lines", F.array().cast("array<string>")), "\n")
+    texts = files.groupBy("diff_id", F.col("path").alias("file_path")).agg(F.max(code).alias("snippet"))
+    return found.drop("snippet").join(texts, ["diff_id", "file_path"], "left").select(*found.columns)
+
+
 def is_test_file(path: Column) -> Column:
     out = F.lit(False)
     for marker in TEST_MARKERS:

@@ -87,6 +87,10 @@ def find_definition(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.withColumn("_rank", rank).filter("_rank IS NOT NULL").orderBy("_rank", "seq").limit(1).drop("_rank")
 
 
+def symbols_in_file(symbols: DataFrame, path: str) -> DataFrame:
+    return symbols.filter(F.col("file") == path)
+
+
 def type_info(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("type_info", F.coalesce(F.nullif(F.col("return_type"), F.lit("")), F.col("kind")))
 

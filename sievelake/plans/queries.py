@@ -86,10 +86,12 @@ _TEMPLATES = " ".join(f"WHEN rule_id = '{r}' THEN {_text(c)}" for r, c in fixed.
 
 
 @query(f"""{_HITS} SELECT doc_id, rule_id, CAST(line_start AS INT) AS line_start, CASE WHEN severity IN ('critical', 'major') THEN CASE {_TEMPLATES}
-WHEN contains(lower(line), 'execute') THEN replace(replace(line, '+', ', '), 'f"', '"') WHEN contains(line, 'innerHTML') THEN replace(line, 'innerHTML', 'textContent')
-WHEN contains(line, 'os.system') THEN replace(line, 'os.system(', 'subprocess.run([') END END AS auto_fix_code FROM hits WHERE NOT contains(line, 'nolint') AND NOT contains(line, 'no-lint')""")
+WHEN category = 'security' AND contains(lower(line), 'execute') THEN replace(replace(line, '+', ', '), 'f"', '"') WHEN category = 'security' AND contains(line, 'innerHTML') THEN replace(line, 'innerHTML', 'textContent')
+WHEN category = 'security' AND contains(line, 'os.system') THEN replace(line, 'os.system(', 'subprocess.run([')
+WHEN category = 'performance' AND contains(line, '+=') AND contains(text, 'for ') THEN {_text(fixed.LOOP_HINT)} END END AS auto_fix_code FROM hits JOIN (SELECT doc_id, text FROM documents) USING (doc_id) WHERE NOT contains(line, 'nolint') AND NOT contains(line, 'no-lint')""")
 def fix_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.context_filter(scan.findings(document_lines(spark, sf_dir)))
+    code = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("diff_id"), F.col("doc_id").cast("string").alias("path"), F.split("text", "\n", -1).alias("added_lines"))
+    found = scan.with_code(scan.context_filter(scan.findings(document_lines(spark, sf_dir))), code)
     return review.with_fixes(review.route(found)).select(F.col("diff_id").alias("doc_id"), "rule_id", "line_start", "auto_fix_code")
 
 

@@ -13,8 +13,9 @@ from ..sources import diffs, testsets
 def review_findings(submitted: DataFrame, judge=None, only: tuple[str, ...] = (), disabled: tuple[str, ...] = ()) -> DataFrame:
     """Findings of diffs (diff_id, diff_content, language) after the context filter, routing and fixes."""
     rules = scan.active_rules(only=only, disabled=disabled)
-    found = scan.findings(diffs.added_lines(submitted), diffs.files(submitted), rules)
-    return review.with_fixes(review.route(scan.context_filter(found), judge))
+    files = diffs.files(submitted)
+    found = scan.with_code(scan.context_filter(scan.findings(diffs.added_lines(submitted), files, rules)), files)
+    return review.with_fixes(review.route(found, judge))
 
 
 def review_records(submitted: DataFrame, found: DataFrame) -> DataFrame:

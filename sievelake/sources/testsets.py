@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 SCHEMA = "ground_truth array<struct<file:string,line:int,category:string,severity:string>>, samples array<struct<diff:string,code:string,language:string>>"
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Truths (file, line, category, severity, gt_seq) and samples (sample_id, diff_content, language) of one document; broken JSON fails."""
-    document = spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path, multiLine=True)
-    truths = document.select(F.posexplode("ground_truth").alias("gt_seq", "t")).select("t.*", "gt_seq")
-    samples = document.select(F.posexplode("samples").alias("sample_id", "s"))
+def parts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Truths (file, line, category, severity, gt_seq) and samples (sample_id, diff_content, language) of parsed ``documents``, and their other columns."""
+    others = [c for c in documents.columns if c not in ("ground_truth", "samples")]
+    truths = documents.select(*others, F.posexplode("ground_truth").alias("gt_seq", "t")).select(*others, "t.*", "gt_seq")
+    samples = documents.select(*others, F.posexplode("samples").alias("sample_id", "s"))
     text = F.coalesce("s.diff", "s.code", F.lit(""))
-    return truths, samples.select("sample_id", text.alias("diff_content"), F.coalesce("s.language", F.lit("")).alias("language"))
+    return truths, samples.select(*others, "sample_id", text.alias("diff_content"), F.coalesce("s.language", F.lit("")).alias("language"))
+
+
+def parse(texts: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """As ``parts``, of a table with the JSON text of a test set in each row; broken JSON fails."""
+    parsed = texts.withColumn("_set", F.from_json(column, SCHEMA, {"mode": "FAILFAST"}))
+    return parts(parsed.select(*[c for c in texts.columns if c != column], "_set.*"))
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As ``parts``, of the one document at ``path``; broken JSON fails."""
+    return parts(spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path, multiLine=True))
 
 
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:

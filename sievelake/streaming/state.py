@@ -36,6 +36,16 @@ def invalidate_by_hash(entries: DataFrame, current: DataFrame, key: str = "funct
     return entries.join(now, key, "left").filter("_now IS NULL OR _now = hash").drop("_now")
 
 
+def cache_put(entries: DataFrame, new: DataFrame, key: str = "function_name") -> DataFrame:
+    """``entries`` with those of ``new`` (one a key) in place of what the same keys had."""
+    return invalidate(entries, new, key).unionByName(new.select(*entries.columns))
+
+
+def cache_stats(entries: DataFrame, now: Column, key: str = "function_name", ttl_s: int = TTL_S) -> DataFrame:
+    """One row: cached_functions, the keys with a live entry."""
+    return cache_get(entries, now, key, ttl_s).agg(F.count("*").alias("cached_functions"))
+
+
 def breaker(calls: DataFrame, key: str, order: str, failed: str = "failed", limit: int = FAILURES) -> DataFrame:
     """Adds failures_before (in a row) and open to each of ``calls``: from ``limit`` failures in a row on, a key's breaker stays open.
 

@@ -23,6 +23,15 @@ def test_hops_find_seeds_again(spark):
     assert found(graph.callees(edges(spark, [(1, 2)]), ids(spark, 1), 0)) == {}
 
 
+def test_plans_do_not_grow_with_hops(spark):
+    chain = edges(spark, [(k, k + 1) for k in range(40)])
+    walks = {k: graph.callees(chain, ids(spark, 0), k) for k in (3, 12)}
+    assert found(walks[12]) == {k: k for k in range(1, 13)}
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join") for df in walks.values()]
+    assert joins == [0, 0]
+    assert {r.id for r in graph.reachable(chain, ids(spark, 0)).collect()} == set(range(41))
+
+
 def test_other_kinds_count_only_in_induced_graphs(spark):
     e = spark.createDataFrame([(1, 2, "imports", 1), (1, 3, "calls", 1)], "src long, dst long, kind string, line int")
     assert found(graph.callees(e, ids(spark, 1), 2)) == {3: 1}
@@ -135,3 +144,42 @@ def test_apply_fix(spark):
     from pyspark.sql import functions as F
 
     assert df.select(review.apply_fix(F.col("lines"), F.lit(2), F.lit(2), F.lit("B"))).first()[0] == ["a", "B", "c"]
+
+
+def test_call_sites_have_the_nearest_definition_before_them(spark):
+    text = ["setup()", "def f(a):", "    if (a): g(h(a)); f(1)", "class A:", "func k() { k() }", ""]
+    lines = spark.createDataFrame([("x.py", k + 1, t) for k, t in enumerate(text)] + [("y.py", 1, None)], "file_path string, line int, text string")
+    got = sorted((r.line, r.callee, r.caller) for r in graph.call_sites(lines).collect())
+    assert got == [(1, "setup", None), (3, "f", "f"), (3, "g", "f"), (3, "h", "f"), (5, "k", "k")]
+    assert graph.call_sites(lines.limit(0)).count() == 0
+
+
+def test_greedy_matching_of_one_large_group_against_a_loop(spark):
+    rng = random.Random(12)
+    truths, asked = ([(None, "c", rng.choice([None, rng.randint(1, 400)]), k) for k in range(600)] for _ in range(2))
+    want, used = set(), set()
+    for _, _, line, seq in asked:
+        at = next((k for _, _, n, k in truths if k not in used and abs((n or 0) - (line or 0)) <= 3), None)
+        if at is not None:
+            used.add(at)
+            want.add((seq, at))
+    side = lambda rows, seq: spark.createDataFrame(rows, f"file string, category string, line int, {seq} long").repartition(3)
+    got = evaluate.greedy_match(side(truths, "gt_seq"), side(asked, "pred_seq")).collect()
+    assert {(r.pred_seq, r.gt_seq) for r in got} == want and {r.file for r in got} == {None}
+
+
+def test_similar_lines_agree_however_many_words_there_are(spark, monkeypatch):
+    rng = random.Random(13)
+    make = lambda n: " ".join(rng.choice("ab cd ef gh ij kl mn op qr st".split()) for _ in range(n))
+    lines = spark.createDataFrame([("f", k, make(rng.randint(0, 9))) for k in range(200)] + [("g", 1, None)], "file string, line_no int, line string")
+    snippets = spark.createDataFrame([(k, make(rng.randint(0, 6))) for k in range(12)] + [(20, None)], "snippet_id int, text string")
+    few = sorted(map(tuple, search.similar_lines(lines, snippets).collect()))
+    monkeypatch.setattr(search, "FEW_WORDS", 3)
+    assert few and sorted(map(tuple, search.similar_lines(lines, snippets).collect())) == few
+    want = set()
+    for s in snippets.collect():
+        w = set((s.text or "").split())
+        want |= {(s.snippet_id, r.file, r.line_no) for r in lines.collect() if w and len(w & set((r.line or "").split())) >= 0.7 * len(w) - 1e-9}
+    assert {t[:3] for t in few} == want
+    ranked = search.ranked_similar_lines(search.similar_lines(lines, snippets), 3).collect()
+    assert all(r.rank <= 3 for r in ranked) and {r.rank for r in ranked} == {1, 2, 3}

@@ -3,6 +3,9 @@
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sievelake.operators import review, scan
 
@@ -83,3 +86,29 @@ def test_fixes(spark):
     df = spark.createDataFrame([(*r, r[3] + " for ") for r in rows], "rule_id string, category string, severity string, line_content string, snippet string")
     got = [r.auto_fix_code for r in review.with_fixes(df).collect()]
     assert got[0].startswith("cursor.execute(query") and got[1] is None and got[2] == 'execute("a" ,  b)' and got[3] == "a.textContent = b" and got[4].startswith("# Use") and got[5] is None
+
+
+@given(st.sampled_from([r for r in scan.RULE_DICTS if r["pattern"]]), st.data())
+@settings(max_examples=300, deadline=None)
+def test_what_a_pattern_matches_holds_one_of_its_needles(rule, data):
+    """Also where case, or a letter that is one without case, differs."""
+    text = data.draw(st.from_regex(rule["pattern"]))
+    fold = {"s": "\u017f", "k": "\u212a", "i": "\u0131"}
+    text = "".join(data.draw(st.sampled_from([c, c.swapcase() if len(c.swapcase()) == 1 else c, fold.get(c.lower(), c)])) if c.isascii() and c.isalpha() else c for c in text)
+    lowered = text.translate(str.maketrans(*scan.FOLDS)).lower()
+    parts = scan.needles(rule["pattern"])
+    assert parts is None or any(p in lowered for p in parts)
+
+
+def test_letters_that_fold_to_ascii_are_known():
+    """Whatever a pattern that ignores case takes for a letter a-z is one of scan.FOLDS, or in them."""
+    fold = lambda c: chr(c).upper().lower() if len(chr(c).upper()) == 1 else chr(c)
+    found = {chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and "a" <= fold(c)[0] <= "z"}
+    assert found == set(scan.FOLDS[0])
+
+
+def test_rules_see_letters_without_case(spark):
+    lines = spark.createDataFrame([("pa\u017fsword = 'abcdefghijklmnopq'", "x"), ("TO\u212aEN: 'abcdefghijklmnopq'", "x"), ("ver\u0131fy=False", "x")], "line string, language string")
+    plain = [r for r in scan.active_rules() if not scan.file_scoped(r)]
+    want = [r["rule_id"] for r in plain for line, _ in map(tuple, lines.collect()) if spark.range(1).select(F.lit(line).rlike(scan.FLAGS + r["pattern"])).first()[0]]
+    assert sorted(r.rule_id for r in scan.scan_lines(lines).collect()) == sorted(want) and len(want) >= 2
