@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import RULE_COLUMNS, RULES, SUPPRESSIONS, TEST_MARKERS
@@ -17,8 +20,21 @@ def active_rules(rules=RULE_DICTS, disabled: tuple[str, ...] = (), only: tuple[s
 
 
 def file_scoped(rule: dict) -> bool:
-    """A pattern that names a line end is matched over whole files."""
-    return r"\n" in rule["pattern"]
+    """A pattern that names a line end, or has one, is matched over whole files."""
+    return r"\n" in rule["pattern"] or "\n" in rule["pattern"]
+
+
+def usable(spark: SparkSession, rules: list[dict]) -> list[dict]:
+    """The rules whose pattern is valid; the others are left out, with a warning."""
+    out = []
+    for rule in rules:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(FLAGS + rule["pattern"])
+        except IllegalArgumentException as e:
+            warnings.warn(f"rule {rule['rule_id']} is not used: {e}", stacklevel=3)
+        else:
+            out.append(rule)
+    return out
 
 
 def _gate(rule: dict, language: Column) -> Column:
@@ -77,7 +93,7 @@ def scan_lines(lines: DataFrame, rules: list[dict] | None = None) -> DataFrame:
 
     A rule's pattern is only tried on lines that hold a string which each of its matches holds.
     """
-    rules = [r for r in (active_rules() if rules is None else rules) if not file_scoped(r)]
+    rules = usable(lines.sparkSession, [r for r in (active_rules() if rules is None else rules) if not file_scoped(r)])
     lowered = lines.withColumn("_lowered", F.lower(F.translate("line", *FOLDS)))
     hits = [F.when(_gate(r, F.col("language")) & _may_match(r, F.col("_lowered")) & F.col("line").rlike(FLAGS + r["pattern"]), F.struct(*_described(r))) for r in rules]
     if not hits:
@@ -102,7 +118,7 @@ def match_positions(code: Column, pattern: str) -> Column:
 
 def scan_files(files: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """Findings of the file-scoped rules in ``files`` (added_lines, language, any more): one a match, at the line where it begins."""
-    rules = [r for r in (active_rules() if rules is None else rules) if file_scoped(r)]
+    rules = usable(files.sparkSession, [r for r in (active_rules() if rules is None else rules) if file_scoped(r)])
     keep = [c for c in files.columns if c not in ("added_lines", "removed_lines")]
     if not rules:
         return files.limit(0).select(*keep, F.lit(None).cast("string").alias("line"), F.lit(0).alias("line_start"), *_described(dict.fromkeys(RULE_COLUMNS)))

@@ -112,3 +112,13 @@ def test_rules_see_letters_without_case(spark):
     plain = [r for r in scan.active_rules() if not scan.file_scoped(r)]
     want = [r["rule_id"] for r in plain for line, _ in map(tuple, lines.collect()) if spark.range(1).select(F.lit(line).rlike(scan.FLAGS + r["pattern"])).first()[0]]
     assert sorted(r.rule_id for r in scan.scan_lines(lines).collect()) == sorted(want) and len(want) >= 2
+
+
+def test_a_rule_with_a_broken_pattern_is_left_out(spark):
+    broken = scan.RULE_DICTS[0] | {"rule_id": "X-1", "pattern": "(a"}
+    fine = scan.RULE_DICTS[0] | {"rule_id": "X-2", "pattern": "a\nb"}
+    lines = spark.createDataFrame([("(a", "x")], "line string, language string")
+    with pytest.warns(UserWarning, match="X-1"):
+        assert scan.scan_lines(lines, [broken]).count() == 0
+    code = spark.createDataFrame([(["x a", "b"], "x")], "added_lines array<string>, language string")
+    assert [(r.rule_id, r.line_start) for r in scan.scan_files(code, [fine]).collect()] == [("X-2", 1)]
