@@ -186,7 +186,8 @@ def identify(docs: DataFrame, model: dict, text: str = "text", named: tuple[str,
 def language_report(docs: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learns only from those outside the held-out fold.
 
-    The fold is crc32 of doc_id as text modulo ``folds``; a null doc_id is in no held-out fold.
+    The fold is crc32 of doc_id as text modulo ``folds``; a null doc_id is in no held-out fold. Repeated rows are rows of their own here, each with its
+    result; they count once in the sample. An empty table gives no rows. Other columns are not read.
     """
     held = F.coalesce(crc_fold(F.col("doc_id"), folds) == held_out, F.lit(False))
     model = fit(docs.filter(~held).select("doc_id", "text", "lang"))

@@ -24,7 +24,7 @@ from .common import written
 
 K, EVERY, SCALE = 20, 20, 64
 BLOCK = 256
-RANGES, LONGEST = 8, 32_768  # ranges of a small table; most vectors in one
+RANGES, LONGEST, WIDEST = 8, 32_768, 1 << 22  # ranges of a small table; most vectors, and numbers, in one
 QUERIES = (1_024, 8_192)  # least and most queries of a group
 GROUPS = 64  # query groups before they grow
 SEEDS = 64  # vectors that order the others
@@ -172,10 +172,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     sound = vectors.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", floored).alias("v"))
     near = _by_content(sound, SEEDS).repartitionByRange("near", "vec_id").sortWithinPartitions("near", "vec_id")
     near = written(near.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
-    sizes = near.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
+    sizes = near.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(F.size("v")).alias("width")).first()
     # places from counts of the written partitions: ranges of neighbours
     part = F.shiftright("row", 33).cast("int")
-    length = min(LONGEST, max(BLOCK, -(-sizes.n // RANGES)))
+    length = min(LONGEST, max(1, WIDEST // max(sizes.width or 1, 1)), max(BLOCK, -(-sizes.n // RANGES)))
     ranges = -(-sizes.n // length) or 1
     asked = -(-sizes.q // min(QUERIES[1], max(QUERIES[0], sizes.q // GROUPS))) or 1
     so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a partition

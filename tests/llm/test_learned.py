@@ -38,6 +38,39 @@ def test_language_edges(spark, tables):
     assert {r.lang_pred for r in language_id.identify(odd, one).collect()} == {"und", "en"}
 
 
+def test_language_against_loops(spark, tables):
+    """Counts of n-grams, and the scores that a model gives, by plain loops over characters and dense weights."""
+    docs, _ = tables
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    dense = np.zeros((len(model["langs"]), language_id.DIMS))
+    for place in range(language_id.DIMS):
+        for k in range(model["ptr"][place], model["ptr"][place + 1]):
+            dense[model["lang"][k], place] = model["w"][k]
+    odd = ["Été à Zürich -- 2024!", "a", "  x  y", "İI ıi", "ß" * 500, "one,two"]
+    rows = [(k, t) for k, t in enumerate(odd + [r.text for r in docs.filter("n_chars < 400").limit(20).collect()])]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for (_, text), r in zip(rows, got, strict=True):
+        kept, before = " ", True
+        for c in text.lower():
+            if c.isalpha() or before:
+                kept += c if c.isalpha() else " "
+            before = c.isalpha()
+        kept += " "
+        counts = {}
+        for n in (1, 2, 3):
+            for i in range(len(kept) - n + 1):
+                gram = 0
+                for c in kept[i : i + n]:
+                    gram = (gram * 0x100000001B3 + ord(c)) % 2**64
+                place = gram * int(language_id._SALT[n - 1]) % 2**64 >> 49
+                counts[place] = counts.get(place, 0) + 1
+        x = {p: (1 + np.log(c)) * model["idf"][p] for p, c in counts.items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        logits = model["b"] + sum(dense[:, p] * v / norm for p, v in x.items())
+        p = softmax(logits / model["t"])
+        assert r.score == pytest.approx(p.max(), abs=1e-6) and r.lang_pred == model["langs"][int(p.argmax())]
+
+
 def test_language_does_not_read_labels_of_the_held_out_fold(spark, tables):
     docs, _ = tables
     other = docs.withColumn("lang", F.when(crc_fold(F.col("doc_id"), 5) == 0, "zz").otherwise(F.col("lang"))).withColumn("source", F.lit("same"))
