@@ -65,41 +65,52 @@ OP1_SQL = r"""
 WITH split AS (
   SELECT page_id, url, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
-  SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-         '~~' || regexp_replace(translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0/._?=&#%:\-]', '~', 'g') AS m,
+  SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest,
+'^[^/?#]*([^?#]*)', 1) AS path,
+         '~~' || regexp_replace(translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0/._?=&#%:\-]', '~',
+'g') AS m,
          CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 5 AS fold FROM split),
 ruled AS (
   SELECT *, CASE WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
     WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
-    WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path,
+'/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule, row_number() OVER () AS rid FROM parts),
 verdicts AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM ruled),
 spots AS (SELECT rid, ruled, fold, m, unnest(range(3, length(m) + 1)) AS i FROM verdicts),
 cells AS (
   SELECT rid, ruled, fold, (instr(a, substr(m, i - 2, 1)) - 1) * 1444 + (instr(a, substr(m, i - 1, 1)) - 1) * 38 + instr(a, substr(m, i, 1)) - 1 AS cell
   FROM spots, (SELECT 'abcdefghijklmnopqrstuvwxyz0/.-_?=&#%:~' AS a)),
-seen AS (SELECT cell, count(*) FILTER (ruled = 'allow') AS n, count(*) FILTER (ruled = 'block') AS k FROM cells WHERE ruled IS NOT NULL AND fold <> 0 GROUP BY cell),
+seen AS (SELECT cell, count(*) FILTER (ruled = 'allow') AS n, count(*) FILTER (ruled = 'block') AS k FROM cells WHERE ruled IS NOT NULL AND fold <> 0 GROUP
+BY cell),
 grid AS (
   SELECT g.range AS cell, side, CAST(coalesce(CASE side WHEN 'allow' THEN n ELSE k END, 0) AS DOUBLE) AS n
   FROM range(54872) g LEFT JOIN seen ON g.range = seen.cell CROSS JOIN (VALUES ('allow'), ('block')) s(side)),
 last0 AS (SELECT side, cell % 38 AS c, sum(n) AS n FROM grid GROUP BY 1, 2),
-p0 AS (SELECT side, c, CASE WHEN sum(n) OVER w > 0 THEN (n + count(*) FILTER (n > 0) OVER w * (1.0::DOUBLE / 38)) / (sum(n) OVER w + count(*) FILTER (n > 0) OVER w) ELSE 1.0::DOUBLE / 38 END AS p FROM last0 WINDOW w AS (PARTITION BY side)),
+p0 AS (SELECT side, c, CASE WHEN sum(n) OVER w > 0 THEN (n + count(*) FILTER (n > 0) OVER w * (1.0::DOUBLE / 38)) / (sum(n) OVER w + count(*) FILTER (n
+> 0) OVER w) ELSE 1.0::DOUBLE / 38 END AS p FROM last0 WINDOW w AS (PARTITION BY side)),
 last1 AS (SELECT side, cell % 1444 AS c, sum(n) AS n FROM grid GROUP BY 1, 2),
 p1 AS (
-  SELECT l.side, l.c, CASE WHEN sum(n) OVER w > 0 THEN (n + count(*) FILTER (n > 0) OVER w * p) / (sum(n) OVER w + count(*) FILTER (n > 0) OVER w) ELSE p END AS p
+  SELECT l.side, l.c, CASE WHEN sum(n) OVER w > 0 THEN (n + count(*) FILTER (n > 0) OVER w * p) / (sum(n) OVER w + count(*) FILTER (n > 0) OVER w) ELSE
+p END AS p
   FROM last1 l JOIN p0 ON l.side = p0.side AND l.c % 38 = p0.c WINDOW w AS (PARTITION BY l.side, l.c // 38)),
 p2 AS (
-  SELECT g.side, g.cell, CASE WHEN sum(n) OVER w > 0 THEN (n + count(*) FILTER (n > 0) OVER w * p) / (sum(n) OVER w + count(*) FILTER (n > 0) OVER w) ELSE p END AS p
+  SELECT g.side, g.cell, CASE WHEN sum(n) OVER w > 0 THEN (n + count(*) FILTER (n > 0) OVER w * p) / (sum(n) OVER w + count(*) FILTER (n > 0) OVER w) ELSE
+p END AS p
   FROM grid g JOIN p1 ON g.side = p1.side AND g.cell % 1444 = p1.c WINDOW w AS (PARTITION BY g.side, g.cell // 38)),
 gains AS (SELECT a.cell, ln(a.p) - ln(b.p) AS gain FROM p2 a JOIN p2 b ON a.cell = b.cell AND a.side = 'allow' AND b.side = 'block'),
 means AS (SELECT rid, avg(gain) AS score FROM cells JOIN gains USING (cell) GROUP BY rid),
 scored AS (SELECT v.*, coalesce(score, 0) AS score FROM verdicts v LEFT JOIN means USING (rid)),
-bins AS (SELECT greatest(least(floor(score * 100), 400), -400) AS step, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM scored WHERE ruled IS NOT NULL AND fold = 0 GROUP BY 1),
+bins AS (SELECT greatest(least(floor(score * 100), 400), -400) AS step, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS
+bad FROM scored WHERE ruled IS NOT NULL AND fold = 0 GROUP BY 1),
 cuts AS (
-  SELECT c, round((SELECT coalesce(sum(good), 0) FROM bins WHERE step >= c) / (SELECT sum(good) FROM bins) + (SELECT coalesce(sum(bad), 0) FROM bins WHERE step < c) / (SELECT sum(bad) FROM bins), 12) AS worth
+  SELECT c, round((SELECT coalesce(sum(good), 0) FROM bins WHERE step >= c) / (SELECT sum(good) FROM bins) + (SELECT coalesce(sum(bad), 0) FROM bins WHERE
+step < c) / (SELECT sum(bad) FROM bins), 12) AS worth
   FROM (SELECT step AS c FROM bins UNION SELECT 0)),
-cut AS (SELECT CASE WHEN (SELECT sum(good) FROM bins) > 0 AND (SELECT sum(bad) FROM bins) > 0 THEN (SELECT c FROM cuts ORDER BY worth DESC, abs(c), c LIMIT 1) ELSE 0 END / 100 AS cut)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT cut FROM cut) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM scored
+cut AS (SELECT CASE WHEN (SELECT sum(good) FROM bins) > 0 AND (SELECT sum(bad) FROM bins) > 0 THEN (SELECT c FROM cuts ORDER BY worth DESC, abs(c), c LIMIT
+1) ELSE 0 END / 100 AS cut)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= (SELECT cut FROM cut) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS
+score FROM scored
 """
 
 OP3_SQL = r"""
@@ -129,9 +140,11 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(least(res
 
 OP5_SQL = r"""
 WITH RECURSIVE worded AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS
+w FROM documents),
 shingled AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM worded),
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i :
+i + 3], ' '))) END AS s FROM worded),
 each AS MATERIALIZED (SELECT doc_id, unnest(s) AS h FROM shingled),
 sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM shingled),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM each a JOIN each b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
