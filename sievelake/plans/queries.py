@@ -38,8 +38,9 @@ def _rules_sql() -> str:
 #: The library's word and space classes, spelled out for an engine whose own are ASCII.
 _W, _S = r"[\p{L}\p{M}\p{N}_]", r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _KEYWORDS = ", ".join(map(_text, fixed.KEYWORDS))
-_DOC_LINES = "SELECT doc_id, source, generate_subscripts(parts, 1) AS line_start, unnest(parts) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)"
-_HITS = f"WITH lines AS ({_DOC_LINES}), rules(rule_id, category, severity, pattern) AS (VALUES {_rules_sql()}), hits AS (SELECT l.*, r.rule_id, r.category, r.severity FROM lines l JOIN rules r ON regexp_matches(l.line, r.pattern, 'i'))"
+_DOC_LINES = """SELECT doc_id, source, generate_subscripts(parts, 1) AS line_start, unnest(parts) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)"""
+_HITS = f"""WITH lines AS ({_DOC_LINES}), rules(rule_id, category, severity, pattern) AS (VALUES {_rules_sql()}), hits AS (SELECT l.*, r.rule_id, r.category, r.severity
+FROM lines l JOIN rules r ON regexp_matches(l.line, r.pattern, 'i'))"""
 
 
 @query(f"{_HITS} SELECT doc_id, rule_id, severity, CAST(line_start AS INT) AS line_start, line FROM hits")
@@ -86,9 +87,11 @@ _TEMPLATES = " ".join(f"WHEN rule_id = '{r}' THEN {_text(c)}" for r, c in fixed.
 
 
 @query(f"""{_HITS} SELECT doc_id, rule_id, CAST(line_start AS INT) AS line_start, CASE WHEN severity IN ('critical', 'major') THEN CASE {_TEMPLATES}
-WHEN category = 'security' AND contains(lower(line), 'execute') THEN replace(replace(line, '+', ', '), 'f"', '"') WHEN category = 'security' AND contains(line, 'innerHTML') THEN replace(line, 'innerHTML', 'textContent')
+WHEN category = 'security' AND contains(lower(line), 'execute') THEN replace(replace(line, '+', ', '), 'f"', '"') WHEN category = 'security' AND contains(line,
+'innerHTML') THEN replace(line, 'innerHTML', 'textContent')
 WHEN category = 'security' AND contains(line, 'os.system') THEN replace(line, 'os.system(', 'subprocess.run([')
-WHEN category = 'performance' AND contains(line, '+=') AND contains(text, 'for ') THEN {_text(fixed.LOOP_HINT)} END END AS auto_fix_code FROM hits JOIN (SELECT doc_id, text FROM documents) USING (doc_id) WHERE NOT contains(line, 'nolint') AND NOT contains(line, 'no-lint')""")
+WHEN category = 'performance' AND contains(line, '+=') AND contains(text, 'for ') THEN {_text(fixed.LOOP_HINT)} END END AS auto_fix_code FROM hits JOIN
+(SELECT doc_id, text FROM documents) USING (doc_id) WHERE NOT contains(line, 'nolint') AND NOT contains(line, 'no-lint')""")
 def fix_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("diff_id"), F.col("doc_id").cast("string").alias("path"), F.split("text", "\n", -1).alias("added_lines"))
     found = scan.with_code(scan.context_filter(scan.findings(document_lines(spark, sf_dir))), code)
@@ -107,7 +110,9 @@ def _doc_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(spark, sf_dir).select(F.col("diff_id").alias("file"), F.col("line_start").alias("line_no"), "line")
 
 
-@query(rf"WITH lines AS ({_DOC_LINES}) SELECT doc_id AS file, CAST(line_start AS INT) AS line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS snippet FROM lines WHERE regexp_matches(line, 'licen[sc]e|copyright|permission', 'i')")
+@query(rf"""
+WITH lines AS ({_DOC_LINES}) SELECT doc_id AS file, CAST(line_start AS INT) AS line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS snippet FROM lines
+WHERE regexp_matches(line, 'licen[sc]e|copyright|permission', 'i')""")
 def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_pattern(_doc_code(spark, sf_dir), "licen[sc]e|copyright|permission")
 
@@ -153,8 +158,10 @@ def find_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations), l AS (SELECT conv_id, turn, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line FROM t)
-SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, CAST(coalesce(a.pos, b.pos) AS INT) AS pos, a.line AS old_line, b.line AS new_line, a.line IS DISTINCT FROM b.line AS changed
+WITH t AS (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations), l AS (SELECT conv_id, turn, generate_subscripts(parts, 1) -
+1 AS pos, unnest(parts) AS line FROM t)
+SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, CAST(coalesce(a.pos, b.pos) AS INT) AS pos, a.line AS old_line, b.line
+AS new_line, a.line IS DISTINCT FROM b.line AS changed
 FROM l a FULL JOIN (SELECT conv_id, turn - 1 AS turn, pos, line FROM l WHERE turn > 0) b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.pos = b.pos""")
 def token_positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against the next of its conversation; turn is the first of the two. A turn without a next is against nothing, as is one whose previous turn is absent."""
@@ -163,13 +170,16 @@ def token_positional_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.positional_diff(turns, following, "conv_id", "turn")
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS review_status, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+@query("""
+SELECT o_orderkey AS id, o_orderstatus AS review_status, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50""")
 def list_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("review_status"), F.col("o_orderdate").alias("created_at"))
     return review.list_reviews(reviews, 50, review_status="F")
 
 
-@query("SELECT o_orderkey AS id, o_totalprice, (SELECT count(*) FROM lineitem WHERE l_orderkey = 7) AS n_findings, (SELECT min(l_extendedprice) FROM lineitem WHERE l_orderkey = 7) AS least FROM orders WHERE o_orderkey = 7")
+@query("""
+SELECT o_orderkey AS id, o_totalprice, (SELECT count(*) FROM lineitem WHERE l_orderkey = 7) AS n_findings, (SELECT min(l_extendedprice) FROM lineitem WHERE
+l_orderkey = 7) AS least FROM orders WHERE o_orderkey = 7""")
 def get_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
     found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("review_id"), "l_extendedprice", "l_linenumber")
@@ -177,7 +187,9 @@ def get_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("id", "o_totalprice", F.size(F.coalesce("findings", F.array().cast(dict(one.dtypes)["findings"]))).cast("long").alias("n_findings"), F.col("findings")[0]["l_extendedprice"].alias("least"))
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({_text(r[0])}, {_text(r[2])}, {_text(r[3])}, {_text(r[4])})' for r in fixed.RULES if r[4] in ('python', 'all') and r[2] == 'style')}) AS t(rule_id, category, severity, language)")
+@query(f"""
+SELECT * FROM (VALUES {', '.join(f'({_text(r[0])}, {_text(r[2])}, {_text(r[3])}, {_text(r[4])})' for r in fixed.RULES if r[4] in ('python', 'all') and r[2] == 'style')})
+AS t(rule_id, category, severity, language)""")
 def list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(r["rule_id"], r["category"], r["severity"], r["language"], True) for r in scan.RULE_DICTS]
     rules = spark.createDataFrame(rows, "rule_id string, category string, severity string, language string, is_enabled boolean")
@@ -240,8 +252,10 @@ def callees_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.callees(customer_edges(spark, sf_dir), seed(spark, 11), 3)
 
 
-_IMPACT = f"""WITH RECURSIVE {_EDGES}, up AS (SELECT CAST(11 AS BIGINT) AS id, 0 AS hop UNION SELECT e.src, hop + 1 FROM up JOIN edges e ON e.dst = up.id WHERE hop < 2),
-down AS (SELECT CAST(11 AS BIGINT) AS id, 0 AS hop UNION SELECT e.dst, hop + 1 FROM down JOIN edges e ON e.src = down.id WHERE hop < 2), ids AS (SELECT id FROM up UNION SELECT id FROM down)"""
+_IMPACT = f"""WITH RECURSIVE {_EDGES}, up AS (SELECT CAST(11 AS BIGINT) AS id, 0 AS hop UNION SELECT e.src, hop + 1 FROM up JOIN edges e ON e.dst = up.id WHERE hop <
+2),
+down AS (SELECT CAST(11 AS BIGINT) AS id, 0 AS hop UNION SELECT e.dst, hop + 1 FROM down JOIN edges e ON e.src = down.id WHERE hop < 2), ids AS (SELECT
+id FROM up UNION SELECT id FROM down)"""
 
 
 @query(f"{_IMPACT} SELECT src, dst FROM edges WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)")
@@ -253,7 +267,8 @@ def impact_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_IMPACT}, nodes AS (SELECT c_custkey AS id, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 callers AS (SELECT DISTINCT id FROM up WHERE hop > 0 AND id <> 11)
 SELECT (SELECT count(*) FROM callers JOIN nodes USING (id)) AS n_callers, count(DISTINCT n_name) AS n_modules,
-CASE WHEN (SELECT count(*) FROM callers JOIN nodes USING (id)) > 20 THEN 'High' WHEN (SELECT count(*) FROM callers JOIN nodes USING (id)) > 5 OR (SELECT count(*) FROM callers JOIN nodes USING (id)) >= 1 AND count(DISTINCT n_name) > 3 THEN 'Medium' ELSE 'Low' END AS risk_level
+CASE WHEN (SELECT count(*) FROM callers JOIN nodes USING (id)) > 20 THEN 'High' WHEN (SELECT count(*) FROM callers JOIN nodes USING (id)) > 5 OR (SELECT
+count(*) FROM callers JOIN nodes USING (id)) >= 1 AND count(DISTINCT n_name) > 3 THEN 'Medium' ELSE 'Low' END AS risk_level
 FROM ids JOIN nodes USING (id)""")
 def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
@@ -263,7 +278,9 @@ def risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("n_callers", F.size("modules").cast("long").alias("n_modules"), "risk_level")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT CAST(11 AS BIGINT) AS id, 0 AS hop UNION SELECT b.dst, r.hop + 1 FROM r JOIN both_ways b ON b.src = r.id WHERE r.hop < 2) SELECT DISTINCT id FROM r")
+@query(f"""
+WITH RECURSIVE {_EDGES}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT CAST(11 AS BIGINT) AS id, 0 AS hop UNION
+SELECT b.dst, r.hop + 1 FROM r JOIN both_ways b ON b.src = r.id WHERE r.hop < 2) SELECT DISTINCT id FROM r""")
 def filter_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(customer_edges(spark, sf_dir), seed(spark, 11), 2)
 
@@ -292,18 +309,21 @@ def use_def(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_DEFS}, top AS (SELECT function, max(id) AS top FROM d GROUP BY 1)
-SELECT a.function, a.variable, a.id, array_to_string(list_sort(list_distinct(list(b.id) FILTER (b.id = a.id OR (b.id <> t.top AND NOT EXISTS (SELECT 1 FROM d k WHERE k.function = a.function AND k.variable = a.variable AND k.id = b.id))))), ',') AS reaching_ids
+SELECT a.function, a.variable, a.id, array_to_string(list_sort(list_distinct(list(b.id) FILTER (b.id = a.id OR (b.id <> t.top AND NOT EXISTS (SELECT 1
+FROM d k WHERE k.function = a.function AND k.variable = a.variable AND k.id = b.id))))), ',') AS reaching_ids
 FROM d a JOIN d b ON a.function = b.function JOIN top t ON a.function = t.function GROUP BY 1, 2, 3""")
 def reaching_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dataflow.reaching(order_definitions(spark, sf_dir))
     return out.withColumn("reaching_ids", F.array_join(F.col("reaching_ids").cast("array<string>"), ","))
 
 
-_EVENT_DEFS = "d AS (SELECT user_id AS function, event_type AS variable, event_id AS id, CASE WHEN event_id % 7 < 5 THEN 'UserInput' ELSE 'FunctionCall' END AS source_kind, ['request.args', 'os.environ', 'cursor.execute(q)', 'html.escape(x)', 'sys.argv', 'eval(x)', 'print(x)'][CAST(event_id % 7 AS INT) + 1] AS v FROM events)"
+_EVENT_DEFS = """d AS (SELECT user_id AS function, event_type AS variable, event_id AS id, CASE WHEN event_id % 7 < 5 THEN 'UserInput' ELSE 'FunctionCall' END AS source_kind,
+['request.args', 'os.environ', 'cursor.execute(q)', 'html.escape(x)', 'sys.argv', 'eval(x)', 'print(x)'][CAST(event_id % 7 AS INT) + 1] AS v FROM events)"""
 _SINKS = ", ".join(f"('{s}', '{k}')" for s, k in fixed.TAINT_SINKS.items())
 _FLOWS = f"""WITH {_EVENT_DEFS}, steps AS (SELECT function, variable, bool_or(v IN ('html.escape(x)', 'print(x)')) AS sanitized FROM d GROUP BY 1, 2),
 sinks(sink, sink_kind) AS (VALUES {_SINKS}), hit AS (SELECT DISTINCT function, variable, sink, sink_kind FROM d JOIN sinks ON contains(v, sink)),
-flows AS (SELECT d.function, d.variable, d.id, CASE v WHEN 'request.args' THEN 'HttpRequest' WHEN 'os.environ' THEN 'EnvironmentVariable' ELSE 'CliArgument' END AS source, sink, sink_kind, sanitized, CASE WHEN sanitized THEN 0.3 ELSE 0.85 END::DOUBLE AS confidence
+flows AS (SELECT d.function, d.variable, d.id, CASE v WHEN 'request.args' THEN 'HttpRequest' WHEN 'os.environ' THEN 'EnvironmentVariable' ELSE 'CliArgument'
+END AS source, sink, sink_kind, sanitized, CASE WHEN sanitized THEN 0.3 ELSE 0.85 END::DOUBLE AS confidence
 FROM d JOIN hit USING (function, variable) JOIN steps USING (function, variable) WHERE v IN ('request.args', 'os.environ', 'sys.argv'))"""
 
 
@@ -312,7 +332,9 @@ def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataflow.taint_flows(event_definitions(spark, sf_dir)).select("function", "variable", "id", "source", "sink", "sink_kind", "sanitized", "confidence")
 
 
-@query(f"{_FLOWS} SELECT function, coalesce(bool_or(NOT sanitized), false) AS return_tainted, left(sha256(CAST(function AS VARCHAR)), 16) AS summary_hash FROM (SELECT DISTINCT function FROM d) LEFT JOIN flows USING (function) GROUP BY function")
+@query(f"""
+{_FLOWS} SELECT function, coalesce(bool_or(NOT sanitized), false) AS return_tainted, left(sha256(CAST(function AS VARCHAR)), 16) AS summary_hash FROM (SELECT
+DISTINCT function FROM d) LEFT JOIN flows USING (function) GROUP BY function""")
 def taint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = event_definitions(spark, sf_dir)
     return dataflow.taint_summary(d, dataflow.taint_flows(d)).select("function", "return_tainted", "summary_hash")
@@ -327,7 +349,8 @@ def infer_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.withColumn("type", types.literal_type(F.col("v")))
 
 
-@query("""WITH t AS (SELECT p_partkey, ['Int', 'Float', 'String', 'Any', 'Null'][CAST(p_partkey % 5 AS INT) + 1] AS a, ['Int', 'Float', 'String', 'Bool', 'Null', 'Any', 'List[Int]'][CAST(p_partkey % 7 AS INT) + 1] AS b FROM part)
+@query("""WITH t AS (SELECT p_partkey, ['Int', 'Float', 'String', 'Any', 'Null'][CAST(p_partkey % 5 AS INT) + 1] AS a, ['Int', 'Float', 'String', 'Bool', 'Null',
+'Any', 'List[Int]'][CAST(p_partkey % 7 AS INT) + 1] AS b FROM part)
 SELECT *, a = b OR a = 'Any' OR b = 'Any' OR (a IN ('Int', 'Float') AND b IN ('Int', 'Float')) AS compatible FROM t""")
 def type_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % n + 1).cast("int"))
@@ -349,16 +372,20 @@ def _evaluation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return truths, predictions
 
 
-@query(f"""{_EVAL}, c AS (SELECT (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM predictions) - (SELECT count(*) FROM m) AS fp, (SELECT count(*) FROM truths) - (SELECT count(*) FROM m) AS fn, (SELECT count(*) FROM truths) AS total_samples),
+@query(f"""{_EVAL}, c AS (SELECT (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM predictions) - (SELECT count(*) FROM m) AS fp, (SELECT count(*) FROM truths)
+- (SELECT count(*) FROM m) AS fn, (SELECT count(*) FROM truths) AS total_samples),
 r AS (SELECT *, tp / greatest(tp + fn, 1) AS rc, tp / greatest(tp + fp, 1) AS pr FROM c)
-SELECT tp, fp, fn, total_samples, round(rc, 4) AS recall, round(pr, 4) AS precision, round(2 * rc * pr / greatest(rc + pr, 0.001), 4) AS f1_score, round(fp / greatest(fp + tp, 1), 4) AS false_positive_rate FROM r""")
+SELECT tp, fp, fn, total_samples, round(rc, 4) AS recall, round(pr, 4) AS precision, round(2 * rc * pr / greatest(rc + pr, 0.001), 4) AS f1_score, round(fp
+/ greatest(fp + tp, 1), 4) AS false_positive_rate FROM r""")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     truths, predictions = _evaluation(spark, sf_dir)
     return evaluate.metrics(truths, predictions, evaluate.greedy_match(truths, predictions))
 
 
-@query(f"""{_EVAL}, g AS (SELECT category, count(*) AS n FROM truths GROUP BY 1), p AS (SELECT category, count(*) AS np FROM predictions GROUP BY 1), t AS (SELECT category, count(*) AS tp FROM m GROUP BY 1)
-SELECT category, round(coalesce(tp, 0) / greatest(n, 1), 4) AS recall, round(coalesce(tp, 0) / greatest(coalesce(np, 0), 1), 4) AS precision, n AS count FROM g LEFT JOIN p USING (category) LEFT JOIN t USING (category)""")
+@query(f"""{_EVAL}, g AS (SELECT category, count(*) AS n FROM truths GROUP BY 1), p AS (SELECT category, count(*) AS np FROM predictions GROUP BY 1), t AS (SELECT
+category, count(*) AS tp FROM m GROUP BY 1)
+SELECT category, round(coalesce(tp, 0) / greatest(n, 1), 4) AS recall, round(coalesce(tp, 0) / greatest(coalesce(np, 0), 1), 4) AS precision, n AS count
+FROM g LEFT JOIN p USING (category) LEFT JOIN t USING (category)""")
 def eval_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     truths, predictions = _evaluation(spark, sf_dir)
     return evaluate.by_category(truths, predictions, evaluate.greedy_match(truths, predictions))
@@ -373,7 +400,9 @@ def eval_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.greedy_match(truths, items.filter("l_discount > 0.05").withColumnRenamed("seq", "pred_seq"))
 
 
-@query("SELECT round(count(*) FILTER (event_type = 'purchase') / count(*), 4) AS adoption_rate, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS useful, count(*) FILTER (event_type = 'error') AS not_useful, count(*) FILTER (event_type = 'view') AS duplicate FROM events")
+@query("""
+SELECT round(count(*) FILTER (event_type = 'purchase') / count(*), 4) AS adoption_rate, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS
+useful, count(*) FILTER (event_type = 'error') AS not_useful, count(*) FILTER (event_type = 'view') AS duplicate FROM events""")
 def adoption_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     feedback = F.when(kind == "purchase", "useful").when(kind == "error", "not_useful").when(kind == "view", "duplicate").otherwise(kind)
@@ -401,9 +430,11 @@ for _name in metrics.PERIODS:
 
 @query("""WITH f AS (SELECT page_id % 40 AS diff_id, url AS path, CASE WHEN page_id % 3 = 0 THEN 'Added' ELSE 'Modified' END AS change_type FROM pages)
 SELECT diff_id, CASE WHEN bool_and(suffix(path, '.md') OR suffix(path, '.rst') OR contains(path, 'docs/')) THEN 'Documentation'
-WHEN bool_and(contains(path, '.yml') OR contains(path, '.yaml') OR contains(path, '.toml') OR contains(path, '.json') OR contains(path, 'Dockerfile') OR contains(path, 'Makefile')) THEN 'Configuration'
+WHEN bool_and(contains(path, '.yml') OR contains(path, '.yaml') OR contains(path, '.toml') OR contains(path, '.json') OR contains(path, 'Dockerfile') OR
+contains(path, 'Makefile')) THEN 'Configuration'
 WHEN bool_or(contains(path, 'package.json') OR contains(path, 'requirements.txt') OR contains(path, 'go.mod')) AND count(*) <= 3 THEN 'DependencyUpdate'
-WHEN bool_or(contains(path, 'test') OR contains(path, 'spec')) AND count(*) = 1 THEN 'BugFix' WHEN bool_or(change_type = 'Added') THEN 'NewFeature' ELSE 'Refactor' END AS change_category, count(*) AS n_files FROM f GROUP BY 1""")
+WHEN bool_or(contains(path, 'test') OR contains(path, 'spec')) AND count(*) = 1 THEN 'BugFix' WHEN bool_or(change_type = 'Added') THEN 'NewFeature' ELSE
+'Refactor' END AS change_category, count(*) AS n_files FROM f GROUP BY 1""")
 def change_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("page_id") % 3 == 0, "Added").otherwise("Modified")
     files = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("diff_id"), F.col("url").alias("path"), kind.alias("change_type"))
@@ -419,7 +450,8 @@ def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.cache_get(entries, F.lit(now)).select("function_name", "hash")
 
 
-@query("""SELECT event_id AS seq, user_id AS function_name, event_type AS hash FROM events e LEFT JOIN (SELECT user_id AS u, max(event_type) AS now_hash FROM events WHERE user_id % 2 = 0 GROUP BY 1) c ON e.user_id = c.u
+@query("""SELECT event_id AS seq, user_id AS function_name, event_type AS hash FROM events e LEFT JOIN (SELECT user_id AS u, max(event_type) AS now_hash FROM events
+WHERE user_id % 2 = 0 GROUP BY 1) c ON e.user_id = c.u
 WHERE now_hash IS NULL OR now_hash = event_type""")
 def invalidate_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("function_name"), F.col("event_type").alias("hash"))
@@ -427,9 +459,11 @@ def invalidate_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.invalidate_by_hash(events, current).select("seq", "function_name", "hash")
 
 
-@query("""WITH c AS (SELECT event_id, user_id, event_type IN ('error', 'click', 'view') AS failed FROM events), r AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c),
+@query("""WITH c AS (SELECT event_id, user_id, event_type IN ('error', 'click', 'view') AS failed FROM events), r AS (SELECT *, count(*) FILTER (NOT failed) OVER
+(PARTITION BY user_id ORDER BY event_id) AS run FROM c),
 n AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY user_id, run ORDER BY event_id) AS in_run FROM r)
-SELECT event_id, user_id, failed, coalesce(max(in_run) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 3, false) AS open FROM n""")
+SELECT event_id, user_id, failed, coalesce(max(in_run) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >=
+3, false) AS open FROM n""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").isin("error", "click", "view").alias("failed"))
     return state.breaker(calls, "user_id", "event_id").select("event_id", "user_id", "failed", "open")
@@ -458,13 +492,16 @@ def _part_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("diff_id"), text.alias("diff_content"), F.lit("").alias("language"))
 
 
-@query("""SELECT p_partkey AS diff_id, 'lib/' || p_brand || '.py' AS path, 'python' AS language, CAST(1 AS INT) AS line_start, p_size + 1 AS file_line, 'def ' || replace(p_name, ' ', '_') || '():' AS line FROM part
-UNION ALL SELECT p_partkey, 'lib/' || p_brand || '.py', 'python', 2, p_size + 2, '  return 1' FROM part UNION ALL SELECT p_partkey, 'web/' || p_size || '.tsx', 'typescript', 1, 1, 'let x = 1' FROM part""")
+@query("""SELECT p_partkey AS diff_id, 'lib/' || p_brand || '.py' AS path, 'python' AS language, CAST(1 AS INT) AS line_start, p_size + 1 AS file_line, 'def ' ||
+replace(p_name, ' ', '_') || '():' AS line FROM part
+UNION ALL SELECT p_partkey, 'lib/' || p_brand || '.py', 'python', 2, p_size + 2, '  return 1' FROM part UNION ALL SELECT p_partkey, 'web/' || p_size ||
+'.tsx', 'typescript', 1, 1, 'let x = 1' FROM part""")
 def diff_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.added_lines(_part_diffs(spark, sf_dir))
 
 
-@query("""SELECT p_partkey AS diff_id, 'lib/' || p_brand || '.py' AS path, 'python' AS language, CAST(2 AS INT) AS n_added, CAST(1 AS INT) AS n_removed FROM part UNION ALL SELECT p_partkey, 'web/' || p_size || '.tsx', 'typescript', 1, 0 FROM part""")
+@query("""SELECT p_partkey AS diff_id, 'lib/' || p_brand || '.py' AS path, 'python' AS language, CAST(2 AS INT) AS n_added, CAST(1 AS INT) AS n_removed FROM part
+UNION ALL SELECT p_partkey, 'web/' || p_size || '.tsx', 'typescript', 1, 0 FROM part""")
 def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.files(_part_diffs(spark, sf_dir)).select("diff_id", "path", "language", F.size("added_lines").alias("n_added"), F.size("removed_lines").alias("n_removed"))
 
@@ -476,7 +513,9 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("modules", F.array_join("modules", ",")).withColumn("functions", F.array_join("functions", ","))
 
 
-@query("SELECT p_partkey AS diff_id, CAST(1 AS INT) AS old_start, CAST(2 AS INT) AS old_count, p_size AS new_start, CAST(3 AS INT) AS new_count, 'def f' AS heading FROM part UNION ALL SELECT p_partkey, 0, 0, 1, 1, '' FROM part")
+@query("""
+SELECT p_partkey AS diff_id, CAST(1 AS INT) AS old_start, CAST(2 AS INT) AS old_count, p_size AS new_start, CAST(3 AS INT) AS new_count, 'def f' AS heading
+FROM part UNION ALL SELECT p_partkey, 0, 0, 1, 1, '' FROM part""")
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = diffs.diff_lines(_part_diffs(spark, sf_dir)).select("diff_id", "line")
     return diffs.hunks(lines).drop("line")
@@ -495,7 +534,8 @@ def apply_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(review.apply_fix(F.col("lines"), F.lit(1), F.lit(1), F.lit("fixed")), "\n").alias("text"))
 
 
-@query(f"WITH {_EDGES} SELECT src, dst FROM edges WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query(f"""
+WITH {_EDGES} SELECT src, dst FROM edges WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rich = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     return graph.induced(customer_edges(spark, sf_dir), rich).select("src", "dst")
@@ -507,7 +547,8 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey AS src, (SELECT max(p_partkey) FROM part WHERE p_brand = o.brand) AS dst, line FROM
-(SELECT DISTINCT o_orderkey, 1 + o_orderkey % 9 AS line, 'Brand#' || (1 + o_orderkey % 5) || (1 + o_custkey % 5) AS brand FROM orders) o WHERE EXISTS (SELECT 1 FROM part WHERE p_brand = o.brand)""")
+(SELECT DISTINCT o_orderkey, 1 + o_orderkey % 9 AS line, 'Brand#' || (1 + o_orderkey % 5) || (1 + o_custkey % 5) AS brand FROM orders) o WHERE EXISTS (SELECT
+1 FROM part WHERE p_brand = o.brand)""")
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a function of ten lines in a file of its own with one call, to the brand of the parts; the last part of a brand is its definition."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").distinct()

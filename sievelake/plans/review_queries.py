@@ -61,8 +61,10 @@ def review_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_records(submitted, review_findings(submitted))
 
 
-@query(f"""WITH {_FOUND_SQL}, {_PATH_SQL} SELECT 'r' || p_partkey AS review_id, rule_id, category, severity, path AS file_path, CAST(line_start AS INT) AS line_start, CAST(0 AS INT) AS line_end, coalesce(fix, '') AS suggestion,
-coalesce(fix, '') AS auto_fix_code, CAST(1.0 AS DOUBLE) AS llm_confidence, 'stage1_deterministic' AS filter_stage FROM part JOIN found ON p_partkey % {len(_CODE)} = k JOIN paths USING (k)""")
+@query(f"""WITH {_FOUND_SQL}, {_PATH_SQL} SELECT 'r' || p_partkey AS review_id, rule_id, category, severity, path AS file_path, CAST(line_start AS INT) AS line_start,
+CAST(0 AS INT) AS line_end, coalesce(fix, '') AS suggestion,
+coalesce(fix, '') AS auto_fix_code, CAST(1.0 AS DOUBLE) AS llm_confidence, 'stage1_deterministic' AS filter_stage FROM part JOIN found ON p_partkey % {len(_CODE)}
+= k JOIN paths USING (k)""")
 def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = review_findings(_submitted(spark, sf_dir))
     return review.finding_rows(found, F.concat(F.lit("r"), F.col("diff_id").cast("string"))).drop("title", "description")
@@ -75,10 +77,13 @@ def route_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.route(found, lambda df: df.withColumn("is_issue", F.col("o_totalprice") > 100_000)).select("o_orderkey", "is_deterministic")
 
 
-@query("""WITH c AS (SELECT event_id, user_id, value, event_type IN ('error', 'click', 'view') AS failed FROM events), r AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c),
+@query("""WITH c AS (SELECT event_id, user_id, value, event_type IN ('error', 'click', 'view') AS failed FROM events), r AS (SELECT *, count(*) FILTER (NOT failed)
+OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c),
 n AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY user_id, run ORDER BY event_id) AS in_run FROM r),
-o AS (SELECT *, coalesce(max(in_run) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 3, false) AS open FROM n)
-SELECT event_id, CASE WHEN open THEN event_id % 2 = 0 WHEN failed THEN false ELSE value > 50 END AS is_issue, CAST(CASE WHEN open THEN 0.3 WHEN failed THEN 0.0 ELSE 0.9 END AS DOUBLE) AS confidence FROM o""")
+o AS (SELECT *, coalesce(max(in_run) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 3, false) AS open
+FROM n)
+SELECT event_id, CASE WHEN open THEN event_id % 2 = 0 WHEN failed THEN false ELSE value > 50 END AS is_issue, CAST(CASE WHEN open THEN 0.3 WHEN failed
+THEN 0.0 ELSE 0.9 END AS DOUBLE) AS confidence FROM o""")
 def judged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a judge with a breaker says: while open the rule's own word, after a failure no issue."""
     failed = F.col("event_type").isin("error", "click", "view")
@@ -87,14 +92,16 @@ def judged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events QUALIFY n <= 3),
-t AS (SELECT user_id, coalesce(min(n) FILTER (event_type = 'purchase'), max(n)) AS tried, count(*) FILTER (event_type = 'purchase') = 0 AS failed, CAST(arg_min(event_id, n) FILTER (event_type = 'purchase') AS VARCHAR) AS answer FROM a GROUP BY 1)
+t AS (SELECT user_id, coalesce(min(n) FILTER (event_type = 'purchase'), max(n)) AS tried, count(*) FILTER (event_type = 'purchase') = 0 AS failed, CAST(arg_min(event_id,
+n) FILTER (event_type = 'purchase') AS VARCHAR) AS answer FROM a GROUP BY 1)
 SELECT user_id, CAST(tried AS INT) AS tried, CAST(0.25 * (tried - 1) * tried AS DOUBLE) AS waited_s, failed, answer FROM t""")
 def judge_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") != "purchase").alias("failed"), F.col("event_id").cast("string").alias("answer"))
     return judge.retried(attempts, "user_id", "event_id")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS is_issue, CAST(CASE p_partkey % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 END AS DOUBLE) AS confidence, CASE p_partkey % 5 WHEN 0 THEN p_name END AS reasoning FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS is_issue, CAST(CASE p_partkey % 5 WHEN 0 THEN 0.5 WHEN
+1 THEN 0.25 END AS DOUBLE) AS confidence, CASE p_partkey % 5 WHEN 0 THEN p_name END AS reasoning FROM part""")
 def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers in a fence marked json, in a plain one, and bare; then prose, and JSON without a verdict."""
     parts = table(spark, sf_dir, "part")
@@ -107,9 +114,12 @@ def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT p_partkey, p_name, p_brand, ['security', 'performance', 'logic', 'style'][CAST(p_partkey % 4 AS INT) + 1] AS category FROM part)
-SELECT p_partkey, E'Is this a real issue in the code below, or a false alarm?\\nCategory: ' || category || E'\\nIssue: ' || p_name || ' - ' || p_brand || E'\\nCode (python):\\n```\\nx = 1\\n```\\nAnswer in JSON: {"is_issue": true or false, "confidence": 0.0 to 1.0, "reasoning": "..."}' AS judgment,
-E'Change the code below as little as possible so that this issue is gone.\\nIssue: ' || p_name || ' (' || category || E', major)\\n' || p_brand || E'\\nCode (python):\\n```\\nx = 1\\n```\\nAnswer in JSON: {"fix_code": "..."}' AS fix,
-'Review the code below for ' || CASE category WHEN 'security' THEN 'unsafe use of input, secrets and permissions' WHEN 'performance' THEN 'needless work in loops and slow calls' WHEN 'logic' THEN 'wrong conditions, bounds and states' ELSE 'correctness and clarity' END ||
+SELECT p_partkey, E'Is this a real issue in the code below, or a false alarm?\\nCategory: ' || category || E'\\nIssue: ' || p_name || ' - ' || p_brand
+|| E'\\nCode (python):\\n```\\nx = 1\\n```\\nAnswer in JSON: {"is_issue": true or false, "confidence": 0.0 to 1.0, "reasoning": "..."}' AS judgment,
+E'Change the code below as little as possible so that this issue is gone.\\nIssue: ' || p_name || ' (' || category || E', major)\\n' || p_brand || E'\\nCode (python):\\n```\\nx = 1\\n```\\nAnswer in JSON: {"fix_code": "..."}'
+AS fix,
+'Review the code below for ' || CASE category WHEN 'security' THEN 'unsafe use of input, secrets and permissions' WHEN 'performance' THEN 'needless work in loops and slow calls'
+WHEN 'logic' THEN 'wrong conditions, bounds and states' ELSE 'correctness and clarity' END ||
 E'.\\nLanguage: python\\n```\\nx = 1\\n```' AS review FROM t""")
 def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = _pick(["security", "performance", "logic", "style"], F.col("p_partkey"))
@@ -134,7 +144,8 @@ def git_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return git.changed_files(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("diff_id"), text.alias("text")))
 
 
-@query("""SELECT s_name AS file, unnest([1, 2, 3]) AS line, left(unnest([sha1(s_name), sha1('x' || s_name), sha1(s_name)]), 8) AS "commit", unnest([s_name, 'Eve', s_name]) AS author, unnest([s_suppkey, s_suppkey + 60, s_suppkey]) AS seconds FROM supplier""")
+@query("""SELECT s_name AS file, unnest([1, 2, 3]) AS line, left(unnest([sha1(s_name), sha1('x' || s_name), sha1(s_name)]), 8) AS "commit", unnest([s_name, 'Eve',
+s_name]) AS author, unnest([s_suppkey, s_suppkey + 60, s_suppkey]) AS seconds FROM supplier""")
 def git_blame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A commit that is told once and has lines before and after another's."""
     one, two, at = F.sha1("s_name"), F.sha1(F.concat(F.lit("x"), "s_name")), F.col("s_suppkey")
@@ -150,7 +161,8 @@ def git_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return git.commits(table(spark, sf_dir, "customer").select(F.concat(F.sha1("c_name"), F.lit("\n"), "c_name", email).alias("text")))
 
 
-@query("""SELECT n_name AS file, CAST(n AS INT) AS pos, left(sha1(n_name || n), 7) AS hash, CASE WHEN n % 4 = 0 THEN '' ELSE 'change ' || n END AS message FROM nation, (SELECT unnest(range(1, 11)) AS n)""")
+@query("""SELECT n_name AS file, CAST(n AS INT) AS pos, left(sha1(n_name || n), 7) AS hash, CASE WHEN n % 4 = 0 THEN '' ELSE 'change ' || n END AS message FROM nation,
+(SELECT unnest(range(1, 11)) AS n)""")
 def git_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve commits a file, of which ten are kept."""
     line = lambda n: F.concat(F.left(F.sha1(F.concat("n_name", n.cast("string"))), F.lit(7)), F.when(n % 4 == 0, "").otherwise(F.concat(F.lit(" change "), n.cast("string"))))
@@ -166,7 +178,9 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("set_id"), F.to_json(F.struct(F.array(truth, other).alias("ground_truth"), samples.alias("samples"))).alias("value"))
 
 
-@query("SELECT n_nationkey AS set_id, n_name AS file, n_nationkey AS line, 'security' AS category, 'major' AS severity, CAST(0 AS INT) AS gt_seq FROM nation UNION ALL SELECT n_nationkey, 'z', 7, 'style', 'info', 1 FROM nation")
+@query("""
+SELECT n_nationkey AS set_id, n_name AS file, n_nationkey AS line, 'security' AS category, 'major' AS severity, CAST(0 AS INT) AS gt_seq FROM nation UNION
+ALL SELECT n_nationkey, 'z', 7, 'style', 'info', 1 FROM nation""")
 def testset_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testsets.parse(_sets(spark, sf_dir))[0]
 
@@ -186,11 +200,15 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SYMBOLS = """WITH t AS (SELECT p_partkey, replace(p_name, ' ', '_') AS f FROM part), s AS (
-SELECT 'import os' AS name, 'import' AS kind, p_partkey, 1 AS line_start, 1 AS line_end, 'import os' AS signature, NULL AS return_type FROM t WHERE p_partkey % 2 = 0
-UNION ALL SELECT 'A' || p_partkey, 'class', p_partkey, 3, 5, 'class A' || p_partkey || ':', NULL FROM t WHERE p_partkey % 2 = 0 UNION ALL SELECT f, 'function', p_partkey, 7, 8, 'def ' || f || '(a: int) -> str:', 'str' FROM t WHERE p_partkey % 2 = 0
-UNION ALL SELECT 'limit', 'variable', p_partkey, 10, 10, 'limit: int = 3', 'int' FROM t WHERE p_partkey % 2 = 0 UNION ALL SELECT 'B' || p_partkey, 'class', p_partkey, 1, 1, 'class B' || p_partkey, NULL FROM t WHERE p_partkey % 2 = 1
+SELECT 'import os' AS name, 'import' AS kind, p_partkey, 1 AS line_start, 1 AS line_end, 'import os' AS signature, NULL AS return_type FROM t WHERE p_partkey
+% 2 = 0
+UNION ALL SELECT 'A' || p_partkey, 'class', p_partkey, 3, 5, 'class A' || p_partkey || ':', NULL FROM t WHERE p_partkey % 2 = 0 UNION ALL SELECT f, 'function',
+p_partkey, 7, 8, 'def ' || f || '(a: int) -> str:', 'str' FROM t WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'limit', 'variable', p_partkey, 10, 10, 'limit: int = 3', 'int' FROM t WHERE p_partkey % 2 = 0 UNION ALL SELECT 'B' || p_partkey, 'class',
+p_partkey, 1, 1, 'class B' || p_partkey, NULL FROM t WHERE p_partkey % 2 = 1
 UNION ALL SELECT f, 'function', p_partkey, 3, 3, 'def ' || f, NULL FROM t WHERE p_partkey % 2 = 1)
-SELECT name, kind, 'p' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.js' END AS file, CAST(line_start AS INT) AS line_start, CAST(line_end AS INT) AS line_end, signature, return_type FROM s"""
+SELECT name, kind, 'p' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.js' END AS file, CAST(line_start AS INT) AS line_start, CAST(line_end
+AS INT) AS line_end, signature, return_type FROM s"""
 
 
 @query(_SYMBOLS)
@@ -217,8 +235,10 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_sites(lines.select("file_path", (F.col("pos") + 1).alias("line"), "text"))
 
 
-_BLOCKS = """blocks AS (SELECT n_name AS function, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) + 1 AS INT) AS id, 'Statement' AS kind, c_mktsegment AS label, CAST(c_custkey % 50 AS INT) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey),
-whole AS (SELECT * FROM blocks UNION ALL SELECT DISTINCT function, 0, 'Entry', 'entry', 0 FROM blocks UNION ALL SELECT DISTINCT function, 1, 'Exit', 'exit', 0 FROM blocks)"""
+_BLOCKS = """blocks AS (SELECT n_name AS function, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) + 1 AS INT) AS id, 'Statement' AS kind, c_mktsegment
+AS label, CAST(c_custkey % 50 AS INT) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey),
+whole AS (SELECT * FROM blocks UNION ALL SELECT DISTINCT function, 0, 'Entry', 'entry', 0 FROM blocks UNION ALL SELECT DISTINCT function, 1, 'Exit', 'exit',
+0 FROM blocks)"""
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +259,9 @@ def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cfg_graph(blocks, edges.unionByName(edges))[1]
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(11 AS BIGINT) AS id UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.id) SELECT bool_or(id = (SELECT max(c_custkey) FROM customer)) AS exit_reachable FROM r")
+@query(f"""
+WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(11 AS BIGINT) AS id UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.id) SELECT bool_or(id = (SELECT max(c_custkey)
+FROM customer)) AS exit_reachable FROM r""")
 def exit_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]
     return graph.exit_reachable(customer_edges(spark, sf_dir), seed(spark, 11), last)
@@ -251,10 +273,13 @@ def node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.labels(nodes)
 
 
-@query("""WITH d AS (SELECT DISTINCT l_orderkey AS function, l_returnflag AS variable, l_linenumber AS id FROM lineitem), top AS (SELECT function, max(id) AS top FROM d GROUP BY 1),
-r AS (SELECT a.function, a.id, list_sort(list_distinct(list(b.id) FILTER (b.id = a.id OR (b.id <> t.top AND NOT EXISTS (SELECT 1 FROM d k WHERE k.function = a.function AND k.variable = a.variable AND k.id = b.id))))) AS ids
+@query("""WITH d AS (SELECT DISTINCT l_orderkey AS function, l_returnflag AS variable, l_linenumber AS id FROM lineitem), top AS (SELECT function, max(id) AS top
+FROM d GROUP BY 1),
+r AS (SELECT a.function, a.id, list_sort(list_distinct(list(b.id) FILTER (b.id = a.id OR (b.id <> t.top AND NOT EXISTS (SELECT 1 FROM d k WHERE k.function
+= a.function AND k.variable = a.variable AND k.id = b.id))))) AS ids
 FROM d a JOIN d b ON a.function = b.function JOIN top t ON a.function = t.function GROUP BY a.function, a.id, a.variable)
-SELECT o_orderkey AS function, CAST(3 AS INT) AS id, array_to_string(coalesce(ids, []), ',') AS reaching_ids FROM orders LEFT JOIN r ON o_orderkey = r.function AND r.id = 3""")
+SELECT o_orderkey AS function, CAST(3 AS INT) AS id, array_to_string(coalesce(ids, []), ',') AS reaching_ids FROM orders LEFT JOIN r ON o_orderkey = r.function
+AND r.id = 3""")
 def reaching_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The definitions that reach the third point of each order."""
     points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("function"), F.lit(3).alias("id"))
@@ -262,8 +287,10 @@ def reaching_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("function", "id", F.array_join(F.col("reaching_ids").cast("array<string>"), ",").alias("reaching_ids"))
 
 
-@query("""WITH d AS (SELECT user_id AS function, event_type AS variable, event_id AS id, ['request.args', 'os.environ', 'cursor.execute(q)', 'html.escape(x)', 'sys.argv', 'eval(x)', 'print(x)'][CAST(event_id % 7 AS INT) + 1] AS v FROM events),
-u AS (SELECT DISTINCT user_id AS function, unnest(['click', 'nowhere']) AS variable FROM events), s AS (SELECT function, variable, array_to_string(list(v ORDER BY id), '|') AS sources FROM d GROUP BY 1, 2)
+@query("""WITH d AS (SELECT user_id AS function, event_type AS variable, event_id AS id, ['request.args', 'os.environ', 'cursor.execute(q)', 'html.escape(x)', 'sys.argv',
+'eval(x)', 'print(x)'][CAST(event_id % 7 AS INT) + 1] AS v FROM events),
+u AS (SELECT DISTINCT user_id AS function, unnest(['click', 'nowhere']) AS variable FROM events), s AS (SELECT function, variable, array_to_string(list(v
+ORDER BY id), '|') AS sources FROM d GROUP BY 1, 2)
 SELECT u.function, u.variable, coalesce(sources, '') AS sources FROM u LEFT JOIN s USING (function, variable)""")
 def trace_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = event_definitions(spark, sf_dir)
@@ -280,7 +307,9 @@ def _environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.environment(table(spark, sf_dir, "events").select(F.col("user_id").alias("scope"), F.col("event_type").alias("variable"), F.col("event_id").alias("seq"), kinds.alias("type")))
 
 
-@query(f"WITH {_ENV} SELECT scope, variable, coalesce(type, 'Any') AS type FROM (SELECT DISTINCT scope, unnest(['view', 'signup', 'unheard']) AS variable FROM a) LEFT JOIN env USING (scope, variable)")
+@query(f"""
+WITH {_ENV} SELECT scope, variable, coalesce(type, 'Any') AS type FROM (SELECT DISTINCT scope, unnest(['view', 'signup', 'unheard']) AS variable FROM a)
+LEFT JOIN env USING (scope, variable)""")
 def type_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     env = _environment(spark, sf_dir)
     names = table(spark, sf_dir, "events").select(F.col("user_id").alias("scope")).distinct()
@@ -322,8 +351,10 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rates_sql(name: str) -> str:
-    return f"""SELECT '{name}' AS period, CAST(date_trunc('{metrics.PERIODS[name]}', ts) AS TIMESTAMP) AS period_start, count(*) AS total_reviews, CAST(sum(event_id % 7) AS BIGINT) AS total_findings, CAST(sum(event_id % 3) AS BIGINT) AS llm_calls,
-coalesce(round(sum(CAST(event_type = 'purchase' AS INT)) * 100.0::DOUBLE / nullif(sum(event_id % 7), 0), 2), 0) AS adoption_rate, coalesce(round(sum(event_id % 2) * 100.0::DOUBLE / nullif(sum(event_id % 5), 0), 2), 0) AS auto_fix_pass_rate FROM events GROUP BY 2"""
+    return f"""SELECT '{name}' AS period, CAST(date_trunc('{metrics.PERIODS[name]}', ts) AS TIMESTAMP) AS period_start, count(*) AS total_reviews, CAST(sum(event_id %
+7) AS BIGINT) AS total_findings, CAST(sum(event_id % 3) AS BIGINT) AS llm_calls,
+coalesce(round(sum(CAST(event_type = 'purchase' AS INT)) * 100.0::DOUBLE / nullif(sum(event_id % 7), 0), 2), 0) AS adoption_rate, coalesce(round(sum(event_id
+% 2) * 100.0::DOUBLE / nullif(sum(event_id % 5), 0), 2), 0) AS auto_fix_pass_rate FROM events GROUP BY 2"""
 
 
 def _rates(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -342,8 +373,10 @@ def newest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.newest_metrics(_rates(spark, sf_dir, "daily"), "daily")
 
 
-@query("""SELECT event_id, format('{:.1f}', round(event_id % 9000 / 1000.0::DOUBLE + 1e-9, 1)) || 's' AS shown, CAST(event_id % 101 AS VARCHAR) || '%' AS sure, left(sha256(event_type), 8) || '-' || substr(sha256(event_type), 9, 3) AS review_id,
-CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE '' END AS created, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 1000 AS took FROM events""")
+@query("""SELECT event_id, format('{:.1f}', round(event_id % 9000 / 1000.0::DOUBLE + 1e-9, 1)) || 's' AS shown, CAST(event_id % 101 AS VARCHAR) || '%' AS sure, left(sha256(event_type),
+8) || '-' || substr(sha256(event_type), 9, 3) AS review_id,
+CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE '' END AS created, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 1000 AS took
+FROM events""")
 def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, ts = F.col("event_id"), F.col("ts").cast("timestamp")
     return table(spark, sf_dir, "events").select(
@@ -353,11 +386,15 @@ def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GREEDY = """WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS seq FROM lineitem),
-t AS (SELECT l_orderkey AS file, l_linestatus AS category, list({{'line': l_linenumber, 'seq': seq}} ORDER BY seq) AS ts FROM i WHERE l_returnflag = 'R' GROUP BY 1, 2),
-p AS (SELECT l_orderkey AS file, l_linestatus AS category, l_linenumber AS line, seq, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY seq) AS n FROM i WHERE l_discount > 0.05),
-r AS (SELECT file, category, ts, CAST([] AS BIGINT[]) AS used, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS pred_seq, CAST(NULL AS BIGINT) AS gt_seq FROM t
+t AS (SELECT l_orderkey AS file, l_linestatus AS category, list({{'line': l_linenumber, 'seq': seq}} ORDER BY seq) AS ts FROM i WHERE l_returnflag = 'R'
+GROUP BY 1, 2),
+p AS (SELECT l_orderkey AS file, l_linestatus AS category, l_linenumber AS line, seq, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY
+seq) AS n FROM i WHERE l_discount > 0.05),
+r AS (SELECT file, category, ts, CAST([] AS BIGINT[]) AS used, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS pred_seq, CAST(NULL AS BIGINT) AS gt_seq
+FROM t
 UNION ALL SELECT file, category, ts, CASE WHEN m IS NULL THEN used ELSE list_append(used, m) END, n, pred_seq, m
-FROM (SELECT r.file, r.category, r.ts, r.used, p.n, p.seq AS pred_seq, list_filter(r.ts, lambda x: abs(x.line - p.line) <= 3 AND NOT list_contains(r.used, x.seq))[1].seq AS m FROM r JOIN p ON r.file = p.file AND r.category = p.category AND p.n = r.n + 1))
+FROM (SELECT r.file, r.category, r.ts, r.used, p.n, p.seq AS pred_seq, list_filter(r.ts, lambda x: abs(x.line - p.line) <= 3 AND NOT list_contains(r.used,
+x.seq))[1].seq AS m FROM r JOIN p ON r.file = p.file AND r.category = p.category AND p.n = r.n + 1))
 SELECT file, category, pred_seq, gt_seq FROM r WHERE gt_seq IS NOT NULL""".format(
     order="l_discount, l_extendedprice, l_linenumber, l_linestatus, l_orderkey, l_partkey, l_quantity, l_returnflag, l_shipdate, l_suppkey, l_tax"
 )
