@@ -89,16 +89,42 @@ _PEOPLE, _QUALITIES, _DEEDS = map(_lexicon, (PEOPLE, QUALITIES, DEEDS))
 _FIXED = np.unique(np.concatenate([_PEOPLE, _QUALITIES, _DEEDS]))
 
 
-def hits(known: np.ndarray, text: str | None) -> np.ndarray:
-    """Places in ``known`` (sorted features) of the text's features that it holds."""
-    mine = parts(text)
-    if not len(known) or not len(mine):
-        return np.empty(0, np.int64)
-    plain = np.unique(known & ~DENSER)
-    at = np.minimum(np.searchsorted(plain, mine), len(plain) - 1)
-    found, n = np.unique(mine[plain[at] == mine], return_counts=True)
-    dense = found[(n * DENSE >= np.count_nonzero((mine & KIND) == 0)) & ((found & KIND) > 0)] | DENSER
-    return np.flatnonzero(np.isin(known, np.concatenate([found, dense]))) if len(found) else np.empty(0, np.int64)
+class Telling:
+    """Telling features, sorted, made ready for search: which voters of words each is for, and where it stands as present and as dense."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.plain, kind = values, np.unique(values & ~DENSER), values & KIND
+        self.present, self.dense = (self._places(self.plain | bit) for bit in (np.uint64(0), DENSER))
+        fixed = [np.isin(values, lexicon) for lexicon in (_PEOPLE, _QUALITIES, _DEEDS)]
+        mined = ~np.logical_or.reduce(fixed)
+        kinds = [kind == 0, (kind >= 3) & (kind <= 4), (kind >= 5) & (kind <= 7), kind >= 8]
+        self.of = np.array([*fixed, *(mined & k for k in kinds)]).T
+        self.word = np.searchsorted(self.plain, values & ~DENSER)
+
+    def _places(self, features: np.ndarray) -> np.ndarray:
+        """Places of the features among the values; -1 of those that are not there."""
+        at = np.minimum(np.searchsorted(self.values, features), len(self.values) - 1)
+        return np.where(self.values[at] == features, at, -1)
+
+    def hits(self, text: str | None) -> np.ndarray:
+        """Places of those of the values that the text has."""
+        mine = parts(text)
+        if not len(mine):
+            return np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.plain, mine), len(self.plain) - 1)
+        at, n = np.unique(at[self.plain[at] == mine], return_counts=True)
+        if not len(at):
+            return at
+        dense = at[n * DENSE >= np.count_nonzero((mine & KIND) == 0)]
+        places = np.concatenate([self.present[at], self.dense[dense]])
+        return np.sort(places[places >= 0])
+
+    def votes(self, marked: tuple[int, ...], own: np.ndarray) -> list[int]:
+        """The voters' votes, in the order of VOTERS; ``marked`` are the text's marks, ``own`` the places that it has."""
+        if not len(own):
+            return [0] * (self.of.shape[1] + 1) + [*marked, -int(not any(marked))]
+        several = len(own) >= 3 and len(np.unique(self.word[own])) >= 3
+        return [*self.of[own].any(0).astype(int).tolist(), int(several), *marked, 0]
 
 
 def marks(text: str | None) -> tuple[int, ...]:
@@ -117,16 +143,6 @@ def marks(text: str | None) -> tuple[int, ...]:
     return tuple(int(bool(v)) for v in (SHOUT.search(text), masked, upper >= 10 and upper > lower, stretched.any(), "you" in text.lower() and ADDRESS.search(text)))
 
 
-def votes(marked: tuple[int, ...], own: np.ndarray) -> list[int]:
-    """The voters' votes, in the order of VOTERS; ``marked`` are the text's marks, ``own`` those of the telling features that it has."""
-    kind = own & KIND
-    fixed = [np.isin(own, lexicon) for lexicon in (_PEOPLE, _QUALITIES, _DEEDS)]
-    mined = ~np.logical_or.reduce(fixed)
-    kinds = [kind == 0, (kind >= 3) & (kind <= 4), (kind >= 5) & (kind <= 7), kind >= 8]
-    lexical = [*(f.any() for f in fixed), *((mined & k).any() for k in kinds), len(np.unique(own & ~DENSER)) >= 3]
-    return [*map(int, lexical), *marked, -int(not len(own) and not any(marked))]
-
-
 def distinct(least: np.ndarray, alike: float = 0.5) -> list[int]:
     """Places of examples that are no near copies of an earlier one, by their least hashes (rows): of those that share a band of 4, the share of equal ones tells."""
     firsts: dict[tuple, int] = {}
@@ -204,14 +220,14 @@ def evidence(docs: DataFrame, values: np.ndarray, text: str = "text", named: tup
     others = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        telling = Telling(sent.value)
         for batch in batches:
             own, cast = [], []
             for t in batch.column(len(others)):
                 t = t.as_py()
-                at = hits(known, t)
+                at = telling.hits(t)
                 own.append(at.astype("<i4").tobytes())
-                cast.append(bytes(v + 1 for v in votes(marks(t), known[at])))
+                cast.append(bytes(v + 1 for v in telling.votes(marks(t), at)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(own, pa.binary()), pa.array(cast, pa.binary())], names=[*others, *named])
 
     schema = T.StructType([*docs.select(*others).schema.fields, *(T.StructField(n, T.BinaryType()) for n in named)])
