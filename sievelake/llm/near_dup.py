@@ -5,7 +5,7 @@ a pair shares no band with probability (1 - 0.8^4)^32 < 1e-7. Signatures of cand
 values with m equal, a uniform prior gives P(similarity >= t) = P(Binomial(n + 1, t) <= m), and a pair is dropped as soon as
 that falls below ``miss``. Survivors are confirmed on their whole shingle sets.
 
-Every class of a bucket is first compared with the bucket's least class alone, one pair a row, and in large buckets with a few drawn ones in turns.
+Every class of a bucket is first compared with the bucket's least class alone, one pair a row, and in buckets of several blocks with a few drawn ones in turns.
 What these links join need not be compared again, so groups of copies are done then, however large. Buckets that still hold classes of several components have all pairs of different components
 compared: as rows in buckets of up to 32 classes; larger ones are cut into blocks by a hash, and each two blocks meet inside one task, array against
 array, first signatures alone; whole sets follow only for classes with a surviving pair there. What leaves such a task is a spanning forest of its
@@ -30,7 +30,7 @@ from .components import components
 HASHES, BANDS, STEP = 128, 32, 16
 ROWS = HASHES // BANDS
 SMALL, BLOCK = 32, 4_096  # classes of a bucket whose pairs become rows; classes of a block
-TURNS, DRAWN, WORTH = 4, 4, 20  # turns in which large buckets meet drawn classes, so many each, while one class in WORTH finds a link
+TURNS, DRAWN, WORTH = 4, 4, 20  # turns in which buckets of several blocks meet drawn classes, so many each, while one class in WORTH finds a link
 HELD = 1 << 21  # shingles of a block, so that long texts make smaller blocks
 MISS = 1e-9
 _RNG = np.random.default_rng(20_240_501)
@@ -240,23 +240,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: fl
         return written(_confirmed(left.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b"), percent), "links")
 
     stars = shared.filter("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
-    links = linked(stars)
-    roots = written(components(links), "components")
+    roots = written(components(linked(stars)), "components")
     opened = _opened(shared, roots)
     for turn in range(TURNS):
-        large = opened.filter(F.col("n") > SMALL)
+        large = opened.filter(F.col("n") > BLOCK)
         if large.isEmpty():
             break
         drawn = linked(_drawn_pairs(large, turn))
         worth = drawn.count() * WORTH >= large.select("cid").distinct().count()
-        links = links.unionByName(drawn)
-        roots = written(components(links), "components")
+        roots = written(components(roots.toDF("a", "b").unionByName(drawn)), "components")
         opened = _opened(opened.drop("component"), roots)
         if not worth:
             break
     if not opened.isEmpty():
         more = linked(_row_pairs(opened.filter(F.col("n") <= SMALL))).unionByName(_tile_links(opened.filter(F.col("n") > SMALL), chosen, sets, percent, miss))
-        roots = written(components(links.unionByName(more)), "components")
+        roots = written(components(roots.toDF("a", "b").unionByName(more)), "components")
 
     by_hash = chosen.select("cid", "set_hash")
     roots = roots.join(by_hash.toDF("node", "set_hash"), "node").join(by_hash.toDF("root", "root_hash"), "root").select("set_hash", "root_hash")
