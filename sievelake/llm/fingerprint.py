@@ -104,7 +104,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     head = F.when(repeated, F.substr("text", F.lit(1), third)).otherwise(F.col("head"))
     edited = F.concat(F.substr("text", F.lit(1), size - third), F.substr(head, F.lit(1), third))
     out = out.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("fp"), "next_fp", "next_doc_id", repeated.alias("repeated"))
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", sketch(F.col("edited")).alias("efp"), F.when(F.col("repeated"), F.col("fp")).otherwise(F.col("next_fp")).alias("nfp"), F.when(F.col("repeated"), F.col("doc_id")).otherwise(F.col("next_doc_id")).alias("next_doc_id"))
+    own_or = lambda own, other: F.when(F.col("repeated"), F.col(own)).otherwise(F.col(other))
+    edited = F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("efp")
+    out = out.select("doc_id", "n_chars", *edited, "fp", own_or("fp", "next_fp").alias("nfp"), own_or("doc_id", "next_doc_id").alias("next_doc_id"))
     fp, efp, nfp = (F.col(c) for c in ("fp", "efp", "nfp"))
     texts = as_text(fp).alias("fingerprint"), as_text(efp).alias("edited_fingerprint")
     near = likeness(fp, efp).alias("near_edited"), likeness(fp, nfp).alias("near_next")

@@ -2,7 +2,8 @@
 
 Features are the runs of 1 to 3 characters of the lower-cased text, anything but letters read as one space, hashed to DIMS places; their weight is
 (1 + log count) * idf, a document's vector has length 1. Document frequencies are counted over all documents that may be learnt from;
-the classifier is fitted on a bounded sample of them (SAMPLE rows expected, as many of each language where there are, and LEAST of each of many languages), four fifths to learn and one fifth to calibrate.
+the classifier is fitted on a bounded sample of them (SAMPLE rows expected, as many of each language where there are, and LEAST of each of many
+languages), four fifths to learn and one fifth to calibrate.
 """
 
 from __future__ import annotations

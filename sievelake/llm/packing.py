@@ -114,7 +114,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     words = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), 0)
     size = word_count(F.col("text"))
     cluster = F.when(size > 0, F.xxhash64(words))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), cluster.alias("cluster"), F.xxhash64("text").alias("text_key"))
+    ids = F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")
+    sized = docs.select(*ids, size.alias("size"), cluster.alias("cluster"), F.xxhash64("text").alias("text_key"))
     sized = written(sized, "pack-sizes")
     shards = max(1, -(-sized.count() // shard))
     order = F.xxhash64("doc_id", "cluster", F.lit("pack"))

@@ -268,7 +268,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     last = min(one.n, first + 512)
                     crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in one.read(first, last)]
                     ids = pa.array(one.index["doc_id"][first:last], mask=one.index["null"][first:last].astype(bool))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(starts[first:last]), pa.array(one.index["ids"][first:last].astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    n = pa.array(one.index["ids"][first:last].astype(np.int64))
+                    columns = [ids, pa.array(starts[first:last]), n, pa.array(crc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, table.count())
     dealt = table.select("name", "ids_before").repartition(n)
