@@ -36,6 +36,7 @@ MASKED = re.compile(r"\b\w+\*{2,}\w*")
 ADDRESS = re.compile(rf"\b(?:you|your|you're)\W+(?:\w+\W+){{0,3}}?(?:{'|'.join(sorted(PEOPLE | QUALITIES))})", re.IGNORECASE)
 
 LABELLED, MINED, EPOCHS = 5_000, 2_000, 3  # bounds: labelled documents fitted on, mined features; passes
+SLICE = 256  # sampled documents whose features stand in memory at once
 DENSE = 100  # words of a text, of which one must have a beginning for it to be dense
 BEGINNINGS = (3, 4, 5, 6, 7)
 KIND, DENSER = np.uint64(15), np.uint64(8)
@@ -53,7 +54,7 @@ def _keyed(text: str, kind: int) -> int:
 class _Parts(dict):
     """Hashes of the words in a token and of their beginnings, as bytes, made when first asked for; up to ``kept`` tokens are remembered."""
 
-    kept = 300_000
+    kept = 150_000
 
     def __missing__(self, token: str) -> bytes:
         words = WORDS.findall(token)
@@ -181,11 +182,13 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     mine = mine.dropDuplicates(["_id", "_h"]).select("text", "toxic", F.xxhash64("_id", "_h", F.lit("order")).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t.as_py()) for t in batch.column(0)]
-            own = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
-            least = pa.array([_least(f).tobytes() for f in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(1), own, least], names=["n", "text", "toxic", "features", "least"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):  # a slice's features alone stand in memory
+                batch = whole.slice(start, SLICE)
+                found = [features(t.as_py()) for t in batch.column(0)]
+                own = pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))
+                least = pa.array([_least(f).tobytes() for f in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(1), own, least], names=["n", "text", "toxic", "features", "least"])
 
     return written(mine.mapInArrow(run, "n long, text string, toxic int, features array<long>, least binary"), "toxicity-sample")
 
@@ -302,6 +305,16 @@ def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple[flo
     return (float(slope), float(shift)) if slope > 0 else (1.0, 0.0)
 
 
+def _margin(model: dict, places: np.ndarray, voted: np.ndarray) -> float:
+    return model["w"][places].sum() + model["voters"] @ voted + model["b"]
+
+
+def _decided(margin: np.ndarray, threshold: float) -> tuple[pa.Array, pa.Array]:
+    """Scores and predictions."""
+    p = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
+    return pa.array(p), pa.array((p >= threshold).astype(np.int32))
+
+
 def judged(voted: DataFrame, model: dict, threshold: float = THRESHOLD, named: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``voted`` (of ``evidence``) with ``score`` and ``predicted`` in place of its places and votes."""
     kept = [c for c in voted.columns if c not in ("_hits", "_votes")]
@@ -311,9 +324,8 @@ def judged(voted: DataFrame, model: dict, threshold: float = THRESHOLD, named: t
         m = sent.value
         for batch in batches:
             own, cast = (batch.column(k).to_pylist() for k in (len(kept), len(kept) + 1))
-            margin = [m["w"][np.frombuffer(o, "<i4")].sum() + m["voters"] @ (np.frombuffer(v, np.uint8) - 1.0) + m["b"] for o, v in zip(own, cast, strict=True)]
-            p = 1 / (1 + np.exp(-np.clip(np.array(margin, float), -50, 50)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*kept, *named])
+            margin = [_margin(m, np.frombuffer(o, "<i4"), np.frombuffer(v, np.uint8) - 1.0) for o, v in zip(own, cast, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *_decided(np.array(margin, float), threshold)], names=[*kept, *named])
 
     schema = T.StructType([*voted.select(*kept).schema.fields, T.StructField(named[0], T.DoubleType()), T.StructField(named[1], T.IntegerType())])
     return voted.select(*kept, "_hits", "_votes").mapInArrow(run, schema)
@@ -322,13 +334,25 @@ def judged(voted: DataFrame, model: dict, threshold: float = THRESHOLD, named: t
 def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD, named: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row, from its whole text alone; null and empty texts are scored too.
 
-    Columns of ``docs`` with the new names, ``named``, are replaced. No shuffle.
+    Columns of ``docs`` with the new names, ``named``, are replaced. No shuffle; one Python pass, so that a task has one worker.
     """
     kept = docs.drop(*named)
-    plain = kept.toDF(*(f"c{k}" for k in range(len(kept.columns))))  # documents may have columns named as ours
-    at = f"c{kept.columns.index(text)}"
-    scored = judged(evidence(plain.withColumn("text", F.col(at)), model["features"]), model, threshold, ("score", "predicted"))
-    return scored.select(*plain.columns, "score", "predicted").toDF(*kept.columns, *named)
+    at_text, names = kept.columns.index(text), [*kept.columns, *named]
+    sent = kept.sparkSession.sparkContext.broadcast({k: model[k] for k in ("features", "w", "voters", "b")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        telling = Telling(m["features"])
+        for batch in batches:
+            margin = np.empty(batch.num_rows)
+            for k, t in enumerate(batch.column(at_text)):
+                t = t.as_py()
+                own = telling.hits(t)
+                margin[k] = _margin(m, own, np.array(telling.votes(marks(t), own)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_decided(margin, threshold)], names=names)
+
+    schema = T.StructType([*kept.schema.fields, T.StructField(named[0], T.DoubleType()), T.StructField(named[1], T.IntegerType())])
+    return kept.mapInArrow(run, schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
