@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, mixing, near_dup, packing, token_count, token_output, topk, toxicity, url_filter
+from . import filter_audit, fingerprint, language_id, mixing, near_dup, packing, token_count, token_output, topk, toxicity, url_filter
 from .common import table, written
 
 
@@ -55,6 +55,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -167,6 +171,30 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP13_SQL = r"""
+WITH worded AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+masked AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * list_unique(w) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM worded),
+said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+counted AS (
+  SELECT part, mask, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, count(*) AS n FROM masked LEFT JOIN said USING (doc_id) GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, b)),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e
+  WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+steps AS (
+  SELECT filter_order, CAST(k AS INT) AS step, bits[k] AS bit, CAST(coalesce(list_sum(bits[1 : k - 1]), 0) AS INT) AS before FROM orders, range(1, 6) r(k)),
+joined AS (SELECT part, filter_order, step, mask, good, bad, n, bit, mask & bit > 0 AS fails, mask & before > 0 AS earlier FROM counted, steps)
+SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT
+  earlier), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (fails AND earlier), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS
+  BIGINT) AS unique_fails, CAST(coalesce(sum(n) FILTER (fails AND NOT earlier AND good = 1), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (fails AND
+  NOT earlier AND bad = 1), 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (fails), 0) AS BIGINT) AS shapley
+FROM joined GROUP BY part, filter_order, step
+"""
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -178,7 +206,8 @@ QUERIES = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_token_output": op9_token_output,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_exact_top_k": OP7_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op13_filter_audit": OP13_SQL}
