@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, fingerprint, language_id, mixing, near_dup, packing, token_count, token_output, topk, toxicity, url_filter
+from . import filter_audit, fingerprint, language_id, line_dedup, mixing, near_dup, packing, token_count, token_output, topk, toxicity, url_filter
 from .common import table, written
 
 
@@ -55,6 +55,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
@@ -171,6 +175,21 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, row_number() OVER () AS rid FROM documents),
+keyed AS (
+  SELECT *, list_transform(lines, lambda l: translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+'abcdefghijklmnopqrstuvwxyz')) AS keys FROM d),
+each AS (SELECT rid, unnest(list_distinct(keys)) AS key FROM keyed),
+common AS MATERIALIZED (SELECT key FROM each WHERE length(key) >= 1 GROUP BY key HAVING count(*) >= 10),
+gone AS (SELECT rid, list(key) AS gone FROM each SEMI JOIN common USING (key) GROUP BY rid),
+told AS (
+  SELECT doc_id, lines, coalesce(gone, []) AS gone, list_filter(lines, lambda l, i: NOT list_contains(coalesce(gone, []), keys[i])) AS kept
+  FROM keyed LEFT JOIN gone USING (rid))
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256
+FROM told
+"""
+
 OP13_SQL = r"""
 WITH worded AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -206,8 +225,9 @@ QUERIES = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_token_output": op9_token_output,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_line_dedup": op11_line_dedup,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op13_filter_audit": OP13_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op11_line_dedup": OP11_SQL, "op13_filter_audit": OP13_SQL}
