@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, fingerprint, language_id, line_dedup, mixing, near_dup, packing, token_count, token_output, topk, toxicity, url_filter
+from . import conversation_repair, filter_audit, fingerprint, language_id, line_dedup, mixing, near_dup, packing, token_count, token_output, topk, toxicity, url_filter
 from .common import table, written
 
 
@@ -59,6 +59,21 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults: by crc32 of ``conv_id:turn`` a row in twenty is dropped, emptied, loses its full stops, is repeated, or becomes the user's."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fault = (F.crc32(key.cast("binary")) % 20).alias("fault")
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), fault).filter("fault <> 0")
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(damaged(rows), rows)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
@@ -190,6 +205,57 @@ SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept
 FROM told
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY b) AS t
+  FROM range(256) r(b)),
+keyed AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS k
+  FROM conversations),
+struck AS (
+  SELECT c, turn, role, text, xor(list_reduce(list_prepend(4294967295, k), lambda v, b: xor(t[(xor(v, b) & 255) + 1], v >> 8)), 4294967295) % 20 AS f FROM keyed, crc),
+rows AS (
+  SELECT c, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM struck, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM rows),
+seen AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, substr(role, 1, 1) AS initial, lead(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS following FROM placed),
+turns AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS more, count(*) OVER (PARTITION BY c) AS n FROM seen),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT gone) AS truncated, count(*) FILTER (following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY c),
+back(c, i, d) AS (
+  SELECT DISTINCT c, n + 1, [0, 6, 3, 0] FROM turns
+  UNION ALL
+  SELECT c, i, [least(b[1], 3 + least(b[3], 3 + b[4])), least(b[2], 3 + least(b[3], 3 + b[4])), least(b[3], 3 + b[4]), least(b[4], 3 + b[3])] FROM (
+    SELECT t.c, t.i, CASE WHEN gone THEN [4 + d[1], 4 + d[2], 4 + d[3], 4 + d[4]] ELSE [
+      least(4 + d[1], 3 + more + d[3], CASE initial WHEN 's' THEN more + d[2] WHEN 'u' THEN more + d[3] ELSE 99999999 END),
+      least(4 + d[2], 3 + more + d[3], CASE initial WHEN 'u' THEN more + d[3] ELSE 99999999 END),
+      least(4 + d[3], 3 + more + d[4], CASE initial WHEN 'a' THEN more + d[4] ELSE 99999999 END),
+      least(4 + d[4], 3 + more + d[3], CASE initial WHEN 'u' THEN more + d[3] ELSE 99999999 END)] END AS b
+    FROM back JOIN turns t ON t.c = back.c AND t.i = back.i - 1)),
+nodes AS MATERIALIZED (
+  SELECT x.c, x.i, x.d, y.d AS e, role, text, initial, more FROM back x LEFT JOIN back y ON y.c = x.c AND y.i = x.i + 1 LEFT JOIN turns t ON t.c = x.c AND t.i = x.i),
+walk(c, i, st, k, edit, piece) AS (
+  SELECT DISTINCT c, CAST(1 AS BIGINT), 1, 0, '', CAST(NULL AS VARCHAR) FROM turns
+  UNION ALL
+  SELECT c, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN st WHEN 'K' THEN CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE
+    CASE st WHEN 3 THEN 4 ELSE 3 END END, k + 1, edit, CASE edit WHEN 'K' THEN role || ':' || text WHEN 'R' THEN CASE st WHEN 3 THEN 'assistant:' ELSE 'user:' END || text
+    WHEN 'I' THEN CASE st WHEN 3 THEN 'assistant:' ELSE 'user:' END END
+  FROM (
+    SELECT n.*, st, k, CASE WHEN d[st] = 4 + e[st] THEN 'D' WHEN d[st] = 3 + d[CASE st WHEN 3 THEN 4 ELSE 3 END] THEN 'I'
+      WHEN d[st] = more + e[CASE WHEN initial = 's' AND st = 1 THEN 2 WHEN initial = 'u' AND st <> 3 THEN 3 WHEN initial = 'a' AND st = 3 THEN 4 END] THEN 'K' ELSE 'R' END AS edit
+    FROM walk w JOIN nodes n ON n.c = w.c AND n.i = w.i WHERE n.e IS NOT NULL OR st IN (2, 3))),
+told AS (SELECT c, string_agg(edit, '' ORDER BY k) AS audit, sha256(coalesce(string_agg(piece, chr(10) ORDER BY k), '')) AS sha FROM walk GROUP BY c),
+costs AS (SELECT c, d[1] AS cost FROM back WHERE i = 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS c FROM conversations) LEFT JOIN counts USING (c) LEFT JOIN costs USING (c) LEFT JOIN told USING (c)
+"""
+
 OP13_SQL = r"""
 WITH worded AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -226,8 +292,9 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_line_dedup": op11_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op11_line_dedup": OP11_SQL, "op13_filter_audit": OP13_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op11_line_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_filter_audit": OP13_SQL}
