@@ -147,32 +147,36 @@ def _symbols(initials: str, faults: str, counts: list[int]) -> tuple[str, list[i
     return "".join(symbols), gone
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(segment: int):
     """Segments of rows that come in order."""
-    schema = pa.schema([("c", pa.string()), ("part", pa.int32()), ("chunk", pa.int64()), ("initials", pa.string()), ("faults", pa.string()), ("counts", pa.list_(pa.int64())), ("turns", pa.list_(pa.int64())), ("roles", pa.list_(pa.string())), ("digests", pa.list_(pa.binary())), ("illegal", pa.int64()), ("across", pa.list_(pa.int64()))])
-    rows, done, chunk = [], [], 0
 
-    def closed():
-        initials, faults, counts = "".join(r[6] for r in rows), "".join(r[7] for r in rows), [r[5] for r in rows]
-        illegal = sum(n - 1 for n in counts) + sum(initials[k : k + 2] not in LEGAL for k in range(len(rows) - 1))
-        return (*rows[0][:2], chunk, initials, faults, counts, [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], illegal, list(_across(_symbols(initials, faults, counts)[0])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("c", pa.string()), ("part", pa.int32()), ("chunk", pa.int64()), ("initials", pa.string()), ("faults", pa.string()), ("counts", pa.list_(pa.int64())), ("turns", pa.list_(pa.int64())), ("roles", pa.list_(pa.string())), ("digests", pa.list_(pa.binary())), ("illegal", pa.int64()), ("across", pa.list_(pa.int64()))])
+        rows, done, chunk = [], [], 0
 
-    def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+        def closed():
+            initials, faults, counts = "".join(r[6] for r in rows), "".join(r[7] for r in rows), [r[5] for r in rows]
+            illegal = sum(n - 1 for n in counts) + sum(initials[k : k + 2] not in LEGAL for k in range(len(rows) - 1))
+            return (*rows[0][:2], chunk, initials, faults, counts, [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], illegal, list(_across(_symbols(initials, faults, counts)[0])))
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("c", "part", "t", "role", "h", "n", "initial", "mark")), strict=True):
-            if rows and (rows[-1][0] != row[0] or len(rows) == SEGMENT):
-                done.append(closed())
-                rows, chunk = [], chunk + 1
-            rows.append(row)
-        if len(done) > 64:
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("c", "part", "t", "role", "h", "n", "initial", "mark")), strict=True):
+                if rows and (rows[-1][0] != row[0] or len(rows) == segment):
+                    done.append(closed())
+                    rows, chunk = [], chunk + 1
+                rows.append(row)
+            if len(done) > 64:
+                yield batch_of(done)
+                done = []
+        if rows:
+            done.append(closed())
+        if done:
             yield batch_of(done)
-            done = []
-    if rows:
-        done.append(closed())
-    if done:
-        yield batch_of(done)
+
+    return run
 
 
 def _backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +260,7 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=names)
 
 
-def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repair(rows: DataFrame, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
     """The conversations and the repaired turns of ``rows`` (conv_id, turn, role, text).
 
     Conversations: c, gaps, blank, duplicate, truncated, illegal, cost and audit, one row for each with rows. Turns: c, part, chunk, at (their order), edit, turn, old and
@@ -270,7 +274,7 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = judged(given).withColumn("mark", marks)
     order = ["c", "t", "role", "h"]
     dealt = each.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    segments = written(dealt.select("c", "part", "t", "role", "h", "n", "initial", "mark").mapInArrow(_cut, SEGMENTS), "segments")
+    segments = written(dealt.select("c", "part", "t", "role", "h", "n", "initial", "mark").mapInArrow(_cut(segment), SEGMENTS), "segments")
 
     last_first = segments.select("c", "part", "chunk", "across").repartition("c").sortWithinPartitions("c", F.desc("part"), F.desc("chunk"))
     ends = last_first.mapInArrow(_backward, "part int, chunk long, ends array<long>, last boolean")
