@@ -59,8 +59,9 @@ def failures(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"))
-    rows = rows.select("*", F.xxhash64("text").alias("fp"), F.unhex(F.sha2("text", 256)).alias("digest"), own_failures(F.col("text")).alias("mask"))
-    rows = rows.repartitionByRange("fp", "doc_id").sortWithinPartitions("fp", "text", "doc_id")
+    # what the texts fail and their digests are made after the shuffle: the ranges are found by a pass of its own, which makes all that stands before
+    rows = rows.withColumn("fp", F.xxhash64("text")).repartitionByRange("fp", "doc_id").sortWithinPartitions("fp", "text", "doc_id")
+    rows = rows.select("*", F.unhex(F.sha2("text", 256)).alias("digest"), own_failures(F.col("text")).alias("mask"))
     judged = rows.mapInArrow(_first_of_run, "fp long, digest binary, doc_id long, part string, mask int, first long")
     judged = written(judged.withColumn("range", F.spark_partition_id()), "audit-rows")
     # a fingerprint on both sides of a boundary is the greatest of one range: at most one a range
@@ -68,7 +69,7 @@ def failures(docs: DataFrame) -> DataFrame:
     over = ends.select(F.col("high").alias("fp")).join(ends.select(F.col("low").alias("fp")).distinct(), "fp", "left_semi").distinct()
     order = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id").alias("id"))
     firsts = judged.join(F.broadcast(over), "fp").groupBy("fp", "digest").agg(F.min(order)["id"].alias("global_first"), F.lit(True).alias("spread"))
-    told = judged.join(firsts, ["fp", "digest"], "left")
+    told = judged.join(F.broadcast(firsts), ["fp", "digest"], "left")  # a row a boundary, and text of one fingerprint
     first = F.when(F.col("spread"), F.col("global_first")).otherwise(F.col("first"))
     copy = F.col("doc_id").isNotNull() & (first.isNull() | (first < F.col("doc_id")))
     return told.select("doc_id", "part", (F.col("mask") + F.when(copy, COPY).otherwise(0)).alias("mask"))
