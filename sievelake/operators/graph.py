@@ -30,6 +30,8 @@ def hops(edges: DataFrame, seeds: DataFrame, k: int, backward: bool = False, kin
         if new.isEmpty():
             break
         found, frontier = new if hop == 1 else found.unionByName(new), new.select("id")
+        if hop % FOLDED == 0:
+            found = kept(found)
     return found
 
 
@@ -128,8 +130,10 @@ def call_edges(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     return nearest.join(last, nearest["callee"] == last["name"]).select("src", "dst", F.lit("calls").alias("kind"), "line")
 
 
-CALL = r"(?U)(\w+)\s*\("  # Fixed values: a call, a definition of a function, and words before a parenthesis that call nothing
+# A call, and a definition of a function.
+CALL = r"(?U)(\w+)\s*\("
 FUNCTION = r"(?U)^\s*(?:async\s+def|def|fn|func|function)\s+(\w+)"
+# A choice of ours: words before a parenthesis that call nothing.
 NO_CALLS = ("if", "for", "while", "return", "switch", "catch", "def", "fn", "func", "function", "class", "and", "or", "not", "in")
 
 
@@ -148,6 +152,20 @@ def call_sites(lines: DataFrame) -> DataFrame:
     return rows.select("file_path", "line", F.explode(calls).alias("callee"), "caller")
 
 
+def source_calls(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, kind, line) and functions (id, name, file_path, line_start, line_end) of ``lines`` (file_path, line, text) of source files.
+
+    A function ends where the next of its file begins; ids follow file and line, so of several of a name the last file's is called. Calls before the first
+    function of a file, or of names that no file defines, are no edges.
+    """
+    rows = lines.withColumn("name", F.nullif(F.regexp_extract("text", FUNCTION, 1), F.lit("")))
+    ends = lines.groupBy("file_path").agg(F.max("line").alias("last"))
+    own = Window.partitionBy("file_path").orderBy("line")
+    starts = rows.filter("name IS NOT NULL").withColumn("next", F.lead("line").over(own)).join(ends, "file_path")
+    defined = starts.select(F.struct("file_path", "line").alias("id"), "name", "file_path", F.col("line").alias("line_start"), F.coalesce(F.col("next") - 1, "last").alias("line_end"))
+    return call_edges(defined, call_sites(lines).select("file_path", "line", "callee")), defined
+
+
 def cfg_blocks(blocks: DataFrame, order: str = "seq") -> DataFrame:
     """function, id, kind, label and line of control-flow blocks: 0 the entry and 1 the exit of each function, then ``blocks`` (function, kind, label, line, order) in order."""
     number = (F.row_number().over(Window.partitionBy("function").orderBy(order)) + 1).alias("id")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import RULE_COLUMNS, RULES, SUPPRESSIONS, TEST_MARKERS
+from .rounds import kept
 
 FLAGS = "(?imdU)"  # case-insensitive, multi-line, \n alone ends a line, Unicode classes
 RULE_DICTS = tuple(dict(zip(RULE_COLUMNS, r, strict=True)) for r in RULES)
@@ -135,22 +136,40 @@ def scan_files(files: DataFrame, rules: list[dict] | None = None) -> DataFrame:
 
 
 def findings(lines: DataFrame, files: DataFrame | None = None, rules: list[dict] | None = None) -> DataFrame:
-    """Findings in their full form, of lines (diff_id, path, language, line_start, line) and, where given, of file-scoped rules over ``files``."""
-    out = scan_lines(lines.select("diff_id", "path", "language", "line_start", "line"), rules)
+    """Findings in their full form, of lines (diff_id, path, language, line_start, line) and, where given, of file-scoped rules over ``files``.
+
+    Where lines and files have a ``section`` of their diff, findings carry it.
+    """
+    section = ["section"] if "section" in lines.columns else []
+    out = scan_lines(lines.select("diff_id", *section, "path", "language", "line_start", "line"), rules)
     if files is not None:
-        out = out.unionByName(scan_files(files.select("diff_id", "path", "language", "added_lines"), rules))
+        out = out.unionByName(scan_files(files.select("diff_id", *section, "path", "language", "added_lines"), rules))
     return out.select(
-        "diff_id", "rule_id", "category", "severity", "title", "description", F.col("path").alias("file_path"), "line_start", F.col("line").alias("line_content"),
+        "diff_id", *section, "rule_id", "category", "severity", "title", "description", F.col("path").alias("file_path"), "line_start", F.col("line").alias("line_content"),
         F.trim("line").alias("snippet"), "language", F.lit(True).alias("is_deterministic"), F.lit("stage1_deterministic").alias("filter_stage"),
         F.lit(1.0).alias("llm_confidence"), "cwe_id", "owasp_category",
     )
 
 
+FEW_FILES = 200_000  # keys of files, of 100 bytes or so, that may be sent to every executor
+
+
 def with_code(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings with the whole added code of their file, joined by newlines, as ``snippet``: found first, then looked up, so that no code travels with lines."""
-    code = F.array_join(F.coalesce("added_lines", F.array().cast("array<string>")), "\n")
-    texts = files.groupBy("diff_id", F.col("path").alias("file_path")).agg(F.max(code).alias("snippet"))
-    return found.drop("snippet").join(texts, ["diff_id", "file_path"], "left").select(*found.columns)
+    """Findings with the whole added code of their file, joined by newlines, as ``snippet``; null for a file that ``files`` lacks and for a null diff_id.
+
+    A file is told by diff, path and, where findings carry it, its section of the diff; each is one row of ``files``. The scan's result is kept, and where
+    its files are few enough their keys are sent out, so that only code of files with findings travels; beyond that both sides are shuffled.
+    """
+    section = ["section"] if "section" in found.columns else []
+    keys = ["diff_id", *section, "file_path"]
+    found = kept(found.drop("snippet"))
+    wanted = found.select(*keys).distinct()
+    few = wanted.limit(FEW_FILES + 1).count() <= FEW_FILES
+    texts = files.select("diff_id", *section, F.col("path").alias("file_path"), "added_lines").join(F.broadcast(wanted) if few else wanted, keys, "left_semi")
+    code = F.array_join(F.coalesce("added_lines", F.array().cast("array<string>")), "\n").alias("snippet")
+    columns = [F.col(c) for c in found.columns]
+    columns.insert(found.columns.index("language"), F.col("snippet"))
+    return found.join(texts.select(*keys, code), keys, "left").select(*columns)
 
 
 def is_test_file(path: Column) -> Column:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import KEYWORDS
+from ..functions.fixed_values import DEFINED, KEYWORDS
 
 # What defines, what assigns, and what a symbol is.
-DEFINITION, ASSIGNMENT, SYMBOL = r"(?U)(?:def|fn|func|function|class)\s+(\w+)", r"(?U)(\w+)\s*[:=]", r"(?:def|async def|class)\s+(\w+)"
+DEFINITION, ASSIGNMENT, SYMBOL = "(?U)" + DEFINED, r"(?U)(\w+)\s*[:=]", r"(?:def|async def|class)\s+(\w+)"
+#: White space of any script, and the four separators of ASCII.
+BLANKS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    """A line without white space of any script at its ends."""
+    return F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+$", "")
 
 
 def postings(lines: DataFrame) -> DataFrame:
@@ -87,10 +90,6 @@ def find_definition(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.withColumn("_rank", rank).filter("_rank IS NOT NULL").orderBy("_rank", "seq").limit(1).drop("_rank")
 
 
-def symbols_in_file(symbols: DataFrame, path: str) -> DataFrame:
-    return symbols.filter(F.col("file") == path)
-
-
 def type_info(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("type_info", F.coalesce(F.nullif(F.col("return_type"), F.lit("")), F.col("kind")))
 

@@ -36,6 +36,7 @@ def _rules_sql() -> str:
 
 
 #: The library's word and space classes, spelled out for an engine whose own are ASCII.
+_BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _W, _S = r"[\p{L}\p{M}\p{N}_]", r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _KEYWORDS = ", ".join(map(_text, fixed.KEYWORDS))
 _DOC_LINES = """SELECT doc_id, source, generate_subscripts(parts, 1) AS line_start, unnest(parts) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)"""
@@ -111,7 +112,7 @@ def _doc_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH lines AS ({_DOC_LINES}) SELECT doc_id AS file, CAST(line_start AS INT) AS line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS snippet FROM lines
+WITH lines AS ({_DOC_LINES}) SELECT doc_id AS file, CAST(line_start AS INT) AS line_no, regexp_replace(line, '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS snippet FROM lines
 WHERE regexp_matches(line, 'licen[sc]e|copyright|permission', 'i')""")
 def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_pattern(_doc_code(spark, sf_dir), "licen[sc]e|copyright|permission")
@@ -128,7 +129,7 @@ def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.similar_lines(_doc_code(spark, sf_dir), snippets).select("snippet_id", "file", "line_no", F.round("share", 6).alias("similarity"))
 
 
-_INDEX = rf"""WITH lines AS ({_DOC_LINES}), t AS (SELECT doc_id AS file, CAST(line_start AS INT) AS line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS snippet,
+_INDEX = rf"""WITH lines AS ({_DOC_LINES}), t AS (SELECT doc_id AS file, CAST(line_start AS INT) AS line_no, regexp_replace(line, '^{_BLANKS}+|{_BLANKS}+$', '', 'g') AS snippet,
 regexp_extract(line, '(?:def|fn|func|function|class){_S}+({_W}+)', 1) AS defined, regexp_extract(line, '({_W}+){_S}*[:=]', 1) AS assigned FROM lines)
 SELECT defined AS name, 'function' AS kind, file, line_no, snippet FROM t WHERE defined <> ''
 UNION ALL SELECT assigned, 'variable', file, line_no, snippet FROM t
@@ -451,11 +452,12 @@ def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id AS seq, user_id AS function_name, event_type AS hash FROM events e LEFT JOIN (SELECT user_id AS u, max(event_type) AS now_hash FROM events
-WHERE user_id % 2 = 0 GROUP BY 1) c ON e.user_id = c.u
+GROUP BY 1 HAVING bool_or(event_type = 'purchase')) c ON e.user_id = c.u
 WHERE now_hash IS NULL OR now_hash = event_type""")
 def invalidate_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("function_name"), F.col("event_type").alias("hash"))
-    current = events.filter("function_name % 2 = 0").groupBy("function_name").agg(F.max("hash").alias("hash"))
+    known = events.groupBy("function_name").agg(F.max("hash").alias("hash"), F.bool_or(F.col("hash") == "purchase").alias("known"))
+    current = known.filter("known").select("function_name", "hash")
     return state.invalidate_by_hash(events, current).select("seq", "function_name", "hash")
 
 
@@ -497,7 +499,7 @@ replace(p_name, ' ', '_') || '():' AS line FROM part
 UNION ALL SELECT p_partkey, 'lib/' || p_brand || '.py', 'python', 2, p_size + 2, '  return 1' FROM part UNION ALL SELECT p_partkey, 'web/' || p_size ||
 '.tsx', 'typescript', 1, 1, 'let x = 1' FROM part""")
 def diff_added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diffs.added_lines(_part_diffs(spark, sf_dir))
+    return diffs.added_lines(_part_diffs(spark, sf_dir)).drop("section")
 
 
 @query("""SELECT p_partkey AS diff_id, 'lib/' || p_brand || '.py' AS path, 'python' AS language, CAST(2 AS INT) AS n_added, CAST(1 AS INT) AS n_removed FROM part

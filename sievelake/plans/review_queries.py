@@ -11,6 +11,7 @@ from ..operators import dataflow, graph, judge, metrics, review, scan, search
 from ..sources import git, symbols, testsets
 from ..streaming import state
 from .queries import _EDGES, _HITS, ORACLE_SQL, QUERIES, _text, query
+from .reviews import evaluate_samples as evaluate_samples_by
 from .reviews import review_findings, review_records
 from .tables import customer_edges, document_lines, event_definitions, order_definitions, seed, table
 
@@ -18,10 +19,18 @@ from .tables import customer_edges, document_lines, event_definitions, order_def
 _CODE = (
     ("a/loop.py", ("for r in rows:", "  s += 'x'")), ("a/key.py", ('PASSWORD = "abcdefghijklmnop"',)), ("a/old.py", ("pickle.loads(b)  # nolint", "except:")), ("a/test_x.py", ("os.system(request.x)",)),
     ("a/db.py", ("# for x", "conn = connect()", "a += connect()")), ("a/page.js", ("document.write(req.q)", "x = 1")), ("a/calm.py", ()),
+    ("a/sql.py", ('cur.execute(f"SELECT a FROM t WHERE b = {x}")',)), ("a/path.py", ('data = open("../etc/passwd")',)), ("a/load.py", ("obj = yaml.load(body)",)), ("a/hash.py", ("digest = md5(data)",)),
+    ("a/tls.py", ("get(url, verify=False)",)), ("a/go.py", ("return redirect(request.url)",)), ("a/ssrf.py", ("requests.get(query)",)), ("a/n1.py", ("x = 1", "for r in rows:", "  .execute(r)")),
+    ("a/async.py", ("async def run(x):", "  time.sleep(1)")), ("a/copy.py", ("first = sorted(names)[0]",)), ("a/io.py", ("for r in rows:", "  .write(r)")), ("a/regex.py", ("for r in rows:", "  re.match(r)")),
+    ("a/many.py", ("def f(a, b, c, d, e, g):",)), ("a/default.py", ("def f(a=[]):",)),
 )
 _FOUND = (
     (0, "PERF-002", "performance", "minor", 1, None), (1, "SEC-002", "security", "critical", 1, fixed.FIX_TEMPLATES["SEC-002"]), (2, "STYLE-003", "style", "minor", 2, None), (3, "SEC-003", "security", "minor", 1, None),
     (4, "PERF-005", "performance", "major", 2, None), (4, "PERF-005", "performance", "major", 3, fixed.LOOP_HINT), (5, "SEC-005", "security", "major", 1, fixed.FIX_TEMPLATES["SEC-005"]),
+    (7, "SEC-001", "security", "critical", 1, fixed.FIX_TEMPLATES["SEC-001"]), (8, "SEC-004", "security", "critical", 1, None), (9, "SEC-006", "security", "critical", 1, fixed.FIX_TEMPLATES["SEC-006"]),
+    (10, "SEC-007", "security", "major", 1, None), (11, "SEC-008", "security", "major", 1, None), (12, "SEC-009", "security", "major", 1, None), (13, "SEC-010", "security", "critical", 1, None),
+    (14, "PERF-001", "performance", "major", 2, None), (15, "PERF-003", "performance", "major", 1, fixed.FIX_TEMPLATES["PERF-003"]), (16, "PERF-004", "performance", "minor", 1, None),
+    (17, "PERF-006", "performance", "minor", 1, None), (18, "PERF-007", "performance", "minor", 1, None), (19, "STYLE-002", "style", "minor", 1, None), (20, "STYLE-004", "style", "major", 1, fixed.FIX_TEMPLATES["STYLE-004"]),
 )
 
 
@@ -70,6 +79,42 @@ def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.finding_rows(found, F.concat(F.lit("r"), F.col("diff_id").cast("string"))).drop("title", "description")
 
 
+#: Of a document's truths one, at a line that its id chooses; and what some of the rules find in all documents.
+_TESTSET = _HITS + """, truths AS (SELECT doc_id, 'security' AS category, 1 + doc_id % 6 AS line FROM documents UNION ALL SELECT doc_id, 'performance', 2 FROM documents WHERE doc_id % 2 = 0),
+found AS (SELECT doc_id, category, line_start FROM hits WHERE category = 'security'),
+m AS (SELECT DISTINCT doc_id, category FROM truths t JOIN found f USING (doc_id, category) WHERE abs(line - line_start) <= 3)"""
+_SECURITY = tuple(r["rule_id"] for r in scan.active_rules() if r["category"] == "security" and r["language"] == "all")
+
+
+def _testset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Truths and samples: each document as a diff of one new file."""
+    docs = table(spark, sf_dir, "documents")
+    file = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    body = F.concat(F.lit("+"), F.replace("text", F.lit("\n"), F.lit("\n+")))
+    text = F.concat(F.lit("diff --git a/x b/x\n+++ b/"), file, F.lit("\n@@ -0,0 +1 @@\n"), body)
+    samples = docs.select(F.col("doc_id").alias("diff_id"), text.alias("diff_content"), F.lit("").alias("language"))
+    one = docs.select(file.alias("file"), F.lit("security").alias("category"), (F.col("doc_id") % 6 + 1).alias("line"), F.col("doc_id").alias("gt_seq"))
+    two = docs.filter("doc_id % 2 = 0").select(file.alias("file"), F.lit("performance").alias("category"), F.lit(2).cast("long").alias("line"), F.col("doc_id").alias("gt_seq"))
+    return one.unionByName(two), samples
+
+
+@query(f"""{_TESTSET}, c AS (SELECT (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM found) - (SELECT count(*) FROM m) AS fp, (SELECT count(*) FROM truths) -
+(SELECT count(*) FROM m) AS fn, (SELECT count(*) FROM truths) AS total_samples), r AS (SELECT *, tp / greatest(tp + fn, 1) AS rc, tp / greatest(tp + fp, 1) AS pr FROM c)
+SELECT tp, fp, fn, total_samples, round(rc, 4) AS recall, round(pr, 4) AS precision, round(2 * rc * pr / greatest(rc + pr, 0.001), 4) AS f1_score, round(fp
+/ greatest(fp + tp, 1), 4) AS false_positive_rate FROM r""")
+def evaluate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a test set, here all documents as diffs, to the metrics of the security rules."""
+    return evaluate_samples_by(*_testset(spark, sf_dir), only=_SECURITY)[0]
+
+
+@query(f"""{_TESTSET}, g AS (SELECT category, count(*) AS n FROM truths GROUP BY 1), p AS (SELECT category, count(*) AS np FROM found GROUP BY 1), t AS (SELECT
+category, count(*) AS tp FROM m GROUP BY 1)
+SELECT category, round(coalesce(tp, 0) / greatest(n, 1), 4) AS recall, round(coalesce(tp, 0) / greatest(coalesce(np, 0), 1), 4) AS precision, n AS count
+FROM g LEFT JOIN p USING (category) LEFT JOIN t USING (category)""")
+def evaluate_samples_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate_samples_by(*_testset(spark, sf_dir), only=_SECURITY)[1]
+
+
 @query("SELECT o_orderkey, o_orderstatus = 'F' AS is_deterministic FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000")
 def route_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that rules are not sure of go to a judge, here one that confirms great prices."""
@@ -219,7 +264,7 @@ def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT name, kind, line_start FROM ({_SYMBOLS}) WHERE file = 'p8.py'")
 def symbols_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.symbols_in_file(symbols.symbols(_sources(spark, sf_dir)), "p8.py").select("name", "kind", "line_start")
+    return symbols.symbols_in_file(_sources(spark, sf_dir), "p8.py").select("name", "kind", "line_start")
 
 
 @query("SELECT p_partkey, p_partkey % 3 <> 0 OR p_partkey % 2 = 1 AS parses FROM part")
@@ -235,6 +280,20 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_sites(lines.select("file_path", (F.col("pos") + 1).alias("line"), "text"))
 
 
+@query(f"""WITH f AS (SELECT p_partkey, 'p' || p_partkey || '.py' AS file, replace(p_name, ' ', '_') AS name FROM part WHERE p_partkey % 2 = 0),
+last AS (SELECT 'inner' AS name, max(file) AS file FROM f)
+SELECT f.name AS caller, f.file AS caller_file, last.name AS callee, last.file AS callee_file, CAST(8 AS INT) AS line FROM f, last""")
+def source_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From source files to the edges of the call graph: call sites and definitions by pattern, each call with the innermost symbol around it.
+
+    What is defined more than once, as the method ``inner`` is in every file, is the last file's.
+    """
+    lines = _sources(spark, sf_dir).filter("path LIKE '%.py'").select(F.col("path").alias("file_path"), F.posexplode(F.split("source", "\n", -1)).alias("pos", "text"))
+    edges, defined = graph.source_calls(lines.select("file_path", (F.col("pos") + 1).alias("line"), "text"))
+    side = lambda at: defined.select(F.col("id").alias("src" if at == "caller" else "dst"), F.col("name").alias(at), F.col("file_path").alias(f"{at}_file"))
+    return edges.join(side("caller"), "src").join(side("callee"), "dst").select("caller", "caller_file", "callee", "callee_file", "line")
+
+
 _BLOCKS = """blocks AS (SELECT n_name AS function, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) + 1 AS INT) AS id, 'Statement' AS kind, c_mktsegment
 AS label, CAST(c_custkey % 50 AS INT) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey),
 whole AS (SELECT * FROM blocks UNION ALL SELECT DISTINCT function, 0, 'Entry', 'entry', 0 FROM blocks UNION ALL SELECT DISTINCT function, 1, 'Exit', 'exit',
@@ -278,23 +337,23 @@ FROM d GROUP BY 1),
 r AS (SELECT a.function, a.id, list_sort(list_distinct(list(b.id) FILTER (b.id = a.id OR (b.id <> t.top AND NOT EXISTS (SELECT 1 FROM d k WHERE k.function
 = a.function AND k.variable = a.variable AND k.id = b.id))))) AS ids
 FROM d a JOIN d b ON a.function = b.function JOIN top t ON a.function = t.function GROUP BY a.function, a.id, a.variable)
-SELECT o_orderkey AS function, CAST(3 AS INT) AS id, array_to_string(coalesce(ids, []), ',') AS reaching_ids FROM orders LEFT JOIN r ON o_orderkey = r.function
-AND r.id = 3""")
+SELECT o_orderkey AS function, p.id, array_to_string(coalesce(ids, []), ',') AS reaching_ids FROM orders, (SELECT CAST(unnest(range(1, 8)) AS INT) AS id) p
+LEFT JOIN r ON o_orderkey = r.function AND r.id = p.id""")
 def reaching_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The definitions that reach the third point of each order."""
-    points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("function"), F.lit(3).alias("id"))
+    """The definitions that reach each of the seven points that an order may have."""
+    points = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("function"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("id"))
     out = dataflow.reaching_at(dataflow.reaching(order_definitions(spark, sf_dir)), points)
     return out.select("function", "id", F.array_join(F.col("reaching_ids").cast("array<string>"), ",").alias("reaching_ids"))
 
 
 @query("""WITH d AS (SELECT user_id AS function, event_type AS variable, event_id AS id, ['request.args', 'os.environ', 'cursor.execute(q)', 'html.escape(x)', 'sys.argv',
 'eval(x)', 'print(x)'][CAST(event_id % 7 AS INT) + 1] AS v FROM events),
-u AS (SELECT DISTINCT user_id AS function, unnest(['click', 'nowhere']) AS variable FROM events), s AS (SELECT function, variable, array_to_string(list(v
+u AS (SELECT DISTINCT user_id AS function, unnest(['purchase', 'view', 'signup', 'error', 'click', 'nowhere']) AS variable FROM events), s AS (SELECT function, variable, array_to_string(list(v
 ORDER BY id), '|') AS sources FROM d GROUP BY 1, 2)
 SELECT u.function, u.variable, coalesce(sources, '') AS sources FROM u LEFT JOIN s USING (function, variable)""")
 def trace_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = event_definitions(spark, sf_dir)
-    uses = d.select("function").distinct().withColumn("variable", F.explode(F.array(F.lit("click"), F.lit("nowhere"))))
+    uses = d.select("function").distinct().withColumn("variable", F.explode(F.array(*map(F.lit, ("purchase", "view", "signup", "error", "click", "nowhere")))))
     return dataflow.trace_to_source(d, uses).select("function", "variable", F.array_join(F.transform("sources", lambda s: s["source_value"]), "|").alias("sources"))
 
 
@@ -308,12 +367,12 @@ def _environment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_ENV} SELECT scope, variable, coalesce(type, 'Any') AS type FROM (SELECT DISTINCT scope, unnest(['view', 'signup', 'unheard']) AS variable FROM a)
+WITH {_ENV} SELECT scope, variable, coalesce(type, 'Any') AS type FROM (SELECT DISTINCT scope, unnest(['purchase', 'view', 'signup', 'error', 'click', 'unheard']) AS variable FROM a)
 LEFT JOIN env USING (scope, variable)""")
 def type_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     env = _environment(spark, sf_dir)
     names = table(spark, sf_dir, "events").select(F.col("user_id").alias("scope")).distinct()
-    return types.types_of(env, names.withColumn("variable", F.explode(F.array(*map(F.lit, ("view", "signup", "unheard"))))))
+    return types.types_of(env, names.withColumn("variable", F.explode(F.array(*map(F.lit, ("purchase", "view", "signup", "error", "click", "unheard"))))))
 
 
 @query(f"WITH {_ENV} SELECT scope, variable FROM env WHERE type = 'Any'")
@@ -322,27 +381,28 @@ def uncertain_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The events as entries, and an entry for each customer in good standing."""
     entries = table(spark, sf_dir, "events").select(F.col("user_id").alias("function_name"), F.col("event_type").alias("hash"), F.col("ts").alias("inserted_at"), F.col("event_id").alias("seq"))
-    people = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0")
+    people = table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
     last = entries.agg(F.max("inserted_at").alias("at"))
     new = people.join(last).select(F.col("c_custkey").alias("function_name"), F.col("c_mktsegment").alias("hash"), F.col("at").alias("inserted_at"), F.lit(0).cast("long").alias("seq"))
     return entries, new
 
 
-@query("""SELECT user_id AS function_name, event_type AS hash, event_id AS seq FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)
-UNION ALL SELECT c_custkey, c_mktsegment, 0 FROM customer WHERE c_custkey % 3 = 0""")
+@query("""SELECT user_id AS function_name, event_type AS hash, event_id AS seq FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
+UNION ALL SELECT c_custkey, c_mktsegment, 0 FROM customer WHERE c_acctbal >= 0""")
 def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.cache_put(*_cache(spark, sf_dir)).select("function_name", "hash", "seq")
 
 
-@query("SELECT user_id AS function_name, event_id AS seq FROM events WHERE user_id % 3 <> 0 OR user_id NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT user_id AS function_name, event_id AS seq FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def cache_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of keys goes with all of their entries."""
     entries, new = _cache(spark, sf_dir)
     return state.invalidate(entries, new).select("function_name", "seq")
 
 
-@query("""SELECT count(*) AS cached_functions FROM (SELECT c_custkey AS f FROM customer WHERE c_custkey % 3 = 0 UNION SELECT user_id FROM
+@query("""SELECT count(*) AS cached_functions FROM (SELECT c_custkey AS f FROM customer WHERE c_acctbal >= 0 UNION SELECT user_id FROM
 (SELECT user_id, max(ts) AS ts FROM events GROUP BY 1) WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND)""")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, new = _cache(spark, sf_dir)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import LANGUAGES
+from ..functions.fixed_values import DEFINED, LANGUAGES
 
 HUNK = r"^@@ -(\d+),?(\d*) \+(\d+),?(\d*) @@ ?(.*)$"
-DEFINITION = r"(?:def|fn|func|function|class)\s+(\w+)"
 
 
 def guess_language(path: Column) -> Column:
@@ -42,9 +41,9 @@ def _marked(sign: str) -> Column:
 
 
 def files(diffs: DataFrame) -> DataFrame:
-    """diff_id, path, language, added_lines, removed_lines of each file of each diff (diff_id, diff_content, language).
+    """diff_id, section, path, language, added_lines, removed_lines of each file of each diff (diff_id, diff_content, language).
 
-    A file exists once its section has a ``+++ b/`` line. A diff's own language, where not empty, overrides the guess. Files that only remove keep
+    A diff may have a path in more than one section, each of which is a file here. A file exists once its section has a ``+++ b/`` line. A diff's own language, where not empty, overrides the guess. Files that only remove keep
     an empty added list.
     """
     own = F.nullif(F.first("language"), F.lit(""))
@@ -56,7 +55,7 @@ def files(diffs: DataFrame) -> DataFrame:
 
 
 def added_lines(diffs: DataFrame) -> DataFrame:
-    """diff_id, path, language, line_start (ordinal among the file's added lines), file_line (by hunk headers, null before any) and line."""
+    """diff_id, section, path, language, line_start (ordinal among the file's added lines), file_line (by hunk headers, null before any) and line."""
     rows = _sections(diffs)
     order = Window.partitionBy("diff_id", "section").orderBy("pos")
     start = F.regexp_extract("line", HUNK, 3)
@@ -65,7 +64,13 @@ def added_lines(diffs: DataFrame) -> DataFrame:
     in_hunk = Window.partitionBy("diff_id", "section", "hunk.pos").orderBy("pos")
     rows = rows.withColumn("seen", F.count_if(kept).over(in_hunk)).filter(_marked("+"))
     language = F.coalesce(F.nullif(F.col("language"), F.lit("")), guess_language(F.col("path")))
-    return rows.select("diff_id", "path", language.alias("language"), F.row_number().over(order).alias("line_start"), (F.col("hunk.start") + F.col("seen") - 1).cast("int").alias("file_line"), F.substring("line", 2, 1 << 30).alias("line"))
+    return rows.select("diff_id", "section", "path", language.alias("language"), F.row_number().over(order).alias("line_start"), (F.col("hunk.start") + F.col("seen") - 1).cast("int").alias("file_line"), F.substring("line", 2, 1 << 30).alias("line"))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """diff_id, section, path, language, line_start and line of the added lines of ``files``: as ``added_lines`` gives them, but for file_line."""
+    rows = files.select("diff_id", "section", "path", "language", F.posexplode("added_lines").alias("pos", "line"))
+    return rows.select("diff_id", "section", "path", "language", (F.col("pos") + 1).alias("line_start"), "line")
 
 
 def hunks(lines: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def file_changes(diffs: DataFrame) -> DataFrame:
     lines = diff_lines(diffs).withColumn("line", F.regexp_replace("line", "\r$", "")).filter("section > 0")
     header = F.regexp_extract("line", r"^diff --git a/(.*?) b/", 1)
     kind = F.when(F.col("line").startswith("new file mode"), "Added").when(F.col("line").startswith("deleted file mode"), "Deleted").when(F.col("line").startswith("rename from"), "Renamed")
-    name = F.when(_marked("+"), F.nullif(F.regexp_extract("line", DEFINITION, 1), F.lit("")))
+    name = F.when(_marked("+"), F.nullif(F.regexp_extract("line", DEFINED, 1), F.lit("")))
     out = lines.groupBy("diff_id", "section").agg(
         F.max(F.when(F.col("line").startswith("diff --git "), header)).alias("path"),
         F.coalesce(F.max_by(kind, F.when(kind.isNotNull(), F.col("pos"))), F.lit("Modified")).alias("change_type"),

@@ -57,6 +57,11 @@ def symbols(files: DataFrame) -> DataFrame:
     return trees.unionByName(others.withColumn("return_type", F.lit(None).cast("string")))
 
 
+def symbols_in_file(files: DataFrame, path: str) -> DataFrame:
+    """The symbols of one file: no other is read further."""
+    return symbols(files.filter(F.col("path") == path))
+
+
 @F.pandas_udf(T.BooleanType())
 def parses(path: pd.Series, source: pd.Series) -> pd.Series:
     """Whether code is valid, where that can be told: Python is compiled, other languages pass."""
