@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .plans import review_queries as _more  # noqa: F401  registers its queries
+from .plans import stream_queries as _streams  # noqa: F401
 from .plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "rule_scan_severity_rollup"

@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _ensure(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='spark-')}")
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -12,10 +22,12 @@ def kept(df: DataFrame) -> DataFrame:
 
     The folder is that of spark.checkpoint.dir. Where the session has none, a local master gets a temporary one; elsewhere that is an error.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    _ensure(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share, as ``kept`` finds it."""
+    _ensure(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
