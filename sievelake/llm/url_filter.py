@@ -58,6 +58,10 @@ def cells(url: Column) -> Column:
     rest = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
     rest = F.translate(rest, A_Z + "123456789", A_Z_LOWER + "0" * 9)
     rest = F.concat(F.lit("~" * ORDER), F.regexp_replace(rest, r"[^a-z0/._?=&#%:\-]", "~"))
+    return F.transform(F.array(rest), _cells_of)[0]  # a bound variable: made once, not again for each character
+
+
+def _cells_of(rest: Column) -> Column:
     alphabet = F.lit(A_Z_LOWER + "0" + MARKS + "~")
 
     def cell(i: Column) -> Column:
