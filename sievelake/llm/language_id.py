@@ -22,6 +22,7 @@ from .linear import Ftrl, softmax, temperature
 
 DIMS, SIZES = 1 << 15, 3
 SAMPLE, LEAST, EPOCHS = 4_000, 10, 4
+SLICE_BYTES = 16 << 20  # of the sample, that stand in the driver's memory at once
 UNKNOWN = "und"
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -83,7 +84,8 @@ def _logits(model: dict, at: np.ndarray, x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame) -> dict:
     """The model of ``docs`` (doc_id, text, lang), rows with a null lang left out: languages, idf, weights, bias and temperature.
 
-    Every lang with a letter in its texts is learnt. While learning, the driver holds 0.5 MB a language.
+    Every lang with a letter in its texts is learnt. While learning, the driver holds 0.5 MB a language, SLICE_BYTES of the sample, and one document more: a
+    text of any length has DIMS places at most, 0.3 MB of the sample.
 
     No rows, or none with a letter: a model without languages. Document frequencies, of every row, and the sample come from one pass over the texts;
     rows that repeat id and text stand in the sample once.
@@ -130,27 +132,41 @@ def fit(docs: DataFrame) -> dict:
     for place, n in seen.items():
         idf[place] = np.log((1 + total) / (1 + n)) + 1
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("drawn"))
-    sample = made.filter("place IS NULL").dropDuplicates(["lang", "drawn"]).withColumn("turn", turn).filter(F.col("turn") <= int(2 * each)).select("lang", "drawn", "at", "counts").collect()
-    if not sample:
+    rows = made.filter("place IS NULL").select("lang", "drawn", (F.length("at") + F.length("counts")).alias("bytes")).groupBy("lang", "drawn").agg(F.max("bytes").alias("bytes"))
+    rows = rows.withColumn("turn", turn).filter(F.col("turn") <= int(2 * each)).select("lang", "drawn", "bytes").toPandas()
+    if rows.empty:
         return empty
-    sample.sort(key=lambda r: (r.drawn, r.lang, bytes(r.at)))
-    langs = sorted({r.lang for r in sample})
+    rows = rows.sort_values(["drawn", "lang"], ignore_index=True)
+    rows["k"], rows["slice"] = rows.index, rows["bytes"].cumsum() // SLICE_BYTES
+    langs = sorted(set(rows["lang"]))
+    number, learnt, calibrates = {lang: k for k, lang in enumerate(langs)}, set(), np.zeros(len(rows), bool)
+    for k, lang in enumerate(rows["lang"]):
+        calibrates[k] = k % 5 == 4 and lang in learnt
+        learnt.add(lang)
+    places = docs.sparkSession.createDataFrame(pa.Table.from_pandas(rows[["lang", "drawn", "k", "slice"]], preserve_index=False))
+    sample = made.filter("place IS NULL").dropDuplicates(["lang", "drawn"]).join(F.broadcast(places), ["lang", "drawn"]).select("k", "slice", "at", "counts")
+    sample = written(sample, "language-slices")
+
+    def examples(calibrating: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Places, weights and language of the sampled documents, in order, read a slice at a time."""
+        for part in sorted(set(rows["slice"])):
+            found = sample.filter(F.col("slice") == int(part)).orderBy("k").toArrow()
+            for k, at, n in zip(found["k"].to_pylist(), found["at"], found["counts"], strict=True):
+                if calibrates[k] == calibrating:
+                    counts = np.zeros(DIMS, np.int64)
+                    counts[np.frombuffer(at.as_buffer(), "<i4")] = np.frombuffer(n.as_buffer(), "<i4")
+                    yield (*_vector(counts, idf), number[rows["lang"][k]])
+
     learner = Ftrl(len(langs), DIMS, alpha=1.0, l1=0.02, l2=0.01)
-    number, calibrating = {lang: k for k, lang in enumerate(langs)}, []
-    examples, learnt = [], set()
-    for k, r in enumerate(sample):
-        counts = np.zeros(DIMS, np.int64)
-        counts[np.frombuffer(r.at, "<i4")] = np.frombuffer(r["counts"], "<i4")
-        (calibrating if k % 5 == 4 and r.lang in learnt else examples).append((*_vector(counts, idf), number[r.lang]))
-        learnt.add(r.lang)
     for _ in range(EPOCHS):
-        for at, x, y in examples:
+        for at, x, y in examples(False):
             target = np.zeros(len(langs))
             target[y] = 1
             learner.learn(at, x, target)
     model = {"langs": langs, "idf": idf} | _sparse(learner)
-    logits = np.array([_logits(model, at, x) for at, x, _ in calibrating]).reshape(-1, len(langs))
-    return model | {"t": temperature(logits, np.array([y for *_, y in calibrating], int))}
+    told = [(_logits(model, at, x), y) for at, x, y in examples(True)]
+    logits = np.array([t[0] for t in told]).reshape(-1, len(langs))
+    return model | {"t": temperature(logits, np.array([t[1] for t in told], int))}
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -1,5 +1,7 @@
 """Trained operators: held-out accuracy on the given tables, edge cases, and what they must not depend on."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +222,16 @@ def test_temperature_flattens_overconfidence():
     labels = np.array([rng.choice(3, p=p) for p in softmax(logits)])
     assert temperature(5 * logits, labels) == pytest.approx(5, rel=0.2)
     assert temperature(logits[:0], labels[:0]) == 1.0
+
+
+def test_languages_in_slices(spark, monkeypatch):
+    """A sample that is read a document at a time gives the model that it gives whole; long texts and unlike languages."""
+    rng = random.Random(6)
+    words = {"xx": ["aba", "bab", "abba"], "yy": ["cec", "ece", "cecce"], "zz": ["éü", "üé", "ß"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(20_000 if k % 17 == 0 else 12)), lang) for k, lang in enumerate(list(words) * 30)]
+    docs = spark.createDataFrame([*rows, (1000, None, "xx"), (1001, "12", "yy"), (1002, "aba", None)], "doc_id long, text string, lang string")
+    whole = language_id.fit(docs)
+    monkeypatch.setattr(language_id, "SLICE_BYTES", 1)
+    sliced = language_id.fit(docs)
+    assert whole["langs"] == sliced["langs"] == ["xx", "yy", "zz"] and whole["t"] == sliced["t"]
+    assert all(np.array_equal(whole[k], sliced[k]) for k in ("idf", "ptr", "lang", "w", "b"))
