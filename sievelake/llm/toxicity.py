@@ -35,7 +35,7 @@ SHOUT = re.compile(r"!{2,}|\?!")
 MASKED = re.compile(r"\b\w+\*{2,}\w*")
 ADDRESS = re.compile(rf"\b(?:you|your|you're)\W+(?:\w+\W+){{0,3}}?(?:{'|'.join(sorted(PEOPLE | QUALITIES))})", re.IGNORECASE)
 
-LABELLED, MINED, EPOCHS = 5_000, 2_000, 3  # bounds: labelled documents fitted on, mined features; passes
+LABELLED, EPOCHS = 5_000, 3  # bound: labelled documents fitted on; passes
 SLICE = 256  # sampled documents whose features stand in memory at once
 DENSE = 100  # words of a text, of which one must have a beginning for it to be dense
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -194,7 +194,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mine(sample: DataFrame) -> np.ndarray:
-    """Sorted features that toxic examples of the sample have more often than chance explains; MINED of the strongest at most.
+    """Sorted features that toxic examples of the sample have more often than chance explains, however many; the classifier's penalty chooses among them.
 
     A feature of n examples, ``bad`` of them toxic, is kept if its log likelihood ratio against the overall share exceeds log(features) + 3, so that
     among all features a chance one is unlikely to pass. Near copies of an earlier example are left out: they would make each of their words look telling.
@@ -213,8 +213,7 @@ def mine(sample: DataFrame) -> np.ndarray:
     part = lambda n, p, q: F.when(n > 0, n * F.log(p / q)).otherwise(0.0)
     gain = part(F.col("bad"), rate, F.lit(share)) + part(good, 1 - rate, F.lit(1 - share))
     strong = counted.filter(rate > max(0.5, share)).withColumn("gain", gain).filter(F.col("gain") > float(np.log(max(counted.count(), 1)) + 3))
-    best = strong.orderBy(F.desc("gain"), "feature").limit(MINED).select("feature").toArrow()["feature"].to_numpy()
-    return np.sort(best.view(np.uint64))
+    return np.sort(strong.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
 
 
 def evidence(docs: DataFrame, values: np.ndarray, text: str = "text", named: tuple[str, str] = ("_hits", "_votes")) -> DataFrame:
