@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import SANITIZERS, TAINT_SINKS, TAINT_SOURCES
+from .rounds import FOLDED, kept
 
 
 def use_def(definitions: DataFrame, scope: str = "function") -> DataFrame:
@@ -89,6 +90,27 @@ def taint_summary(definitions: DataFrame, flows: DataFrame, source: str | None =
     return out.select(scope, F.coalesce("return_tainted", F.lit(False)).alias("return_tainted"), F.coalesce("sinks", F.array().cast("array<string>")).alias("sinks"), "summary_hash")
 
 
+def sinks_across_calls(flows: DataFrame, calls: DataFrame, scope: str = "function") -> DataFrame:
+    """scope, sink and calls: the sinks that unsanitized input of each function reaches, in itself (0) or through the least number of ``calls`` (src, dst, any more).
+
+    ``flows`` are those of ``taint_flows``. A summary goes from a function to those that call it, round by round from the innermost functions outward, so a
+    cycle of calls ends when none of its members learns of a new sink. Where ``calls`` has sanitized, such calls pass nothing on. A null function takes no part.
+    """
+    passing = calls.filter(~F.coalesce("sanitized", F.lit(False))) if "sanitized" in calls.columns else calls
+    passing = passing.select(F.col("dst").alias(scope), F.col("src").alias("_caller")).dropna().distinct()
+    found = news = kept(flows.filter("NOT sanitized").select(scope, "sink", F.lit(0).alias("calls")).dropna().distinct())
+    rounds = 0
+    while True:
+        rounds += 1
+        came = passing.join(news.select(scope, "sink"), scope).select(F.col("_caller").alias(scope), "sink").distinct()
+        news = kept(came.join(found.select(scope, "sink"), [scope, "sink"], "left_anti").withColumn("calls", F.lit(rounds)))
+        if news.isEmpty():
+            return found
+        found = found.unionByName(news)
+        if rounds % FOLDED == 0:
+            found = kept(found)
+
+
 def dominated_by_last(definitions: DataFrame, scope: str = "function") -> DataFrame:
     """The last definition of each variable, by id: the one that wins."""
     last = Window.partitionBy(scope, "variable").orderBy(F.desc("id"))

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CRITICAL_MODULES
-from .rounds import kept
-
-FOLDED = 16  # rounds after which the parts of a result become one
+from .rounds import FOLDED, kept
 
 
 def hops(edges: DataFrame, seeds: DataFrame, k: int, backward: bool = False, kind: str | None = "calls", undirected: bool = False) -> DataFrame:
@@ -35,6 +33,32 @@ def hops(edges: DataFrame, seeds: DataFrame, k: int, backward: bool = False, kin
     return found
 
 
+def chains(edges: DataFrame, seeds: DataFrame, k: int | None = None, backward: bool = True, kind: str | None = "calls") -> DataFrame:
+    """id, hop and chain of every node that a walk of 1 to ``k`` edges (of any number) from the ``seeds`` (id) reaches: chain is a shortest one, seed first.
+
+    Of several nodes one step nearer the least is a chain's last but one, so of equally short chains one is told, and reruns agree. A seed that a walk
+    returns to is found too, and every cycle ends where it meets what was found. A round joins the newest nodes alone and carries their chains on.
+    """
+    steps = edges if kind is None or "kind" not in edges.columns else edges.filter(F.col("kind") == kind)
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    steps = steps.select(F.col(a).alias("id"), F.col(b).alias("to")).dropna()
+    frontier = kept(seeds.select("id").distinct().select("id", F.array("id").alias("chain")))
+    found, hop = None, 0
+    while k is None or hop < k:
+        hop += 1
+        new = steps.join(frontier.select("id"), "id").groupBy("to").agg(F.min("id").alias("via"))
+        if found is not None:
+            new = new.join(found.select(F.col("id").alias("to")), "to", "left_anti")
+        before = frontier.select(F.col("id").alias("via"), "chain")
+        new = kept(new.join(before, "via").select(F.col("to").alias("id"), F.lit(hop).alias("hop"), F.concat("chain", F.array("to")).alias("chain")))
+        if new.isEmpty():
+            break
+        found, frontier = new if found is None else found.unionByName(new), new.select("id", "chain")
+        if hop % FOLDED == 0:
+            found = kept(found)
+    return frontier.limit(0).select("id", F.lit(0).alias("hop"), "chain") if found is None else found
+
+
 def named(nodes: DataFrame, name: str) -> DataFrame:
     """All nodes of a name: a name may be defined more than once."""
     return nodes.filter(F.col("name") == name).select("id")
