@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import change_queries as _changes  # noqa: F401
 from .plans import flow_queries as _flows  # noqa: F401
 from .plans import review_queries as _more  # noqa: F401  registers its queries
 from .plans import stream_queries as _streams  # noqa: F401
