@@ -10,6 +10,10 @@ What these links join need not be compared again, so groups of copies are done t
 compared: as rows in buckets of up to 32 classes; larger ones are cut into blocks by a hash, and each two blocks meet inside one task, array against
 array, first signatures alone; whole sets follow only for classes with a surviving pair there. What leaves such a task is a spanning forest of its
 links: fewer rows than it read. No pair is capped; a pair is left to the first band that it shares.
+
+Blocks cost n * n / BLOCK rows in a bucket of n unlike classes, which beyond FINE classes is more than to deal the bucket again: a pair then has to share a
+second, later band with the first, and meets in the bucket of both, in at most BANDS * n rows. A pair of similarity 0.8 shares fewer than two bands with
+probability 1.1e-6. What is still large is cut into blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ HASHES, BANDS, STEP = 128, 32, 16
 ROWS = HASHES // BANDS
 SMALL, BLOCK = 32, 4_096  # classes of a bucket whose pairs become rows; classes of a block
 TURNS, DRAWN, WORTH = 4, 4, 20  # turns in which buckets of several blocks meet drawn classes, so many each, while one class in WORTH finds a link
+FINE = 1 << 17  # classes of a bucket, beyond which it is dealt by a second band: n * n / BLOCK rows of blocks would be more than n * BANDS
 HELD = 1 << 21  # shingles of a block, so that long texts make smaller blocks
 MISS = 1e-9
 _RNG = np.random.default_rng(20_240_501)
@@ -214,7 +219,7 @@ def _tile(percent: int, miss: float, whole: bool):
     return links if whole else some
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: float = MISS, fine: int = FINE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text; other columns are not read).
 
     Rows are linked if their sets of ``width``-word shingles have ``percent`` per cent of their union in common. component_id is the smallest
@@ -252,6 +257,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, miss: fl
         opened = _opened(opened.drop("component"), roots)
         if not worth:
             break
+    huge = opened.filter(F.col("n") > fine)
+    if not huge.isEmpty():
+        opened = opened.filter(F.col("n") <= fine).unionByName(_finer(huge, chosen))
     if not opened.isEmpty():
         more = linked(_row_pairs(opened.filter(F.col("n") <= SMALL))).unionByName(_tile_links(opened.filter(F.col("n") > SMALL), chosen, sets, percent, miss))
         roots = written(components(roots.toDF("a", "b").unionByName(more)), "components")
@@ -274,6 +282,19 @@ def _opened(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return written(labelled.join(mixed, "key"), "open-buckets")
 
 
+def _finer(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``buckets`` dealt again, by the bucket and each later band, without buckets of one class or one component.
+
+    ``band`` stays the first that a pair shares, so that pairs are still left to it. The least class of the first bucket has met all of its own.
+    """
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    later = F.filter(F.transform(keys, lambda k, i: F.when(i > F.col("band"), F.xxhash64("key", k))), lambda k: k.isNotNull())
+    rows = buckets.join(classes.select("cid", "sig", "n_shingles"), "cid").withColumn("key", F.explode(later))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counts = counts.filter("n > 1 AND low <> high").drop("low", "high")
+    return written(rows.select("key", "band", "cid", "rep", "component").join(counts, "key").select(*buckets.columns), "finer-buckets")
+
+
 def _drawn_pairs(buckets: DataFrame, turn: int) -> DataFrame:
     """a and b, each pair once: the classes of a turn's bands with DRAWN classes of their bucket, drawn by hash, of other components."""
     own = buckets.filter(F.col("band") % (BANDS // 4) == turn)

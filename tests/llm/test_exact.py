@@ -258,6 +258,24 @@ def test_tiles_link_what_pairs_would(spark, monkeypatch):
         assert links <= pairs and reach(70, links) == reach(70, pairs) and len(links) > 20
 
 
+def test_huge_buckets_are_dealt_again(spark, monkeypatch):
+    """By a second band: components stay as they are, and unlike classes of one bucket leave no rows for blocks."""
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2**32, (3_000, near_dup.HASHES), dtype=np.uint32)
+    sig[:, : near_dup.ROWS] = 7  # all share band 0
+    sig[:40, 8:12] = sig[0, 8:12]  # some a later band too
+    classes = spark.createDataFrame([(k, bytearray(s.tobytes()), 50) for k, s in enumerate(sig)], "cid long, sig binary, n_shingles long")
+    cid = F.col("cid")
+    buckets = classes.select(F.lit(5).cast("long").alias("key"), F.lit(0).alias("band"), F.lit(3_000).alias("n"), F.lit(0).alias("rep"), "cid", cid.alias("component"), F.lit(150_000).alias("held"))
+    finer = near_dup._finer(buckets, classes)
+    assert finer.columns == buckets.columns and sorted(r.cid for r in finer.collect()) == list(range(40)) and finer.first().n == 40
+    assert near_dup._finer(buckets.withColumn("component", F.lit(1)), classes).count() == 0
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    near = near_dup.near_duplicates
+    monkeypatch.setattr(near_dup, "near_duplicates", lambda df: near(df, fine=3))
+    test_near_duplicates(spark)
+
+
 def reach(n, links):
     root = list(range(n))
     for _ in range(n):
