@@ -54,6 +54,7 @@ FOLDS = ("\u017f\u212a\u0130\u0131", "skii")
 def needles(pattern: str) -> frozenset[str] | None:
     """Lower-case strings of which any text that the pattern matches, lower-cased, holds one; None where none can be told."""
     from re import _parser as parser
+    from re import error
 
     def best(sets):
         sets = [s for s in sets if s]
@@ -77,7 +78,7 @@ def needles(pattern: str) -> frozenset[str] | None:
 
     try:
         return of(parser.parse(pattern))
-    except (ValueError, ArithmeticError, LookupError):
+    except (error, ValueError, ArithmeticError, LookupError):
         return None
 
 

@@ -1,12 +1,13 @@
-"""Queries of what changed between texts."""
+"""Queries of what changed between texts, and of searches by index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linediff, search
-from .queries import _BLANKS, _KEYWORDS, _S, _W, query
+from ..operators import linediff, search, trigrams
+from ..operators.rounds import scratch
+from .queries import _BLANKS, _KEYWORDS, _S, _W, ORACLE_SQL, query
 from .tables import table
 
 
@@ -54,3 +55,28 @@ def changed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = edits.withColumn("line_start", F.explode(F.sequence(F.lit(1), size, F.lit(5))))
     blocks = blocks.select("file", "line_start", F.least(F.col("line_start") + 4, size).alias("line_end"))
     return linediff.changed_definitions(blocks, linediff.line_script(edits)).select("file", "line_start")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
+    path = scratch(spark, "trigrams")
+    trigrams.trigram_index(texts).write.parquet(path)
+    return spark.read.schema("trigram string, file long").parquet(path), texts
+
+
+@query(ORACLE_SQL["pattern_search"])
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As pattern_search, over the documents alone that have the trigrams of one of its alternatives."""
+    return trigrams.search_indexed(*_index(spark, sf_dir), "licen[sc]e|copyright|permission")
+
+
+@query("""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents),
+has AS (SELECT *, (contains(t, 'lic') AND contains(t, 'ice') AND contains(t, 'cen')) OR (contains(t, 'cop') AND contains(t, 'opy') AND contains(t, 'pyr') AND contains(t, 'yri')
+AND contains(t, 'rig') AND contains(t, 'igh') AND contains(t, 'ght')) OR (contains(t, 'per') AND contains(t, 'erm') AND contains(t, 'rmi') AND contains(t, 'mis') AND contains(t, 'iss')
+AND contains(t, 'ssi') AND contains(t, 'sio') AND contains(t, 'ion')) AS candidate FROM d)
+SELECT count(*) AS files, count(*) FILTER (candidate) AS files_read FROM has""")
+def indexed_search_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents the search reads, of how many."""
+    index, texts = _index(spark, sf_dir)
+    found = trigrams.candidates(index, "licen[sc]e|copyright|permission")
+    return texts.agg(F.count("*").alias("files")).join(found.agg(F.count("*").alias("files_read")))  # two single rows

@@ -429,6 +429,13 @@ for _name in metrics.PERIODS:
     query(_period_sql(_name))(_period(_name))
 
 
+@query("SELECT CAST(date_trunc('month', ts) AS TIMESTAMP) AS period_start, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
+def merged_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month's exact percentiles from the states of its days and the values of three narrow ranges."""
+    out = metrics.exact_percentiles(table(spark, sf_dir, "events"), "ts", "value", "monthly", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return out.select(F.col("period_start").cast("timestamp_ntz").alias("period_start"), *[F.round(c, 4).alias(c) for c in out.columns[1:]])
+
+
 @query("""WITH f AS (SELECT page_id % 40 AS diff_id, url AS path, CASE WHEN page_id % 3 = 0 THEN 'Added' ELSE 'Modified' END AS change_type FROM pages)
 SELECT diff_id, CASE WHEN bool_and(suffix(path, '.md') OR suffix(path, '.rst') OR contains(path, 'docs/')) THEN 'Documentation'
 WHEN bool_and(contains(path, '.yml') OR contains(path, '.yaml') OR contains(path, '.toml') OR contains(path, '.json') OR contains(path, 'Dockerfile') OR
