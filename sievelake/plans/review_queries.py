@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import formats, types
 from ..functions import fixed_values as fixed
 from ..operators import dataflow, graph, judge, metrics, review, scan, search
-from ..sources import git, symbols, testsets
+from ..operators.rounds import scratch
+from ..sources import git, patches, symbols, testsets
 from ..streaming import state
 from .queries import _EDGES, _HITS, ORACLE_SQL, QUERIES, _text, query
 from .reviews import evaluate_samples as evaluate_samples_by
@@ -59,6 +60,20 @@ def review_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_findings(_submitted(spark, sf_dir)).select("diff_id", "file_path", "rule_id", "severity", "line_start", "snippet", "auto_fix_code")
 
 
+@query(f"""WITH {_FOUND_SQL}, {_PATH_SQL} SELECT p_partkey || '#1' AS diff_id, path AS file_path, rule_id, severity, CAST(line_start AS INT) AS line_start, code AS snippet, fix AS auto_fix_code
+FROM part JOIN found ON p_partkey % {len(_CODE)} = k JOIN paths USING (k) WHERE suffix(path, '.py')""")
+def review_of_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From bundles of patches to committed findings: read by path, reviewed, written and read back."""
+    patches.register(spark)
+    bundles, out = scratch(spark, "bundles"), scratch(spark, "findings")
+    patches.bundled(_submitted(spark, sf_dir), bundles)
+    read = spark.read.format("patches").load(bundles).filter(F.col("path").endswith(".py"))
+    submitted = read.select(F.concat_ws("#", "diff_id", "section").alias("diff_id"), "diff_content", "language")
+    found = review_findings(submitted).select("diff_id", "file_path", "rule_id", "severity", "line_start", "snippet", "auto_fix_code")
+    found.write.format("findings").mode("append").save(out)
+    return patches.read_findings(spark, out, found.schema)
+
+
 _SEVERITY_SUMS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}_count" for s in fixed.SEVERITIES)
 
 
