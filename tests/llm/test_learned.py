@@ -228,7 +228,7 @@ def test_languages_in_slices(spark, monkeypatch):
     """A sample that is read a document at a time gives the model that it gives whole; long texts and unlike languages."""
     rng = random.Random(6)
     words = {"xx": ["aba", "bab", "abba"], "yy": ["cec", "ece", "cecce"], "zz": ["éü", "üé", "ß"]}
-    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(20_000 if k % 17 == 0 else 12)), lang) for k, lang in enumerate(list(words) * 30)]
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(20_000 if k == 7 else 12)), lang) for k, lang in enumerate(list(words) * 6)]
     docs = spark.createDataFrame([*rows, (1000, None, "xx"), (1001, "12", "yy"), (1002, "aba", None)], "doc_id long, text string, lang string")
     whole = language_id.fit(docs)
     monkeypatch.setattr(language_id, "SLICE_BYTES", 1)
