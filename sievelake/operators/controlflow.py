@@ -84,23 +84,20 @@ def dominators(edges: DataFrame, entries: DataFrame, backward: bool = False) ->
     entries = entries.select("function", "block").dropna().distinct()
     blocks = steps.select("function", "block").unionByName(steps.select("function", F.col("to").alias("block"))).unionByName(entries).distinct()
     numbered = kept(_numbered(blocks, "block"))
-    words = kept(numbered.groupBy("function").agg(F.max("word").alias("_last")))
+    words = numbered.groupBy("function").agg(F.max("word").alias("_last"))
     own = numbered.withColumnRenamed("word", "_own").withColumnRenamed("bits", "_bit")
     whole = own.join(words, "function").withColumn("word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-    self_ = whole.select(*AT, F.when(F.col("word") == F.col("_own"), F.col("_bit")).otherwise(0).cast("long").alias("_self"))
-    self_ = kept(self_)
+    self_ = kept(whole.select(*AT, F.when(F.col("word") == F.col("_own"), F.col("_bit")).otherwise(0).cast("long").alias("_self")))
     inner = kept(steps.join(entries.select("function", F.col("block").alias("to")), ["function", "to"], "left_anti"))  # nothing takes from an entry's set
-    sets = changed = kept(self_.join(entries, ["function", "block"], "left_semi").withColumnRenamed("_self", "bits"))
-    while True:
+    sets = kept(self_.join(entries, ["function", "block"], "left_semi").select(*AT, F.col("_self").alias("bits"), F.lit(True).alias("fresh")))
+    while not (changed := sets.filter("fresh")).isEmpty():
         touched = inner.join(changed.select("function", "block").distinct(), ["function", "block"], "left_semi").select("function", "to").distinct()
         before = inner.join(touched, ["function", "to"], "left_semi").join(sets, ["function", "block"])
         shared = before.select("function", F.col("to").alias("block"), "word", "bits").groupBy(*AT).agg(F.bit_and("bits").alias("bits"))
-        new = shared.join(self_, AT).select(*AT, F.col("bits").bitwiseOR(F.col("_self")).alias("bits"))
-        old = sets.withColumnRenamed("bits", "_old")
-        changed = kept(new.join(old, AT, "left").filter("_old IS NULL OR _old <> bits").select(*AT, "bits"))
-        if changed.isEmpty():
-            return _members(sets, numbered, "dominator", "block")
-        sets = kept(sets.join(changed.select(*AT), AT, "left_anti").unionByName(changed))
+        new = shared.join(self_, AT).select(*AT, F.col("bits").bitwiseOR(F.col("_self")).alias("_new"))
+        news = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("bits"))
+        sets = kept(sets.join(new, AT, "full").select(*AT, F.coalesce("_new", "bits").alias("bits"), news.alias("fresh")))
+    return _members(sets.drop("fresh"), numbered, "dominator", "block")
 
 
 def immediate_dominators(dominated: DataFrame) -> DataFrame:

@@ -68,19 +68,25 @@ def test_reaching_along(spark):
 
 
 def dominated_by_removal(edges, entries, backward=False):
-    edges = [(f, b, a) if backward else (f, a, b) for f, a, b in whole(edges)]
+    after = {}
+    for f, a, b in whole(edges):
+        a, b = (b, a) if backward else (a, b)
+        after.setdefault((f, a), set()).add(b)
 
     def reached(f, without=None):
         met = {b for g, b in entries if g == f and b != without}
         work = list(met)
         while work:
-            at = work.pop()
-            new = {b for g, a, b in edges if (g, a) == (f, at) and b != without} - met
+            new = after.get((f, work.pop()), set()) - met - {without}
             met |= new
             work += new
         return met
 
-    return {(f, b, d) for f in {f for f, _ in entries} for b in reached(f) for d in {b} | {x for x in reached(f) if b not in reached(f, x)}}
+    out = set()
+    for f in {f for f, _ in entries}:
+        blocks = reached(f)
+        out |= {(f, b, b) for b in blocks} | {(f, b, x) for x in blocks for b in blocks - reached(f, x)}
+    return out
 
 
 def test_dominators(spark):
