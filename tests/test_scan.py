@@ -122,3 +122,17 @@ def test_a_rule_with_a_broken_pattern_is_left_out(spark):
         assert scan.scan_lines(lines, [broken]).count() == 0
     code = spark.createDataFrame([(["x a", "b"], "x")], "added_lines array<string>, language string")
     assert [(r.rule_id, r.line_start) for r in scan.scan_files(code, [fine]).collect()] == [("X-2", 1)]
+
+
+def test_many_rules(spark):
+    """The automaton finds what one rule after the other finds: null lines, rules without a common string, languages, letters beyond ASCII."""
+    rng = __import__("random").Random(4)
+    rules = scan.active_rules() + [dict(scan.RULE_DICTS[0], rule_id=f"X-{k}", pattern=p, language=rng.choice(["all", "python"])) for k, p in enumerate([rf"word{k}\s*\(" for k in range(120)] + ["[xy]{3}", "kelvin|pot", "a.b"])]
+    words = ["word7 (", "WORD77(", "xyx", "eval(", "\u212aelvin", "é", " ", "acb", "md5(", "verify=False", "password = 'abcdefghijklmnop'"]
+    lines = [(k, None if k == 5 else "".join(rng.choice(words) for _ in range(rng.randint(0, 5))), rng.choice(["python", "go", None])) for k in range(150)]
+    df = spark.createDataFrame(lines, "n long, line string, language string")
+    rows = lambda frame: sorted((r.n, r.rule_id, r.severity, r.title, r.line) for r in frame.collect())
+    found = scan.scan_lines_with_many(df, rules)
+    want = rows(scan.scan_lines(df, rules))
+    assert rows(found) == want and len(want) > 100 and found.columns == scan.scan_lines(df, rules[:2]).columns
+    assert scan.scan_lines_with_many(df, []).count() == 0 and scan.scan_lines_with_many(df.limit(0), rules).count() == 0
