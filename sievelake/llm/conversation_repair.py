@@ -31,6 +31,8 @@ BEFORE = ((), (), (START, SYSTEM, ASSISTANT), (USER,))  # the states from which
 ROLES = {USER: "user", ASSISTANT: "assistant"}
 KEPT = {"s": {START: SYSTEM}, "u": dict.fromkeys((START, SYSTEM, ASSISTANT), USER), "a": {USER: ASSISTANT}, "o": {}}
 LEGAL = ("su", "ua", "au")
+NO_TURN = -(2**63)  # a null turn
+GONE = "bd"  # marks of rows that must go: blank, said before; a truncated row is t, any other a full stop
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -118,7 +120,7 @@ def prepared(rows: DataFrame) -> DataFrame:
     text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
     end = F.rtrim(text, F.lit(SPACE))
     fault = F.when(end == "", 1).when(F.right(end, F.lit(1)).isin(".", "!", "?"), 0).otherwise(2)
-    keys = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("t")
+    keys = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN)).alias("t")
     return rows.select(*keys, role.alias("role"), F.unhex(F.sha2(text, 256)).alias("h"), text.alias("text"), fault.alias("fault"))
 
 
@@ -132,14 +134,20 @@ def judged(rows: DataFrame) -> DataFrame:
     return each.join(firsts.withColumn("is_first", F.lit(True)), keys, "left").fillna(False, ["is_first"]).withColumn("initial", initial)
 
 
-SEGMENTS = "c string, part int, chunk long, initials string, faults string, counts array<long>, turns array<long>, roles array<string>, digests array<binary>, illegal long, across array<long>"
+TALLIES = ("illegal", "blank", "duplicate", "truncated", "seen", "low", "high")  # of a segment; seen are its distinct turns, from low to high
+SEGMENT_KINDS = {
+    "c": pa.string(), "part": pa.int32(), "chunk": pa.int64(), "initials": pa.string(), "faults": pa.string(), "counts": pa.list_(pa.int64()), "turns": pa.list_(pa.int64()),
+    "roles": pa.list_(pa.string()), "digests": pa.list_(pa.binary()), "across": pa.list_(pa.int64()), **dict.fromkeys(TALLIES, pa.int64()),
+}
+SEGMENTS = "c string, part int, chunk long, initials string, faults string, counts array<long>, turns array<long>, roles array<string>, digests array<binary>, across array<long>, "
+SEGMENTS += ", ".join(f"{t} long" for t in TALLIES)
 
 
 def _symbols(initials: str, faults: str, counts: list[int]) -> tuple[str, list[int]]:
     """Symbols of the rows that may stay, and how many rows that must go stand before the first and after each."""
     symbols, gone = [], [0]
     for i, f, n in zip(initials, faults, counts, strict=True):
-        if f == "x":
+        if f in GONE:
             gone[-1] += n
         else:
             symbols.append(i.upper() if f == "t" else i)
@@ -147,30 +155,51 @@ def _symbols(initials: str, faults: str, counts: list[int]) -> tuple[str, list[i
     return "".join(symbols), gone
 
 
+def _with_deleted(edits: str, gone: list[int]) -> str:
+    """The edits of rows that may stay among those of rows that must go: these stand before anything that is inserted at their place."""
+    out, e = ["D" * gone[0]], 0
+    for n in gone[1:]:
+        begin, e = e, e + 1
+        while edits[e - 1] == "I":
+            e += 1
+        out.append(edits[begin:e] + "D" * n)
+    return "".join(out) + edits[e:]
+
+
+def _tallies(initials: str, faults: str, counts: list[int], turns: list[int]) -> tuple:
+    illegal = sum(n - 1 for n in counts) + sum(initials[k : k + 2] not in LEGAL for k in range(len(initials) - 1))
+    blank, again = (sum(n for n, f in zip(counts, faults, strict=True) if f == mark) for mark in GONE)
+    duplicate = again + sum(n - 1 for n, f in zip(counts, faults, strict=True) if f not in GONE)
+    told = [t for t in turns if t != NO_TURN]
+    return illegal, blank, duplicate, faults.count("t"), len(set(told)), *((told[0], told[-1]) if told else (None, None))
+
+
 def _cut(segment: int):
     """Segments of rows that come in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("c", pa.string()), ("part", pa.int32()), ("chunk", pa.int64()), ("initials", pa.string()), ("faults", pa.string()), ("counts", pa.list_(pa.int64())), ("turns", pa.list_(pa.int64())), ("roles", pa.list_(pa.string())), ("digests", pa.list_(pa.binary())), ("illegal", pa.int64()), ("across", pa.list_(pa.int64()))])
-        rows, done, chunk = [], [], 0
+        rows, done, held, chunk = [], [], 0, 0
 
         def closed():
-            initials, faults, counts = "".join(r[6] for r in rows), "".join(r[7] for r in rows), [r[5] for r in rows]
-            illegal = sum(n - 1 for n in counts) + sum(initials[k : k + 2] not in LEGAL for k in range(len(rows) - 1))
-            return (*rows[0][:2], chunk, initials, faults, counts, [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], illegal, list(_across(_symbols(initials, faults, counts)[0])))
+            (c, *_), (part, *_), turns, roles, hashes, counts, initials, faults = zip(*rows, strict=True)
+            initials, faults = "".join(initials), "".join(faults)
+            across = _across(_symbols(initials, faults, counts)[0])
+            return c, part, chunk, initials, faults, counts, turns, roles, hashes, across, *_tallies(initials, faults, counts, turns)
 
         def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+            arrays = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), SEGMENT_KINDS.values(), strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=list(SEGMENT_KINDS))
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("c", "part", "t", "role", "h", "n", "initial", "mark")), strict=True):
                 if rows and (rows[-1][0] != row[0] or len(rows) == segment):
                     done.append(closed())
+                    held += len(rows)
                     rows, chunk = [], chunk + 1
+                    if held >= SEGMENT:
+                        yield batch_of(done)
+                        done, held = [], 0
                 rows.append(row)
-            if len(done) > 64:
-                yield batch_of(done)
-                done = []
         if rows:
             done.append(closed())
         if done:
@@ -199,65 +228,64 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = []
         for i, f, n, ends, last in zip(*(batch.column(c).to_pylist() for c in ("initials", "faults", "counts", "ends", "last")), strict=True):
             symbols, gone = _symbols(i, f, n)
-            told.append((*_walks(symbols, tuple(ends), last), DELETE * sum(gone), i[0], i[-1]))
+            edits, to, costs = _walks(symbols, tuple(ends), last)
+            if any(gone):
+                edits = [_with_deleted(e, gone) if e or not symbols else e for e in edits]
+            told.append((edits, to, costs, DELETE * sum(gone), i[0], i[-1]))
         kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.string(), pa.string())
         more = [pa.array([t[k] for t in told], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("c", "part", "chunk", "illegal")), *more], names=["c", "part", "chunk", "illegal", "edits", "to", "costs", "forced", "head", "tail"])
+        own = ("c", "part", "chunk", *TALLIES)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *more], names=[*own, "edits", "to", "costs", "forced", "head", "tail"])
 
 
 def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments that come in order: the edits from the state in which the one before ended, the state, and what they add to cost and illegal pairs."""
-    before, state, tail = None, START, ""
+    """Of segments that come in order: the edits from the state in which the one before ended, the state, the cost, and what they add to the tallies."""
+    before, state, tail, last_turn = None, START, "", None
+    names = ("c", "edits", "to", "costs", "forced", "head", "tail", "illegal", "seen", "low", "high")
     for batch in batches:
         out = []
-        for c, illegal, edits, to, costs, forced, head, end in zip(*(batch.column(x).to_pylist() for x in ("c", "illegal", "edits", "to", "costs", "forced", "head", "tail")), strict=True):
+        for c, edits, to, costs, forced, head, end, illegal, seen, low, high in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
             first = c != before
             if first:
-                before, state = c, START
-            out.append((edits[state], state, forced + (costs[state] if first else 0), illegal + (not first and tail + head not in LEGAL)))
-            state, tail = to[state], end
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
-        more = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("c", "part", "chunk")), *more], names=["c", "part", "chunk", "edits", "state", "cost", "illegal"])
+                before, state, last_turn = c, START, None
+            pair, same = not first and tail + head not in LEGAL, low is not None and low == last_turn
+            out.append((edits[state], state, forced + (costs[state] if first else 0), illegal + pair, seen - same))
+            state, tail, last_turn = to[state], end, high
+        kinds = {"edits": pa.string(), "state": pa.int32(), "cost": pa.int64(), "illegal": pa.int64(), "seen": pa.int64()}
+        told = {x: pa.array([o[k] for o in out], kind) for k, (x, kind) in enumerate(kinds.items())}
+        order = ("c", "part", "chunk", *TALLIES, "edits", "state", "cost")
+        yield pa.RecordBatch.from_arrays([told[x] if x in told else batch.column(x) for x in order], names=list(order))
 
 
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of edits; each run of deleted rows that are equal is one row with its count."""
-    names = ["c", "part", "chunk", "at", "edit", "n", "t", "role", "h", "new_role"]
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+    """Rows of the turns that stay or are inserted."""
+    names = ["c", "part", "chunk", "at", "edit", "t", "role", "h", "new_role"]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string())
     columns = ("c", "part", "chunk", "initials", "faults", "counts", "turns", "roles", "digests", "edits", "state")
-    for batch in batches:
-        out = []
-        for k in range(batch.num_rows):
-            c, part, chunk, initials, faults, counts, turns, roles, digests, edits, state = (batch.column(x)[k].as_py() for x in columns)
-            at, e = 0, 0
-
-            def put(edit, n=1, row=None, new_role=None, place=(c, part, chunk)):
-                nonlocal at
-                out.append((*place, at, edit, n, *(row or (None, None, None)), new_role))
-                at += 1
-
-            def inserts():
-                nonlocal e, state
-                while e < len(edits) and edits[e] == "I":
-                    state, e = TURN[state], e + 1
-                    put("I", new_role=ROLES[state])
-
-            for i, f, n, *row in zip(initials, faults, counts, turns, roles, digests, strict=True):
-                if f == "x":
-                    put("D", n, row)
-                    continue
-                inserts()
-                edit, e = edits[e], e + 1
-                if edit == "R":
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 1_024):  # as many segments stand in memory
+            batch, out = whole.slice(begin, 1_024), []
+            for c, part, chunk, initials, faults, counts, turns, roles, digests, edits, state in zip(*(batch.column(x).to_pylist() for x in columns), strict=True):
+                e = 0
+                for i, f, n, *row in zip(initials, faults, counts, turns, roles, digests, strict=True):
+                    if f in GONE:
+                        e += n
+                        continue
+                    while edits[e] == "I":
+                        state = TURN[state]
+                        out.append((c, part, chunk, e, "I", None, None, None, ROLES[state]))
+                        e += 1
+                    if edits[e] == "R":
+                        state = TURN[state]
+                        out.append((c, part, chunk, e, "R", *row, ROLES[state]))
+                    elif edits[e] == "K":
+                        state = KEPT[i][state]
+                        out.append((c, part, chunk, e, "K", *row, row[1]))
+                    e += n  # of equal rows all but the first go
+                for at in range(e, len(edits)):
                     state = TURN[state]
-                elif edit == "K":
-                    state = KEPT[i][state]
-                put(edit, 1, row, {"K": row[1], "R": ROLES.get(state)}.get(edit))
-                if n > 1:
-                    put("D", n - 1, row)
-            inserts()
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=names)
+                    out.append((c, part, chunk, at, "I", None, None, None, ROLES[state]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def repair(rows: DataFrame, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
@@ -270,7 +298,7 @@ def repair(rows: DataFrame, segment: int = SEGMENT) -> tuple[DataFrame, DataFram
     can't stay. Equal rows count each, and all but the first are duplicates; they are one row with a count on the way. Other columns are not read. No rows give none.
     """
     given = prepared(rows)
-    marks = F.when((F.col("fault") == 1) | ~F.col("is_first"), "x").when(F.col("fault") == 2, "t").otherwise(".")
+    marks = F.when(F.col("fault") == 1, "b").when(~F.col("is_first"), "d").when(F.col("fault") == 2, "t").otherwise(".")
     each = judged(given).withColumn("mark", marks)
     order = ["c", "t", "role", "h"]
     dealt = each.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
@@ -278,31 +306,25 @@ def repair(rows: DataFrame, segment: int = SEGMENT) -> tuple[DataFrame, DataFram
 
     last_first = segments.select("c", "part", "chunk", "across").repartition("c").sortWithinPartitions("c", F.desc("part"), F.desc("chunk"))
     ends = last_first.mapInArrow(_backward, "part int, chunk long, ends array<long>, last boolean")
-    walks = segments.select("c", "part", "chunk", "initials", "faults", "counts", "illegal").join(ends, ["part", "chunk"])
-    walks = walks.mapInArrow(_walked, "c string, part int, chunk long, illegal long, edits array<string>, to array<int>, costs array<long>, forced long, head string, tail string")
+    walks = segments.select("c", "part", "chunk", "initials", "faults", "counts", *TALLIES).join(ends, ["part", "chunk"])
+    tallies = ", ".join(f"{t} long" for t in TALLIES)
+    walks = walks.mapInArrow(_walked, f"c string, part int, chunk long, {tallies}, edits array<string>, to array<int>, costs array<long>, forced long, head string, tail string")
     in_order = walks.repartition("c").sortWithinPartitions("c", "part", "chunk")
-    chosen = written(in_order.mapInArrow(_forward, "c string, part int, chunk long, edits string, state int, cost long, illegal long"), "edits")
+    chosen = written(in_order.mapInArrow(_forward, f"c string, part int, chunk long, {tallies}, edits string, state int, cost long"), "edits")
 
     whole = segments.join(chosen.select("part", "chunk", "edits", "state"), ["part", "chunk"])
-    edits = written(whole.mapInArrow(_expanded, "c string, part int, chunk long, at long, edit string, n long, t long, role string, h binary, new_role string"), "turn-edits")
-
-    n, blank = F.col("n"), F.col("fault") == 1
-    turn = F.when(F.col("t") > -(2**63), F.col("t"))
-    counts = each.groupBy("c").agg(
-        F.sum(F.when(blank, n).otherwise(0)).alias("blank"), F.sum(F.when(blank, 0).when(F.col("is_first"), n - 1).otherwise(n)).alias("duplicate"),
-        F.sum(F.when(F.col("is_first") & (F.col("fault") == 2), 1).otherwise(0)).alias("truncated"), (F.max(turn) - F.min(turn) + 1).alias("span"),
-    )
-    turns = each.groupBy("c", "t").agg(F.lit(1)).groupBy("c").agg(F.sum(F.when(turn.isNotNull(), 1).otherwise(0)).alias("turns"))
-    pieces = edits.groupBy("c", "part", "chunk").agg(F.sort_array(F.collect_list(F.struct("at", F.repeat("edit", F.col("n").cast("int")).alias("e")))).alias("own"))  # of one segment
-    pieces = pieces.select("c", F.struct("part", "chunk", F.array_join(F.transform("own", lambda x: x["e"]), "").alias("e")).alias("piece"))
-    audits = pieces.groupBy("c").agg(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["e"]), "").alias("audit"))  # as long as the audit
-    sums = chosen.groupBy("c").agg(F.sum("cost").alias("cost"), F.sum("illegal").alias("illegal"))
-    told = counts.join(turns, "c").join(sums, "c").join(audits, "c").withColumn("gaps", F.coalesce(F.col("span") - F.col("turns"), F.lit(0)))
+    edits = written(whole.mapInArrow(_expanded, "c string, part int, chunk long, at long, edit string, t long, role string, h binary, new_role string"), "turn-edits")
+
+    audit = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "chunk", "edits"))), lambda x: x["edits"]), "")  # as long as the audit
+    gaps = F.coalesce(F.max("high") - F.min("low") + 1 - F.sum("seen"), F.lit(0))
+    sums = [F.sum(x).alias(x) for x in ("blank", "duplicate", "truncated", "illegal", "cost")]
+    told = chosen.groupBy("c").agg(gaps.alias("gaps"), *sums, audit.alias("audit"))
 
+    turn = F.when(F.col("t") > NO_TURN, F.col("t"))
     texts = given.groupBy("c", "t", "role", "h").agg(F.first("text").alias("text"))
     stay = edits.filter("edit IN ('K', 'R')").join(texts, order).select("c", "part", "chunk", "at", "edit", turn.alias("turn"), "role", "new_role", "text")
     added = edits.filter("edit = 'I'").select("c", "part", "chunk", "at", "edit", F.lit(None).cast("long").alias("turn"), "role", "new_role", F.lit("").alias("text"))
-    return told.select("c", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"), stay.unionByName(added)
+    return told, stay.unionByName(added)
 
 
 def digests(turns: DataFrame) -> DataFrame:
