@@ -207,12 +207,44 @@ def git_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT s_name AS file, unnest([1, 2, 3]) AS line, left(unnest([sha1(s_name), sha1('x' || s_name), sha1(s_name)]), 8) AS "commit", unnest([s_name, 'Eve',
 s_name]) AS author, unnest([s_suppkey, s_suppkey + 60, s_suppkey]) AS seconds FROM supplier""")
 def git_blame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blamed(spark, sf_dir).select("file", "line", "commit", "author", F.unix_timestamp("time").alias("seconds"))
+
+
+def _blamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A commit that is told once and has lines before and after another's."""
     one, two, at = F.sha1("s_name"), F.sha1(F.concat(F.lit("x"), "s_name")), F.col("s_suppkey")
     told = lambda author, time: F.concat(F.lit("\nauthor "), author, F.lit("\nauthor-time "), time.cast("string"), F.lit("\nsummary x"))
     text = F.concat(one, F.lit(" 1 1 1"), told(F.col("s_name"), at), F.lit("\n\ta = 1\n"), two, F.lit(" 1 2 1"), told(F.lit("Eve"), at + 60), F.lit("\n\tb = 2\n"), one, F.lit(" 2 3 1\n\tc = 3\n"))
-    blamed = git.blame(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("file"), text.alias("text")))
-    return blamed.select("file", "line", "commit", "author", F.unix_timestamp("time").alias("seconds"))
+    return git.blame(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("file"), text.alias("text")))
+
+
+@query("""SELECT DISTINCT s_name AS file, l_linenumber AS line, left(CASE l_linenumber WHEN 2 THEN sha1('x' || s_name) ELSE sha1(s_name) END, 8) AS "commit",
+CASE l_linenumber WHEN 2 THEN 'Eve' ELSE s_name END AS author FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <= 3""")
+def blamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who wrote the lines that items point at: each is told once however many items there are, and those beyond a file's end are left out."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("file"))
+    wanted = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("line")).distinct().join(suppliers, "l_suppkey")
+    return git.blame_lines(wanted, _blamed(spark, sf_dir)).select("file", "line", "commit", "author")
+
+
+_ANNOTATIONS, _TYPES = ("int", "float64", "str", "boolean", "nil"), "['Int', 'Float', 'String', 'Bool', 'Null']"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, {_TYPES} AS y, c_custkey % 5 + 1 AS i, c_custkey // 5 % 5 + 1 AS j, c_custkey // 25 % 5 + 1 AS k, c_custkey // 125 % 3 AS form FROM customer),
+u AS (SELECT c_custkey, form, CASE form WHEN 0 THEN 'Optional[' || y[i] || ']' WHEN 1 THEN 'Union[' || y[i] || ', ' || y[j] || ']' ELSE 'Union[Optional[' || y[i] || '], ' || y[j] || ']' END AS a,
+y[k] AS b, y[i] = y[k] AS first, y[j] = y[k] OR (y[j] IN ('Int', 'Float') AND y[k] IN ('Int', 'Float')) AS second, y[i] IN ('Int', 'Float') AND y[k] IN ('Int', 'Float') AS numbers FROM t)
+SELECT c_custkey, a, b, CASE form WHEN 0 THEN first OR b = 'Null' WHEN 1 THEN first OR numbers OR second ELSE first OR b = 'Null' OR second END AS compatible FROM u""")
+def type_compat_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional types, unions, and unions of optional types against plain ones, from either side."""
+    key, known = F.col("c_custkey"), F.array(*map(F.lit, _ANNOTATIONS))
+    i, j, k = (F.get(known, (F.floor(key / n) % 5).cast("int")) for n in (1, 5, 25))
+    form = F.floor(key / 125) % 3
+    a = F.when(form == 0, F.concat(F.lit("Optional["), i, F.lit("]"))).when(form == 1, F.concat(F.lit("Union["), i, F.lit(","), j, F.lit("]")))
+    a = a.otherwise(F.concat(F.lit("Union[Optional["), i, F.lit("], "), j, F.lit("]")))
+    typed = table(spark, sf_dir, "customer").select("c_custkey", types.annotation_type(a).alias("a"), types.annotation_type(k).alias("b"))
+    turned = F.col("c_custkey") % 2 == 0
+    left, right = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    return typed.withColumn("compatible", types.types_compatible(left, right))
 
 
 @query("""SELECT left(sha1(c_name), 8) AS hash, c_name AS author, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '@x' ELSE '' END AS email, '' AS date, '' AS subject FROM customer""")

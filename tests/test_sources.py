@@ -16,6 +16,9 @@ def test_blame(spark):
     assert got == [(1, "aaaaaaaa", "Ann", "1970-01-02T00:00:00"), (2, "aaaaaaaa", "Ann", "1970-01-02T00:00:00"), (3, "bbbbbbbb", "Bo", "1970-01-01T00:00:00")]
     wanted = spark.createDataFrame([("f", 2), ("f", 9)], "file string, line int")
     assert git.blame_lines(wanted, git.blame(df)).count() == 1
+    odd = spark.createDataFrame([("f", 1), ("f", 1), ("f", 99), ("f", None), (None, 1), ("h", 1)], "file string, line int")
+    assert [r.line for r in git.blame_lines(odd, git.blame(df)).collect()] == [1]  # repeats are told once, what has no blame not at all
+    assert git.blame_lines(odd.limit(0), git.blame(df)).count() == git.blame_lines(odd, git.blame(df.limit(0))).count() == 0
 
 
 def test_logs(spark):
