@@ -2,7 +2,8 @@
 
 Votes are +1, -1 or 0 (no vote). Given the label, the votes form a tree: each voter's vote depends on the label and on one other voter's, the tree of the
 greatest conditional mutual information, so that voters who copy each other count once. Class balance, tables and tree are estimated by expectation-maximisation over
-counts of vote patterns, rows with a known label keeping it. With V voters there are at most 3^V patterns, however many rows were voted on.
+counts of vote patterns, rows with a known label keeping it. Where both labels are known, the rows without one weigh together no more than those with one: many more of them would settle
+on two classes of their own, whatever the labels say. With V voters there are at most 3^V patterns, however many rows were voted on.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ class LabelModel:
     def __init__(self, patterns: np.ndarray, known: np.ndarray, counts: np.ndarray, rounds: int = 25, smooth: float = 0.5):
         self.voters = patterns.shape[1]
         v, counts = patterns.astype(int) + 1, counts.astype(float)
+        told = known >= 0
+        if len(np.unique(known[told])) == 2:
+            counts = np.where(told, counts, counts * min(1.0, counts[told].sum() / max(counts[~told].sum(), 1e-12)))
         lean = patterns.sum(1)
         # votes are believed a little at first, and that most rows without one are clean
-        p = np.where(known >= 0, known, np.where(lean > 0, 0.85, np.where(lean < 0, 0.02, 0.05))).astype(float)
+        p = np.where(told, known, np.where(lean > 0, 0.85, np.where(lean < 0, 0.02, 0.05))).astype(float)
         for _ in range(rounds):
             weight = np.stack([(1 - p) * counts, p * counts], 1)
             self._fit(v, weight, smooth)
-            p = np.where(known >= 0, known, self.posterior(patterns))
+            p = np.where(told, known, self.posterior(patterns))
 
     def _fit(self, v: np.ndarray, weight: np.ndarray, smooth: float) -> None:
         n, each = self.voters, [np.eye(STATES)[v[:, j]] for j in range(self.voters)]

@@ -193,6 +193,18 @@ def test_toxicity_repeated_ids(spark, tables):
     assert len(runs[0]) == hot.count() and runs[0] == runs[1]
 
 
+#: Votes as the label model gets them, rows; each pattern's rows are all clean, or all toxic. Patterns of a table with a tenth of its rows labelled.
+CLEAN = {"0000000000000-": 31828, "00+00000000000": 4345, "00000000000+00": 1838, "00000000+0+000": 1590, "00+0+000000000": 1422, "0000+000000000": 1405, "000000000+0000": 1302, "0+00+000000000": 358, "00+000+0000000": 260, "0+000000000000": 208}
+TOXIC = {"++00++0+000000": 2456, "000+++++000000": 960, "00++++++000000": 729, "++00++++000000": 364, "000+++++000+00": 247, "000+++0+000+00": 90}
+MANY = [(np.array(["-0+".index(c) - 1 for c in v]), n, int(v in TOXIC)) for v, n in (CLEAN | TOXIC).items()]
+
+
+def test_many_unlabelled_rows_do_not_outvote_labels():
+    votes, counts, label = (np.array(x) for x in zip(*MANY, strict=True))
+    m = LabelModel(np.vstack([votes, votes]), np.concatenate([np.full(len(votes), -1), label]), np.concatenate([counts, counts // 10]))
+    assert ((m.posterior(votes) > 0.5) == (label == 1)).all()
+
+
 def test_label_model_recovers_accuracies_and_correlation():
     rng = np.random.default_rng(1)
     y = rng.random(40_000) < 0.2
