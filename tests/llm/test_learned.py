@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sievelake.llm import language_id, toxicity
@@ -205,6 +206,16 @@ def test_many_unlabelled_rows_do_not_outvote_labels():
     assert ((m.posterior(votes) > 0.5) == (label == 1)).all()
 
 
+def test_toxicity_of_kinds_without_lexicon_words_is_learnt():
+    packed = lambda v: bytes((v + 1).tolist())
+    place = lambda v: np.flatnonzero(v[3:7] == 1).astype("<i4")
+    sample = [(place(v).tobytes(), packed(v), y) for v, n, y in MANY for _ in range(n // 10)]
+    sample = [sample[k] for k in np.random.default_rng(4).permutation(len(sample))]
+    model = toxicity.fit_sample(np.arange(4, dtype=np.uint64), sample, [Row(_votes=packed(v), n=n) for v, n, _ in MANY])
+    margin = [toxicity._margin(model, place(v), v) for v, *_ in MANY]
+    assert toxicity._decided(np.array(margin), 0.3)[1].to_pylist() == [y for *_, y in MANY]
+
+
 def test_label_model_recovers_accuracies_and_correlation():
     rng = np.random.default_rng(1)
     y = rng.random(40_000) < 0.2
