@@ -38,8 +38,10 @@ LEVEL = 3
 SAMPLE_DOCS, PIECE, PIECES, DICTIONARY_BYTES = 2_000, 4_096, 4_000, 65_536  # bounds of what the dictionary is trained on
 RANGE_BYTES = 64 << 20  # text of a shard, about
 KEPT = 800_000  # remembered chunks of a worker
-#: A word of letters below U+0250, then marks: its two pre-tokens are known without the pattern.
-PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+#: Letters below U+0250, digits and marks of ASCII; over these and line feeds the byte-level pattern is PRE_TOKENS.
+_LETTERS, _MARKS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
+KNOWN = re.compile(rf" ?[{_LETTERS}0-9{_MARKS}][{_LETTERS}0-9{_MARKS}\n]*")
+PRE_TOKENS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n+(?!\S)|\n+")
 SHARDS = "_shards"
 
 
@@ -74,27 +76,25 @@ class IdEncoder:
         self.code = "H" if self.width == 2 else "I"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_spaces = "ByteLevel(add_prefix_space=False" in repr(self.tokenizer.pre_tokenizer) and "use_regex=True" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        self.first, self.later = _Ids(self.whole, "", KEPT // 20), _Ids(self.chunk, " ", KEPT)
+        self.first, self.later, self.pieces = _Ids(self.chunk, "", KEPT // 20), _Ids(self.chunk, " ", KEPT), _Ids(self.piece, "", KEPT // 2)
         # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from U+0100 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in own)
         self.alphabet = dict(zip(own, own, strict=True)) | {b: 256 + k for k, b in enumerate(rest)}
         self.merge = self.tokenizer.model.tokenize
-        self.marks: dict[str, list[int]] = {"": []}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        """Ids of a space and a word: by the library's model where the pre-tokens are plain, which spares its pattern."""
-        plain = PLAIN.fullmatch(chunk, 1)
-        if not plain:
+        """Ids of a chunk, led by its space if it has one: where its pre-tokens are known, each by the library's model once, which spares its pattern."""
+        if not KNOWN.fullmatch(chunk):
             return self.whole(chunk)
-        word, marks = plain.groups()
-        ids = [t.id for t in self.merge((" " + word).encode().decode("latin-1").translate(self.alphabet))]
-        if marks not in self.marks:
-            self.marks[marks] = [t.id for t in self.merge(marks)]
-        return array(self.code, ids + self.marks[marks]).tobytes()
+        return b"".join(map(self.pieces.__getitem__, PRE_TOKENS.findall(chunk)))
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        return array(self.code, [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:

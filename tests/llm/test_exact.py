@@ -69,6 +69,19 @@ def test_token_files(spark, odd_texts, tmp_path):
     assert [r.start for r in sorted(twice, key=lambda r: r.start)] == [0, 2, 4] and {r.doc_id for r in twice} == {1, None}
 
 
+def test_ids_of_known_pre_tokens_spare_the_pattern(monkeypatch):
+    library, rng = Tokenizer.from_file(BPE), random.Random(9)
+    want = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    parts = ["\n", "\n\n", " ", "'", "'s", "'ll", "12", "x", "Straße", "é", ",", ".", "|", "@", "word", "\u024f"]
+    known = ["one two.\nthree 4567|x@y.z don't 's\n\nend ", *("a" + "".join(w if w != " " else " b" for w in rng.choices(parts, k=30)) for _ in range(500))]
+    odd = ["".join(rng.choices([*parts, "\t", "\r\n", "\u00a0", "\u00b5", "ω", "²", "\x1c", "🙂"], k=30)) for _ in range(500)]
+    encoder = token_output.IdEncoder(BPE)
+    assert all(encoder.encode(t) == want(t) for t in known + odd)
+    monkeypatch.setattr(token_output.IdEncoder, "whole", None)
+    encoder = token_output.IdEncoder(BPE)
+    assert encoder.encode("one two.\nthree 4567|x@y.z don't 's\n\nend") == want("one two.\nthree 4567|x@y.z don't 's\n\nend")
+
+
 def brute_mix(rows):
     sizes = [len(WORD.findall(t or "")) for _, t, _ in rows]
     sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
