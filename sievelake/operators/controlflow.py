@@ -1,7 +1,8 @@
-"""Fixpoints over control flow as tables: which definitions reach a block, and which blocks stand on every path to it.
+"""Which definitions reach a block along control flow, and which blocks stand on every path to it.
 
-Sets are bitmaps, 64 members a row (function, block, word, bits), so that a round is one join along the edges and one bitwise aggregation with
-partial sums before the shuffle; a function of any size is spread over tasks. Rounds pass on what the round before changed alone, are kept, and end when
+Functions are dealt to tasks, each of which solves many at once (``flowtasks``): one shuffle of the definitions and edges, no rounds. A function too large for
+a task is spread over tasks, as a fixpoint on tables. There sets are bitmaps, 64 members a row (function, block, word, bits), so that a round is one join
+along the edges and one bitwise aggregation with partial sums before the shuffle; rounds pass on what the round before changed alone, are kept, and end when
 nothing changes: as many as the longest way that a fact has to go.
 """
 
@@ -9,10 +10,65 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from . import flowtasks
 from .rounds import kept
 
 AT = ["function", "block", "word"]
+BUCKETS = 1 << 16
+STEPS = 1 << 21  # edges and entries of a function, at most, whose dominators one task finds
+
+
+def _large(rows: DataFrame, most: int) -> DataFrame | None:
+    """The functions with more than ``most`` rows, None if there are none. Functions are counted only where all of a bucket together have more."""
+    bucketed = rows.select("function", F.pmod(F.xxhash64("function"), F.lit(BUCKETS)).alias("_bucket"))
+    full = [r[0] for r in bucketed.groupBy("_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("_bucket").collect()]
+    if not full:
+        return None
+    some = rows.sparkSession.createDataFrame([(b,) for b in full], "_bucket long")
+    large = kept(bucketed.join(F.broadcast(some), "_bucket", "left_semi").groupBy("function").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("function"))
+    return None if large.isEmpty() else large
+
+
+def _together(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Both as one table, null where one lacks a column. Spark 4.1.2 takes a union of tables that are dealt by function for dealt so itself, even where it has joined the partitions of
+    each differently, so that a function's rows stay apart; an expression in place of the column is not taken for dealt."""
+    hidden = F.greatest("function", "function")
+    return one.withColumn("function", hidden).unionByName(other.withColumn("function", hidden), allowMissingColumns=True)
+
+
+def _alike(rows: DataFrame) -> DataFrame:
+    """``rows`` with block and to of one type, that which holds both."""
+    kind = rows.select("block").union(rows.select("to")).schema["block"].dataType
+    return rows.withColumns({name: F.col(name).cast(kind) for name in ("block", "to")})
+
+
+def _dealt_out(rows: DataFrame) -> DataFrame:
+    """Each function's rows in one partition. By a hash, as a join below a union (see ``_together``) lets the functions pass for dealt already."""
+    return rows.repartition(F.xxhash64("function"))
+
+
+def _solved(rows: DataFrame, order: list[str], solve, columns: dict[str, str]) -> DataFrame:
+    """What ``solve`` finds in the rows of whole functions; ``columns``: its names, each with the column of ``rows`` whose type it has."""
+    made = StructType([StructField(name, rows.schema[of].dataType) for name, of in columns.items()])
+    return _dealt_out(rows).sortWithinPartitions(*order).mapInArrow(solve, made)
+
+
+def _others(rows: DataFrame, large: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(large), "function", "left_anti")
+
+
+def _those(rows: DataFrame, large: DataFrame) -> DataFrame:
+    return _dealt_out(rows.join(F.broadcast(large), "function", "left_semi"))
+
+
+def _dealt(rows: DataFrame, most: int, order: list[str], solve, columns: dict[str, str], in_rounds) -> DataFrame:
+    """What ``solve`` finds, and what ``in_rounds`` makes of the rows of functions with more than ``most``."""
+    large = _large(rows, most)
+    if large is None:
+        return _solved(rows, order, solve, columns)
+    return _solved(_others(rows, large), order, solve, columns).unionByName(in_rounds(_those(rows, large)))
 
 
 def _numbered(members: DataFrame, order: str) -> DataFrame:
@@ -73,15 +129,35 @@ def reaching_along(definitions: DataFrame, edges: DataFrame) -> tuple[DataFrame,
     return _members(known, numbered, "id", "id"), _members(_or(through.unionByName(gen)), numbered, "id", "id")
 
 
-def dominators(edges: DataFrame, entries: DataFrame, backward: bool = False) -> DataFrame:
+def _paths(edges: DataFrame, entries: DataFrame, backward: bool) -> DataFrame:
+    """function, block, to: the edges in the order that they are followed; without block, to is an entry."""
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    steps = edges.select("function", F.col(a).alias("block"), F.col(b).alias("to")).dropna()
+    return _alike(_together(steps, entries.select("function", F.col("block").alias("to")).dropna()))
+
+
+def dominators(edges: DataFrame, entries: DataFrame, backward: bool = False, most: int = STEPS) -> DataFrame:
     """function, block and dominator: the blocks on every path from the entry of a function (``entries``: function, block) to each block that it reaches.
 
-    A block dominates itself. ``backward`` follows ``edges`` (function, src, dst) from dst to src: with exits for entries these are the post-dominators. Sets
-    only shrink: the entry's is itself, any other's is itself and what all blocks before it that have a set share. A function may have several entries.
+    A block dominates itself. ``backward`` follows ``edges`` (function, src, dst) from dst to src: with exits for entries these are the post-dominators. A
+    function may have several entries. The dominators of a block are those above it in the tree of nearest ones (``dominator_tree``), so no set of them is held.
+    A function with more than ``most`` edges and entries goes through rounds.
     """
-    a, b = ("dst", "src") if backward else ("src", "dst")
-    steps = edges.select("function", F.col(a).alias("block"), F.col(b).alias("to")).dropna().distinct()
-    entries = entries.select("function", "block").dropna().distinct()
+    paths = _paths(edges, entries, backward)
+    return _dealt(paths, most, ["function"], flowtasks.all_dominators, {"function": "function", "block": "to", "dominator": "to"}, _dominators_in_rounds)
+
+
+def dominator_tree(edges: DataFrame, entries: DataFrame, backward: bool = False, most: int = STEPS) -> DataFrame:
+    """function, block and idom, its nearest other dominator, null for an entry: what ``immediate_dominators`` makes of ``dominators``, without the pairs."""
+    paths = _paths(edges, entries, backward)
+    spread = lambda large: immediate_dominators(_dominators_in_rounds(large))
+    return _dealt(paths, most, ["function"], flowtasks.nearest_dominators, {"function": "function", "block": "to", "idom": "to"}, spread)
+
+
+def _dominators_in_rounds(paths: DataFrame) -> DataFrame:
+    """Sets only shrink: the entry's is itself, any other's is itself and what all blocks before it that have a set share."""
+    paths = kept(paths.distinct())
+    steps, entries = paths.dropna(), paths.filter("block IS NULL").select("function", F.col("to").alias("block"))
     blocks = steps.select("function", "block").unionByName(steps.select("function", F.col("to").alias("block"))).unionByName(entries).distinct()
     numbered = kept(_numbered(blocks, "block"))
     words = numbered.groupBy("function").agg(F.max("word").alias("_last"))

@@ -86,7 +86,7 @@ def _nation_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def immediate_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each block the nearest other one that every path from the entry goes through."""
     entries = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("function"), F.lit(1).cast("long").alias("block")).distinct()
-    return controlflow.immediate_dominators(controlflow.dominators(_nation_flow(spark, sf_dir), entries)).filter("idom IS NOT NULL")
+    return controlflow.dominator_tree(_nation_flow(spark, sf_dir), entries).filter("idom IS NOT NULL")
 
 
 _BACKWARD = _DOMINATES.replace("1 AS block FROM top", "last AS block FROM top").replace("f.gone, s.dst FROM free f JOIN steps s ON s.function = f.function AND s.src = f.block WHERE s.dst <> f.gone", "f.gone, s.src FROM free f JOIN steps s ON s.function = f.function AND s.dst = f.block WHERE s.src <> f.gone")
