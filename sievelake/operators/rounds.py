@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 FOLDED = 16  # rounds after which the parts of a result become one
+NO_SIZE = 1 << 128  # bytes, more than any table has
 
 
 def _ensure(spark: SparkSession) -> None:
@@ -26,7 +27,12 @@ def kept(df: DataFrame) -> DataFrame:
     The folder is that of spark.checkpoint.dir. Where the session has none, a local master gets a temporary one; elsewhere that is an error.
     """
     _ensure(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    plan = out._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() < NO_SIZE:
+        return out
+    # a join's estimated size is the product of its sides', and a checkpoint hands it on: over rounds its digits double each time until they fill the driver
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), df.sparkSession)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

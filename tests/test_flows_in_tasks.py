@@ -36,6 +36,15 @@ def test_dominator_tree_is_of_the_sets(spark):
         assert all(sets[f, b] - {b} == (sets[f, d] if d is not None else set()) for f, b, d in got)
 
 
+def test_dominators_along_long_ways(spark):
+    """As many rounds as blocks: Spark's size estimates, handed on, had their digits doubled each round and filled the driver."""
+    n = 300
+    edges = spark.range(1, n).select(F.lit("f").alias("function"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    last = spark.createDataFrame([("f", n)], "function string, block long")
+    pairs = controlflow.dominators(edges, last, backward=True)
+    assert pairs.count() == n * (n + 1) // 2 and pairs.filter("dominator < block").isEmpty()
+
+
 def table(rows, **types):
     return pa.Table.from_pylist([dict(zip(types, r)) for r in rows], pa.schema([(k, getattr(pa, t)()) for k, t in types.items()]))
 
@@ -55,6 +64,17 @@ def test_dominators_of_batches(size, monkeypatch):
     assert not list(flowtasks.nearest_dominators(iter([])))
 
 
+def test_rounds_end(spark):
+    """Functions above the limit go through rounds: the same results, and more rounds than the digits of an estimate could bear."""
+    rng = random.Random(13)
+    edges = random_flows(rng, 5, 7) + [("long", k, k + 1) for k in range(1, 36)]
+    entries = spark.createDataFrame([(f, 1) for f in ("f0", "f1", "f2", "f3", "f4")] + [("long", 36)], "function string, block long")
+    steps = spark.createDataFrame(edges, STEPS)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(controlflow.dominators(steps, entries, True, 0)) == rows(controlflow.dominators(steps, entries, True))
+    assert rows(controlflow.dominator_tree(steps, entries, False, 8)) == rows(controlflow.dominator_tree(steps, entries))
+
+
 def test_union_dealt_by_function(spark):
     """Edges and entries that are both dealt by function already, of very different sizes: a function's rows come together all the same."""
     was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")}
