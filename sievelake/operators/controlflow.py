@@ -8,6 +8,8 @@ nothing changes: as many as the longest way that a fact has to go.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -18,6 +20,7 @@ from .rounds import kept
 AT = ["function", "block", "word"]
 BUCKETS = 1 << 16
 STEPS = 1 << 21  # edges and entries of a function, at most, whose dominators one task finds
+FACTS = 1 << 15  # definitions and edges of a function, at most, that one task follows
 
 
 def _large(rows: DataFrame, most: int) -> DataFrame | None:
@@ -98,16 +101,27 @@ def _without(bits: Column, gone: Column) -> Column:
     return bits.bitwiseAND(F.bitwise_not(F.coalesce(gone, F.lit(0).cast("long"))))
 
 
-def reaching_along(definitions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reaching_along(definitions: DataFrame, edges: DataFrame, most: int = FACTS) -> tuple[DataFrame, DataFrame]:
     """What reaches the beginning and the end of each block: two tables (function, block, id).
 
     ``definitions`` has function, block, id (unique in its function) and variable, ``edges`` function, src and dst. A block's last definition of a variable, by id, goes
     out of it, and no other of that variable does: IN is all that goes out of the blocks before, OUT is GEN and what of IN the block does not define.
     Cycles, edges that repeat, and blocks that no entry reaches take part as they are; rows with a null in a key do not. Nothing reaches a
-    block: no row.
+    block: no row. A function with more than ``most`` definitions and edges goes through rounds.
     """
-    definitions = definitions.select("function", "block", "id", "variable").dropna().distinct()
-    steps = edges.select("function", F.col("src").alias("block"), "dst").dropna().distinct()
+    definitions = definitions.select("function", "block", "id", "variable").dropna()
+    steps = edges.select("function", F.col("src").alias("block"), F.col("dst").alias("to")).dropna()
+    rows = _alike(_together(steps, definitions)).select("function", "block", "to", "id", "variable")
+    large = _large(rows, most)
+    small = rows if large is None else _others(rows, large)
+    found = tuple(_solved(small, ["function", "id"], partial(flowtasks.reached, after=after), {"function": "function", "block": "block", "id": "id"}) for after in (False, True))
+    if large is None:
+        return found
+    spread = _reaching_in_rounds(*(_those(x, large).distinct() for x in (definitions, steps.withColumnRenamed("to", "dst"))))
+    return tuple(a.unionByName(b) for a, b in zip(found, spread))
+
+
+def _reaching_in_rounds(definitions: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered = kept(_numbered(definitions, "id"))
     of_variable = numbered.groupBy("function", "variable", "word").agg(F.bit_or("bits").alias("bits"))
     kill = kept(_or(definitions.select("function", "block", "variable").distinct().join(of_variable, ["function", "variable"])))
@@ -122,11 +136,11 @@ def reaching_along(definitions: DataFrame, edges: DataFrame) -> tuple[DataFrame,
         came = kept(came)
         if came.isEmpty():
             break
-        known = came if known is None else kept(_or(known.unionByName(came)))
+        known = came if known is None else kept(_or(_together(known, came)))
         news = came.join(killed, AT, "left").withColumn("bits", _without(F.col("bits"), F.col("_kill"))).drop("_kill").filter("bits <> 0")
     known = gen.limit(0) if known is None else known
     through = known.join(killed, AT, "left").withColumn("bits", _without(F.col("bits"), F.col("_kill"))).drop("_kill")
-    return _members(known, numbered, "id", "id"), _members(_or(through.unionByName(gen)), numbered, "id", "id")
+    return _members(known, numbered, "id", "id"), _members(_or(_together(through, gen)), numbered, "id", "id")
 
 
 def _paths(edges: DataFrame, entries: DataFrame, backward: bool) -> DataFrame:

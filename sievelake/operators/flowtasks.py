@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 ROWS = 1 << 17  # rows of a batch of functions, at least
+CELLS = 1 << 22  # definitions times blocks (or edges) that are followed at once
 SENT = 1 << 16  # rows sent out at once
 
 
@@ -171,3 +172,56 @@ def all_dominators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 of, up = (np.concatenate(x) for x in zip(*ready))
                 yield from _sent(("function", "block", "dominator"), [*blocks.columns(of), blocks.values(up)])
                 ready, rows = [], 0
+
+
+def reached(batches: Iterator[pa.RecordBatch], after: bool) -> Iterator[pa.RecordBatch]:
+    """function, block, id: the definitions at the beginning of each block, or with ``after`` at its end.
+
+    Rows (function, block, to, id, variable) are sorted by function and id; edges have to, definitions the others. Each definition is followed from its block
+    up to the blocks that define its variable again, so the work grows with the pairs found and the edges out of them.
+    """
+    for table in whole_functions(batches):
+        function, block, to, id_, variable = (c.combine_chunks() for c in table.columns)
+        blocks, edge = _Blocks(function, block, to), to.is_valid().to_numpy(zero_copy_only=False)
+        succ, begins = _ways(blocks.one[edge], blocks.other[edge], blocks.count)
+        variables, _ = _codes(variable)
+        many, defines = variables.max() + 1, np.flatnonzero(~edge)
+        if not len(defines):
+            continue
+        # of each block and variable the last row, so the highest id
+        defined, back = np.unique((blocks.one[defines] * many + variables[defines])[::-1], return_index=True)
+        row, home, kind = defines[len(defines) - 1 - back], defined // many, defined % many
+        size, edges = np.bincount(blocks.function), np.bincount(blocks.function[blocks.one[edge]], minlength=blocks.function[-1] + 1)
+        low = np.concatenate([[0], np.cumsum(size)])[blocks.function[home]]
+        width = np.maximum(size, edges)[blocks.function[home]]
+        ends = np.cumsum(width)
+        start = 0
+        while start < len(row):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] - width[start] + CELLS, "right")))
+            base = ends[start:stop] - width[start:stop] - (ends[start] - width[start]) - low[start:stop]
+            seen = np.full(int(ends[stop - 1] - ends[start] + width[start]), -1, np.int32)
+            who, at = np.arange(start, stop), home[start:stop]
+            found = [(who, at)] if after else []
+            while len(who):
+                degree = begins[at + 1] - begins[at]
+                of = np.repeat(np.arange(len(who)), degree)
+                at = succ[np.arange(len(of)) - np.repeat(np.cumsum(degree) - degree - begins[at], degree)]
+                who = who[of]
+                cell = base[who - start] + at
+                new = seen[cell] < 0
+                who, at, cell = who[new], at[new], cell[new]
+                turn = np.arange(len(cell), dtype=np.int32)
+                seen[cell] = turn
+                once = seen[cell] == turn
+                who, at = who[once], at[once]
+                if not after:
+                    found.append((who, at))
+                key = at * many + kind[who]
+                hit = np.minimum(np.searchsorted(defined, key), len(defined) - 1)
+                goes = defined[hit] != key
+                who, at = who[goes], at[goes]
+                if after:
+                    found.append((who, at))
+            who, at = (np.concatenate(x) for x in zip(*found))
+            yield from _sent(("function", "block", "id"), [*blocks.columns(at), id_.take(pa.array(row[who]))])
+            start = stop

@@ -31,7 +31,7 @@ UNION ALL SELECT * FROM (SELECT function, unnest(range(2, last - 1, 2)) AS src,
 
 def _order_flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem")
-    made = lines.select(F.col("l_orderkey").alias("function"), F.col("l_linenumber").alias("block"), (F.col("l_linenumber") * 10 + F.ascii("l_returnflag") % 10).alias("id"), F.col("l_returnflag").alias("variable")).distinct()
+    made = lines.select(F.col("l_orderkey").alias("function"), F.col("l_linenumber").alias("block"), (F.col("l_linenumber") * 10 + F.ascii("l_returnflag") % 10).alias("id"), F.col("l_returnflag").alias("variable"))
     last = lines.groupBy(F.col("l_orderkey").alias("function")).agg(F.max("l_linenumber").alias("last"))
     n = F.col("last")
     pair = lambda src, dst: F.struct(src.alias("src"), dst.alias("dst"))

@@ -1,12 +1,14 @@
 """Functions solved whole in a task against loops, the fixpoint in rounds, and sizes that rounds of bitmaps do not bear."""
 
 import random
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from test_flows import STEPS, dominated_by_removal, random_flows
 
 from pyspark.sql import functions as F
+from sievelake import catalog
 from sievelake.operators import controlflow, flowtasks
 
 
@@ -64,6 +66,63 @@ def test_dominators_of_batches(size, monkeypatch):
     assert not list(flowtasks.nearest_dominators(iter([])))
 
 
+def followed(edges, definitions):
+    """What is at the beginning and at the end of each block: each definition followed from its block, up to those that define its variable."""
+    after, last, into = {}, {}, set()
+    for f, a, b in edges:
+        after.setdefault((f, a), set()).add(b)
+    for f, b, i, v in definitions:
+        last[f, b, v] = max(i, last.get((f, b, v), i))
+    out = {(f, b, i) for (f, b, _), i in last.items()}
+    for (f, b, v), i in last.items():
+        work = [b]
+        while work:
+            for to in after.get((f, work.pop()), ()):
+                if (f, to, i) not in into:
+                    into.add((f, to, i))
+                    if (f, to, v) not in last:
+                        out.add((f, to, i))
+                        work.append(to)
+    return into, out
+
+
+@pytest.mark.parametrize("size", [1, 3, 40, 1 << 20])
+def test_reached_of_batches(size, monkeypatch):
+    """Wherever batches of functions are cut, however few definitions are followed at once, and whatever repeats."""
+    rng = random.Random(size + 1)
+    edges = [e for e in random_flows(rng, 9, 8) if None not in e]
+    definitions = [(f"f{k}", rng.randint(1, 10), n, rng.choice("xyz")) for k in range(10) for n in range((0, 3, 9, 70)[k % 4])]
+    rows = [(f, a, b, None, None) for f, a, b in edges] + [(f, b, None, i, v) for f, b, i, v in definitions + definitions[:9]]
+    rows = table(sorted(rows, key=lambda r: (r[0], -1 if r[3] is None else r[3])), function="string", block="int64", to="int64", id="int32", variable="string")
+    for name in ("ROWS", "CELLS", "SENT"):
+        monkeypatch.setattr(flowtasks, name, size)
+    for after, want in enumerate(followed(edges, definitions)):
+        for most in (1, 4, 1000):
+            got = [tuple(r.values()) for b in flowtasks.reached(iter(rows.to_batches(max_chunksize=most)), bool(after)) for r in b.to_pylist()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_reaching_of_large_functions(spark):
+    """Functions above the limit go through rounds: the same results."""
+    rng = random.Random(17)
+    edges = [e for e in random_flows(rng, 8, 6) if None not in e]
+    definitions = [(f"f{k}", rng.randint(1, 7), n, rng.choice("xy")) for k in range(8) for n in range((2, 12)[k % 2])]
+    tables = spark.createDataFrame(definitions, "function string, block long, id long, variable string"), spark.createDataFrame(edges, STEPS)
+    for got, want in zip(controlflow.reaching_along(*tables, most=10), followed(edges, definitions)):
+        got = [tuple(r) for r in got.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["leaving_along_flow"])
+def test_flows_keep_nothing(spark, name):
+    """Small functions leave no table of any round on disk, where each round kept two."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    stored = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = stored()
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert stored() <= before
+
+
 def test_rounds_end(spark):
     """Functions above the limit go through rounds: the same results, and more rounds than the digits of an estimate could bear."""
     rng = random.Random(13)
