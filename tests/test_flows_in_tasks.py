@@ -113,7 +113,7 @@ def test_reaching_of_large_functions(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("name", ["leaving_along_flow"])
+@pytest.mark.parametrize("name", ["leaving_along_flow", "reaching_along_flow"])
 def test_flows_keep_nothing(spark, name):
     """Small functions leave no table of any round on disk, where each round kept two."""
     folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
